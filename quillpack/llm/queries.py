@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpack.llm import bpe, embedding_dedup, kneser_ney, packing, quality_rules, secret_scan, simhash, token_counts
+from quillpack.llm import bpe, embedding_dedup, kneser_ney, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_lm_scoring, op4_secret_scan, op5_embedding_dedup, op6_quality_rules, op7_bpe, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_lm_scoring, op4_secret_scan, op5_embedding_dedup, op6_quality_rules, op7_bpe, op8_suffix_dedup, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
