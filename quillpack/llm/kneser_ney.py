@@ -30,7 +30,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 STEP = 0x100000001B3 | 1 << 45
 BEGIN, END = np.uint64(1), np.uint64(2)  # the hashes of the marks around a document; words have larger ones but by chance
 BLOCK_BYTES = 24 << 20
-SCORE_BYTES = 12 << 20
+SCORE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 WORD_COLUMNS = ("raw", "after", "total", "one", "two", "more")
 
 _lower = np.arange(256, dtype=np.uint64)
@@ -57,20 +58,32 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * np.uint64(MULTIPLIER) + mixed(right))
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, each text followed by END, and the number of tokens of each text."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    blank = _space[data]
+def word_hashes(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word."""
     edges = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
     sizes = ends - starts
     firsts = np.cumsum(sizes) - sizes
-    if len(starts):
-        inside = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
-        letters = (_lower[data[~blank]] + np.uint64(1)) * powers(int(sizes.max()))[inside]
-        words = mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64)) & MASK
-    else:
-        words = np.zeros(0, np.uint64)
+    inside = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
+    letters = (_lower[data[~blank]] + np.uint64(1)) * powers(int(sizes.max()))[inside]
+    return mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64)) & MASK, starts
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, each text followed by END, and the number of tokens of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    blank = _space[data]
+    words, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):  # pieces that end at a blank, as the arrays take many bytes for each of text
+        end = min(at + PIECE_BYTES, len(data) - 1)
+        end += int(blank[end:].argmax()) + 1
+        w, s = word_hashes(data[at:end], blank[at:end])
+        words.append(w)
+        starts.append(s + at)
+        at = end
+    words, starts = np.concatenate(words), np.concatenate(starts)
     limits = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, limits)
     return np.insert(words, upto, END), np.diff(upto, prepend=0) + 1

@@ -113,4 +113,5 @@ def judge(df: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RU
 
 def keep_good(df: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df that pass, with df's columns."""
-    return judge(df, text_col=text_col, rules=rules).where("kept").select("_row.*")
+    # a filter would be pushed below the projections, and all measures written out again in its condition
+    return judge(df, text_col=text_col, rules=rules).select(F.inline(F.when(F.col("kept"), F.array("_row"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpack.llm import bpe, embedding_dedup, kneser_ney, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from quillpack.llm import bpe, embedding_dedup, kneser_ney, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_lm_scoring, op4_secret_scan, op5_embedding_dedup, op6_quality_rules, op7_bpe, op8_suffix_dedup, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_lm_scoring, op4_secret_scan, op5_embedding_dedup, op6_quality_rules, op7_bpe, op8_suffix_dedup, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
