@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillpack.llm.store import Scratch, release, settle, ship_code
 
 GRAM = 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 ENTRY = np.dtype([("at", "<u4"), ("more", "<u2"), ("hash", "<u8")])
 STEP = 0x9E3779B97F4A7C15
 
@@ -44,14 +44,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of each GRAM bytes, put together from hashes of 1, 2, 4, 8 and 16."""
     power = lambda n: np.uint64(pow(STEP, n, 1 << 64))
-    h, sizes = data.astype(np.uint64) + np.uint64(1), {}
-    size = 1
-    while size <= GRAM:
-        sizes[size] = h
-        h = h[:-size] * power(size) + h[size:] if len(h) > size else h[:0]
+    h, size = data.astype(np.uint64) + np.uint64(1), 1
+    while size < 16:
+        h = h[:-size] * power(size) + h[size:]
         size *= 2
-    out, have = sizes[16], 16
-    out = out[: len(data) - GRAM + 1] * power(GRAM - have) + sizes[GRAM - have][have : have + max(0, len(data) - GRAM + 1)]
+        if size == GRAM - 16:
+            rest = h
+    n = len(data) - GRAM + 1
+    out = h[:n] * power(GRAM - 16) + rest[16 : 16 + n]
     return mixed(out)
 
 
@@ -250,22 +250,37 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, shard_bytes:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences of blocks (without bytes), and each block once per batch with its bytes and least document."""
-        for batch in batches:
-            out, found = [], {}
-            for key, data, rep, lists in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "data", "rep", "entries"))):
-                for at, more, h in np.unique(np.frombuffer(b"".join(lists), ENTRY)).tolist():
-                    piece = data[at : at + more + length]
-                    block = xxhash.xxh3_128_digest(piece)
-                    out.append((None, block, None, key, rep, at, None, None))
-                    held = found.get(block)
-                    if held is None:
-                        found[block] = [h, rep, 1, piece]
-                    else:
-                        held[1], held[2] = min(held[1], rep), held[2] + 1
-            signed = lambda h: h - (1 << 64) if h >> 63 else h
-            out += [(int(shard_of(np.uint64(h))), block, signed(h), None, rep, None, n, piece) for block, (h, rep, n, piece) in found.items()]
-            for a in range(0, len(out), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 100_000]), cut_schema)], schema=cut_schema)
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 256):
+                batch = whole.slice(at_row, 256)
+                found: dict[bytes, list] = {}
+                made, places, keys, reps, counts = [], [], [], [], []
+                for key, data, rep, lists in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "data", "rep", "entries"))):
+                    entries = np.frombuffer(b"".join(lists), ENTRY)
+                    entries = entries[np.unique(entries["at"], return_index=True)[1]]
+                    keys.append(key)
+                    reps.append(rep)
+                    counts.append(len(entries))
+                    starts = entries["at"].tolist()
+                    places += starts
+                    for at, end, h in zip(starts, (entries["at"].astype(np.int64) + entries["more"] + length).tolist(), entries["hash"].tolist()):
+                        piece = data[at:end]
+                        block = xxhash.xxh3_128_digest(piece)
+                        made.append(block)
+                        held = found.get(block)
+                        if held is None:
+                            found[block] = [h, rep, 1, piece]
+                        else:
+                            held[1], held[2] = min(held[1], rep), held[2] + 1
+                n = len(made)
+                per_row = lambda values: pa.array(np.repeat(np.array(values, np.int64), counts), pa.int64())  # noqa: E731, B023
+                columns = [pa.nulls(n, pa.int32()), pa.array(made, pa.binary()), pa.nulls(n, pa.int64()), per_row(keys), per_row(reps), pa.array(places, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=cut_schema)
+                hashes, least, times, pieces = zip(*found.values()) if found else ((), (), (), ())
+                n, to = len(hashes), shard_of(np.array(hashes, np.uint64)).astype(np.int32)
+                columns = [pa.array(to, pa.int32()), pa.array(list(found), pa.binary()), pa.array([signed(h) for h in hashes], pa.int64()), pa.nulls(n, pa.int64()), pa.array(least, pa.int64()), pa.nulls(n, pa.int32()), pa.array(times, pa.int64()), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=cut_schema)
 
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]))
 
@@ -319,10 +334,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, shard_bytes:
     spans = scratch.save(defined.groupBy("shard").applyInArrow(analyse, "of binary, spans array<struct<a:int,b:int,least:long>>"), "spans")
     occurrences = pieces.where("bytes is null").select("block", "key", "rep", "at")
     hits = occurrences.join(spans, F.col("block") == F.col("of")).select("key", "rep", "at", F.explode("spans").alias("s")).where("s.least < rep")
-    return hits.groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b"))).alias("spans"))
+    return hits.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b"))).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with_text: also kept, the bytes left) per input row.
 
     Removes each byte covered by a string of ``length`` bytes that also starts in
