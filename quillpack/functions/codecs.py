@@ -268,8 +268,8 @@ def decimal(p: int, s: int, options: Options = Options()) -> Codec:
 
 
 json_text = mapped(block, lambda x: F.encode(F.to_json(F.parse_json(x)), "utf-8"), lambda v: F.try_validate_utf8(v), "string")
-nanos_of = lambda ts: (F.pmod(F.unix_micros(ts), F.lit(1_000_000)) * 1000)
-seconds_of = lambda ts: F.floor(F.unix_micros(ts) / 1_000_000).cast("bigint")
+nanos_of = lambda ts: (F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000)) * 1000)
+seconds_of = lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("bigint")
 timestamp = mapped(
     product(i64, u32, names=["s", "n"], head=b""),
     lambda ts: F.struct(seconds_of(ts).alias("s"), nanos_of(ts).alias("n")),
@@ -290,14 +290,17 @@ time_of_day = mapped(
 
 
 def day_nanos(ts: Column) -> Column:
-    return F.pmod(F.unix_micros(ts), F.lit(86_400_000_000)) * 1000
+    """Nanoseconds of the day on the clock that ts shows, with or without a zone."""
+    return (F.hour(ts) * 60 + F.minute(ts)).cast("bigint") * 60_000_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint") * 1000
 
 
-datetime_naive = mapped(
-    product(date, time_of_day, names=["d", "t"], head=b""),
-    lambda ts: F.struct(F.to_date(ts).alias("d"), day_nanos(ts).alias("t")),
-    lambda v: F.timestamp_micros(F.unix_date(v["d"]).cast("bigint") * 86_400_000_000 + F.floor(v["t"] / 1000).cast("bigint")), "timestamp",
-)
+def local_time(v: Column) -> Column:
+    seconds = (F.floor(v["t"] / 1000) % 60_000_000).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    parts = (F.year(v["d"]), F.month(v["d"]), F.dayofmonth(v["d"]), F.floor(v["t"] / 3_600_000_000_000).cast("int"), (F.floor(v["t"] / 60_000_000_000) % 60).cast("int"), seconds.cast("decimal(16,6)"))
+    return F.call_function("make_timestamp_ntz", *parts)
+
+
+datetime_naive = mapped(product(date, time_of_day, names=["d", "t"], head=b""), lambda ts: F.struct(F.to_date(ts).alias("d"), day_nanos(ts).alias("t")), local_time, "timestamp_ntz")
 offset = mapped(product(var_i32, head=b"\0"), lambda s: F.struct(s.alias("_0")), lambda v: v["_0"], "int")
 zone = mapped(product(string, head=b"\1"), lambda s: F.struct(s.alias("_0")), lambda v: v["_0"], "string")
 #: struct<local, offset> with the local time; struct<utc, tz> with the time in UTC
