@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillpack.llm.store import Scratch, release, settle, ship_code
 
 GRAM = 24
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 1 << 20
 ENTRY = np.dtype([("at", "<u4"), ("more", "<u2"), ("hash", "<u8")])
 STEP = 0x9E3779B97F4A7C15
 
