@@ -145,30 +145,30 @@ def tagged(b: Column, p: Column, cases: dict[int, Callable[[Column], Column]], n
 
 
 def option(inner: Codec) -> Codec:
-    null = F.lit(None).cast(inner.sql_type)
+    null = lambda: F.lit(None).cast(inner.sql_type)
     enc = lambda x: F.when(x.isNull(), w.constant(b"\0")).otherwise(F.concat(w.constant(b"\1"), inner.enc(x)))
-    read = lambda b, p: tagged(b, p, {0: lambda q: w.result(null, q), 1: lambda q: inner.read(b, q)}, null)
+    read = lambda b, p: tagged(b, p, {0: lambda q: w.result(null(), q), 1: lambda q: inner.read(b, q)}, null())
     return Codec(enc, read, inner.sql_type, lambda x: F.when(x.isNull(), 1).otherwise(1 + inner.size(x)))
 
 
 def result_of(ok: Codec, err: Codec) -> Codec:
     """struct<ok, err>: ok counts where it is not null."""
     kind = f"struct<ok:{ok.sql_type},err:{err.sql_type}>"
-    null = F.lit(None).cast(kind)
+    null = lambda: F.lit(None).cast(kind)
     enc = lambda x: F.when(x["ok"].isNotNull(), F.concat(w.constant(b"\1"), ok.enc(x["ok"]))).otherwise(F.concat(w.constant(b"\0"), err.enc(x["err"])))
     good = lambda r: w.result(F.struct(r["v"].alias("ok"), F.lit(None).cast(err.sql_type).alias("err")), r["p"], r["e"])
     bad = lambda r: w.result(F.struct(F.lit(None).cast(ok.sql_type).alias("ok"), r["v"].alias("err")), r["p"], r["e"])
-    return Codec(enc, lambda b, p: tagged(b, p, {1: lambda q: w.let(ok.read(b, q), good), 0: lambda q: w.let(err.read(b, q), bad)}, null), kind)
+    return Codec(enc, lambda b, p: tagged(b, p, {1: lambda q: w.let(ok.read(b, q), good), 0: lambda q: w.let(err.read(b, q), bad)}, null()), kind)
 
 
 def bound(inner: Codec) -> Codec:
     """struct<kind, value>: 0 unbounded, 1 included, 2 excluded."""
     kind = f"struct<kind:tinyint,value:{inner.sql_type}>"
     made = lambda k, v: F.struct(F.lit(k).cast("tinyint").alias("kind"), v.alias("value"))
-    null = F.lit(None).cast(inner.sql_type)
+    null = lambda: F.lit(None).cast(inner.sql_type)
     enc = lambda x: F.when(x["kind"] == 0, w.constant(b"\0")).otherwise(F.concat(w.be(x["kind"], 1), inner.enc(x["value"])))
     case = lambda b, k: lambda q: w.let(inner.read(b, q), lambda r: w.result(made(k, r["v"]), r["p"], r["e"]))
-    return Codec(enc, lambda b, p: tagged(b, p, {0: lambda q: w.result(made(0, null), q), 1: case(b, 1), 2: case(b, 2)}, F.lit(None).cast(kind)), kind)
+    return Codec(enc, lambda b, p: tagged(b, p, {0: lambda q: w.result(made(0, null()), q), 1: case(b, 1), 2: case(b, 2)}, F.lit(None).cast(kind)), kind)
 
 
 def sequence(inner: Codec, known_size: bool = True) -> Codec:

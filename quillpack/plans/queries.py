@@ -33,11 +33,11 @@ def add(name: str, of: str, build: Callable[[DataFrame], DataFrame], oracle: str
         ORACLE[name] = oracle
 
 
-def encoded(name: str, of: str, keys: list[str], codec: c.Codec | Callable[[Column], Column], x: str | Column, oracle: str, where: str = "") -> None:
+def encoded(name: str, of: str, keys: list[str], codec: c.Codec | Callable[[Column], Column], x: str | Callable[[], Column], oracle: str, where: str = "") -> None:
     """Query of the keys and the bytes of x; oracle is SQL for its hexadecimal text."""
-    value = F.expr(x) if isinstance(x, str) else x
+    value = lambda: F.expr(x) if isinstance(x, str) else x()
     enc = codec.enc if isinstance(codec, c.Codec) else codec
-    add(name, of, lambda df: df.select(*keys, F.hex(enc(value)).alias("bytes")), f"SELECT {', '.join(keys)}, {oracle} AS bytes FROM {of} {where}")
+    add(name, of, lambda df: df.select(*keys, F.hex(enc(value())).alias("bytes")), f"SELECT {', '.join(keys)}, {oracle} AS bytes FROM {of} {where}")
 
 
 def decoded(name: str, of: str, keys: list[str], codec: c.Codec, x: str, oracle: str, read: c.Codec | None = None, shown: Callable[[Column], Column] = lambda v: v) -> None:
@@ -111,7 +111,7 @@ encoded("encode_timestamp", "events", EVENT, c.timestamp, "ts", f"{sql.be('epoch
 decoded("decode_timestamp", "events", EVENT, c.timestamp, "ts", "epoch_us(ts)", shown=F.unix_micros)
 encoded("encode_date", "orders", ORDER, c.date, "to_date(o_orderdate)", sql.date("o_orderdate"))
 decoded("decode_date", "orders", ORDER, c.date, "to_date(o_orderdate)", "o_orderdate::DATE::VARCHAR", shown=lambda v: v.cast("string"))
-encoded("encode_time", "events", EVENT, c.time_of_day, c.day_nanos(F.col("ts")), sql.time("ts"))
+encoded("encode_time", "events", EVENT, c.time_of_day, lambda: c.day_nanos(F.col("ts")), sql.time("ts"))
 encoded("encode_datetime_naive", "events", EVENT, c.datetime_naive, "ts", f"{sql.date('ts')} || {sql.time('ts')}")
 encoded("encode_datetime_offset", "events", EVENT, c.datetime_offset, "named_struct('local', ts + interval 2 hours, 'offset', 7200)", f"{sql.date('(ts + INTERVAL 2 HOUR)')} || {sql.time('(ts + INTERVAL 2 HOUR)')} || '00' || {sql.var_i32('7200')}")
 encoded("encode_datetime_zone", "events", EVENT, c.datetime_zone, "named_struct('utc', ts, 'tz', 'Europe/Paris')", f"{sql.date('ts')} || {sql.time('ts')} || '01' || {sql.string(chr(39) + 'Europe/Paris' + chr(39))}")
@@ -246,12 +246,15 @@ for writer in range(5):
 Purchase = Record((Field("value", c.f64),))
 EVENTS = Union((Case("view"), Case("click"), Case("purchase", Purchase), Case("signup", c.i64), Case("error", c.string)))
 EVENTS_BY_NAME = Union(EVENTS.cases, sorted_ids=True)
-event_value = F.struct(
-    F.col("event_type").alias("case"),
-    F.when(F.col("event_type") == "purchase", F.struct("value")).alias("purchase"),
-    F.when(F.col("event_type") == "signup", F.col("user_id")).alias("signup"),
-    F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
-)
+
+
+def event_value() -> Column:
+    return F.struct(
+        F.col("event_type").alias("case"),
+        F.when(F.col("event_type") == "purchase", F.struct("value")).alias("purchase"),
+        F.when(F.col("event_type") == "signup", F.col("user_id")).alias("signup"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+    )
 
 
 def union_hex(ids: dict[str, int]) -> str:
@@ -264,11 +267,11 @@ encoded("encode_union_sorted", "events", EVENT, EVENTS_BY_NAME.enc, event_value,
 
 
 def read_events(df: DataFrame, union: Union) -> DataFrame:
-    return df.select("event_id", EVENTS.enc(event_value).alias("b")).select("event_id", union.codec().try_decode(F.col("b")).alias("d"))
+    return df.select("event_id", EVENTS.enc(event_value()).alias("b")).select("event_id", union.codec().try_decode(F.col("b")).alias("d"))
 
 
 add("decode_union", "events", lambda df: read_events(df, EVENTS).select("event_id", "d.value.case", F.col("d.value.purchase.value").alias("value"), F.col("d.value.signup").alias("user_id")), "SELECT event_id, event_type AS \"case\", CASE WHEN event_type = 'purchase' THEN value END AS value, CASE WHEN event_type = 'signup' THEN user_id END AS user_id FROM events")
-add("union_case_counts", "events", lambda df: df.select(EVENTS.enc(event_value).alias("b")).groupBy(w.read_var_u32(F.col("b"), F.lit(2))["v"].alias("id")).agg(F.count("*").alias("n"), F.sum(F.octet_length("b")).alias("bytes")), "SELECT id, count(*) AS n, sum(length(h) // 2)::BIGINT AS bytes FROM (SELECT (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)::BIGINT AS id, " + union_hex(EVENTS.ids()) + " AS h FROM events) GROUP BY id")
+add("union_case_counts", "events", lambda df: df.select(EVENTS.enc(event_value()).alias("b")).groupBy(w.read_var_u32(F.col("b"), F.lit(2))["v"].alias("id")).agg(F.count("*").alias("n"), F.sum(F.octet_length("b")).alias("bytes")), "SELECT id, count(*) AS n, sum(length(h) // 2)::BIGINT AS bytes FROM (SELECT (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)::BIGINT AS id, " + union_hex(EVENTS.ids()) + " AS h FROM events) GROUP BY id")
 OLDER = Union(EVENTS.cases[:4])
 add("evolve_union_added_case", "events", lambda df: read_events(df, OLDER).select("event_id", "d.value.case", F.col("d._error").alias("error")), f"SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS \"case\", CASE WHEN event_type = 'error' THEN '{w.BAD_CONSTRUCTOR}' END AS error FROM events")
 HIDDEN = Union((Case("view"), Case("draft", c.string, transient=True), Case("click"), *EVENTS.cases[2:]))
@@ -296,10 +299,10 @@ add("dedup_savings", "events", lambda df: streams.dedup_encode(df, "user_id", "e
 add("ref_backrefs", "conversations", lambda df: streams.back_references(df, "conv_id", "turn", F.col("role")).select("conv_id", "turn", "ref"), "WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS fresh FROM conversations), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) SELECT conv_id, turn, CASE WHEN fresh THEN 0 ELSE first(n) OVER (PARTITION BY conv_id, role ORDER BY turn) END::BIGINT AS ref FROM g")
 
 # layout and envelopes
-PARTS = [("version", w.constant(b"\0")), ("c_custkey", c.i64.enc(F.col("c_custkey"))), ("c_name", c.string.enc(F.col("c_name"))), ("c_nationkey", c.i32.enc(F.col("c_nationkey")))]
+PARTS = lambda: [("version", w.constant(b"\0")), ("c_custkey", c.i64.enc(F.col("c_custkey"))), ("c_name", c.string.enc(F.col("c_name"))), ("c_nationkey", c.i32.enc(F.col("c_nationkey")))]
 named = f"size_of AS (SELECT c_custkey, {sql.size_of_string('c_name')} AS s FROM customer)"
-add("layout_segments", "customer", lambda df: layout.segments(df, "c_custkey", PARTS), f"WITH {named} SELECT c_custkey, pos, label, start::BIGINT AS start, len::BIGINT AS len FROM (SELECT c_custkey, 0 AS pos, 'version' AS label, 0 AS start, 1 AS len FROM size_of UNION ALL SELECT c_custkey, 1, 'c_custkey', 1, 8 FROM size_of UNION ALL SELECT c_custkey, 2, 'c_name', 9, s FROM size_of UNION ALL SELECT c_custkey, 3, 'c_nationkey', 9 + s, 4 FROM size_of)")
-add("layout_coverage", "customer", lambda df: layout.coverage(layout.segments(df, "c_custkey", PARTS), "c_custkey", customer_bytes(df), "b"), f"SELECT c_custkey, ({total})::BIGINT AS bytes, ({total})::BIGINT AS covered, true AS exact FROM customer")
+add("layout_segments", "customer", lambda df: layout.segments(df, "c_custkey", PARTS()), f"WITH {named} SELECT c_custkey, pos, label, start::BIGINT AS start, len::BIGINT AS len FROM (SELECT c_custkey, 0 AS pos, 'version' AS label, 0 AS start, 1 AS len FROM size_of UNION ALL SELECT c_custkey, 1, 'c_custkey', 1, 8 FROM size_of UNION ALL SELECT c_custkey, 2, 'c_name', 9, s FROM size_of UNION ALL SELECT c_custkey, 3, 'c_nationkey', 9 + s, 4 FROM size_of)")
+add("layout_coverage", "customer", lambda df: layout.coverage(layout.segments(df, "c_custkey", PARTS()), "c_custkey", customer_bytes(df), "b"), f"SELECT c_custkey, ({total})::BIGINT AS bytes, ({total})::BIGINT AS covered, true AS exact FROM customer")
 add("hex_dump", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.hex_dump(F.col("b")).alias("dump")), "SELECT c_custkey, rtrim(regexp_replace(regexp_replace(lower(" + record_hex + "), '(..)', '\\1 ', 'g'), '((?:.. ){15}..) ', E'\\\\1\\n', 'g'), E' \\n') AS dump FROM customer")
 add("envelope_roundtrip", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.envelope(F.col("b")).alias("e")).select("c_custkey", F.hex("e").alias("bytes"), F.hex(layout.open_envelope(F.col("e"))).alias("inner_bytes")), f"SELECT c_custkey, '03' || {record_hex} AS bytes, {record_hex} AS inner_bytes FROM customer")
 add("payload_indirection", "documents", lambda df: df.select("doc_id", F.md5(F.hex(layout.payload(F.encode("text", "utf-8"), 1024))).alias("digest")), "SELECT doc_id, md5(CASE WHEN strlen(text) > 1024 THEN '01' || upper(md5(text)) || '10' || upper(md5(text)) ELSE '00' || " + sql.block("encode(text)") + " END) AS digest FROM documents")
