@@ -1,11 +1,13 @@
-"""Codecs that Column expressions cannot give: DEFLATE blocks and the JSON value tree, as Arrow batches."""
+"""Codecs that Column expressions cannot give, as Arrow batches: DEFLATE blocks, the JSON value tree, IPv6 addresses and numbers of any length."""
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Context, Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,9 +118,89 @@ def _json_decode(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda x: None if x is None else json.dumps(json_value(x)[0], separators=(",", ":"), sort_keys=True, ensure_ascii=False))
 
 
+def ip_bytes(text: str) -> bytes:
+    """A tag and the octets of an address of either version."""
+    address = ipaddress.ip_address(text)
+    return bytes([address.version == 6]) + address.packed
+
+
+def ip_text(data: bytes) -> str:
+    width = {0: 4, 1: 16}.get(data[0]) if data else None
+    if width is None or len(data) <= width:
+        raise ValueError("DeserializationFailure: address")
+    return str(ipaddress.ip_address(data[1 : 1 + width]))
+
+
+def whole_bytes(n: int) -> bytes:
+    """The shortest two's complement of a whole number of any length, after its length."""
+    data = n.to_bytes((n if n >= 0 else ~n).bit_length() // 8 + 1, "big", signed=True)
+    return _var_u32(len(data)) + data
+
+
+def whole_number(data: bytes, at: int = 0) -> int:
+    n, at = _read_var_u32(data, at)
+    if len(data) < at + n:
+        raise ValueError("InputEndedUnexpectedly")
+    return int.from_bytes(data[at : at + n], "big", signed=True)
+
+
+def decimal_bytes(text: str) -> bytes:
+    """Scale and unscaled number of a decimal of any length; the scale is negative where zeros before the point are left out, as in 12E3."""
+    try:
+        sign, digits, exponent = Decimal(text).as_tuple()
+    except InvalidOperation:
+        exponent = ""
+    if not isinstance(exponent, int):
+        raise ValueError(f"not a decimal: {text}")
+    unscaled = int("".join(map(str, digits)) or "0")
+    return struct.pack(">q", -exponent) + whole_bytes(-unscaled if sign else unscaled)
+
+
+def decimal_of(data: bytes) -> str:
+    unscaled = Decimal(whole_number(data, 8))
+    exact = Context(prec=max(len(unscaled.as_tuple().digits), 1))
+    return str(unscaled.scaleb(-struct.unpack(">q", data[:8])[0], exact))
+
+
+def _each(of: Callable[[object], object]) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in values:
+            yield series.map(lambda x: None if x is None else of(x))
+
+    # Spark reads the kind of function from its hints
+    run.__annotations__ = {"values": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return run
+
+
 # made when used: workers import this module too, and have no session
 
 
+def ip(text: Column) -> Column:
+    return F.pandas_udf(_each(ip_bytes), "binary")(text)
+
+
+def ip_of(data: Column) -> Column:
+    return F.pandas_udf(_each(ip_text), "string")(data)
+
+
+def bigint(digits: Column) -> Column:
+    """Bytes of whole numbers of any length, given as decimal text."""
+    return F.pandas_udf(_each(lambda x: whole_bytes(int(x))), "binary")(digits)
+
+
+def bigint_of(data: Column) -> Column:
+    return F.pandas_udf(_each(lambda x: str(whole_number(x))), "string")(data)
+
+
+def big_decimal(text: Column) -> Column:
+    """Binary form of decimals of any length, given as text."""
+    return F.pandas_udf(_each(decimal_bytes), "binary")(text)
+
+
+def big_decimal_of(data: Column) -> Column:
+    return F.pandas_udf(_each(decimal_of), "string")(data)
+
+
 def compressed(data: Column) -> Column:
     return F.pandas_udf(_compress, "binary")(data)
 

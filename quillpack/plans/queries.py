@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from quillpack.functions import codecs as c
 from quillpack.functions import fallback
 from quillpack.functions import wire as w
-from quillpack.operators import layout, streams
+from quillpack.operators import layout, streams, trees
 from quillpack.plans import sql
 from quillpack.plans.records import Added, Case, Field, MadeOptional, MadeTransient, Record, Removed, Union, decode_record, read_header
+from quillpack.sources import generators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +91,9 @@ decoded("decode_uuid", "orders", ORDER, c.uuid, spark_digest, "regexp_replace(md
 encoded("encode_mac", "orders", ORDER, c.mac, f"rtrim(':', regexp_replace(left({spark_digest}, 12), '(..)', '$1:'))", f"upper(left({digest}, 12))")
 octets = [f"(o_orderkey // {256**k}) % 256" for k in (2, 1, 0)]
 encoded("encode_ipv4", "orders", ORDER, c.ipv4, "concat_ws('.', 10, (o_orderkey div 65536) % 256, (o_orderkey div 256) % 256, o_orderkey % 256)", "'000A' || " + " || ".join(sql.be(o, 1) for o in octets))
+v6 = "concat('2001:db8::', lower(hex(o_orderkey % 65536)))"
+add("encode_ipv6", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.ip(F.expr(v6))).alias("bytes")), f"SELECT o_orderkey, '0120010DB8' || repeat('0', 20) || {sql.be('o_orderkey % 65536', 2)} AS bytes FROM orders")
+add("decode_ip", "orders", lambda df: df.select("o_orderkey", fallback.ip_of(fallback.ip(F.expr(f"if(o_orderkey % 2 = 0, '10.1.2.3', {v6})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '10.1.2.3' ELSE '2001:db8::' || lower(hex(o_orderkey % 65536)) END AS value FROM orders")
 bits = [f"(p_partkey >> {k}) & 1" for k in range(8)]
 encoded("encode_bitvec", "part", PART, c.bit_array, "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)", "'01' || " + sql.be(" + ".join(f"(({b}) << {7 - k})" for k, b in enumerate(bits)), 1))
 
@@ -127,6 +131,12 @@ minimal = f"(CASE WHEN {cents} BETWEEN -128 AND 127 THEN '01' || {sql.be(cents,
 encoded("encode_decimal_binary", "orders", ORDER, c.decimal(12, 2, c.Options(binary_decimals=True)), price, f"'0000000000000002' || {minimal}")
 encoded("encode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bigint)", minimal)
 decoded("decode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bigint)", cents)
+ten = "concat(o_orderkey, repeat('0', 40))"
+add("bigint_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.bigint_of(fallback.bigint(F.expr(f"concat('-', {ten})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey || repeat('0', 40) END AS value FROM orders")
+two = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0))"
+add("encode_bigint_wide", "orders", lambda df: df.where("o_orderkey between 1 and 32767").select("o_orderkey", F.hex(fallback.bigint(F.expr(f"cast({two} as string)"))).alias("bytes")), f"SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
+add("encode_decimal_binary_wide", "orders", lambda df: df.where("o_orderkey between 1 and 32767").select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")), f"SELECT o_orderkey, '0000000000000032' || CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
+add("decimal_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.big_decimal_of(fallback.big_decimal(F.expr("concat('0.', repeat('7', 60), o_orderkey)"))).alias("value")), "SELECT o_orderkey, '0.' || repeat('7', 60) || o_orderkey AS value FROM orders")
 json_rows = lambda df: df.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("j"))
 add("encode_json_text", "events", lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")), """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events")
 add("encode_json_binary", "events", lambda df: json_rows(df).select("event_id", F.hex(fallback.json_binary(F.col("j"))).alias("bytes")), f"SELECT event_id, '0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')} AS bytes FROM events")
@@ -313,6 +323,22 @@ add("chunk_unpack", "events", lambda df: layout.unpack_chunks(chunks(df)).select
 add("compress_roundtrip", "documents", lambda df: df.select("doc_id", F.md5(fallback.inflated(fallback.compressed(F.encode("text", "utf-8")))).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
 add("compress_ratio", "documents", lambda df: df.groupBy("lang").agg(F.avg(F.octet_length(fallback.compressed(F.encode("text", "utf-8"))) / F.greatest(F.octet_length("text"), F.lit(1))).alias("ratio")), None)
 
+# generated data and recursive values
+QUERIES["generate_log_batch"] = lambda spark, sf_dir: generators.log_batch(spark, 1000, 600).select("idx", "kind", "ts_ms", "token", F.md5(F.hex("payload")).alias("digest"))
+kinds = ", ".join(f"'{k}'" for k in generators.KINDS)
+counted = "array_to_string(list_transform(range(600), lambda i: lpad(hex((id + i % 251) % 256), 2, '0')), '')"
+ORACLE["generate_log_batch"] = f"SELECT id AS idx, ([{kinds}])[id % 8 + 1] AS kind, 1700000000000 + 37 * id AS ts_ms, '00000000-0000-0000-0000-' || lpad(lower(hex(id)), 12, '0') AS token, md5({counted}) AS digest FROM (SELECT unnest(range(1000)) AS id)"
+QUERIES["generate_event_log"] = lambda spark, sf_dir: generators.event_log(spark, 10_000).select("idx", "kind", "ts_ms", "function_type", "key", "convention", F.octet_length("payload").alias("size"))
+QUERIES["generate_tagged_payloads"] = lambda spark, sf_dir: generators.tagged_payloads(spark, 100).select("id", F.size("tags").alias("n_tags"), F.octet_length("payload").alias("size"))
+ORACLE["generate_tagged_payloads"] = "SELECT unnest(range(100)) AS id, 32 AS n_tags, 65536 AS size"
+QUERIES["generate_trees"] = lambda spark, sf_dir: generators.complete_trees(spark)
+nodes = "(SELECT unnest(range(16 * 127)) AS id)"
+ORACLE["generate_trees"] = f'SELECT id // 127 AS tree, id % 127 + 1 AS node, CASE WHEN id % 127 < 63 THEN 2 * (id % 127 + 1) END AS "left", CASE WHEN id % 127 < 63 THEN 2 * (id % 127 + 1) + 1 END AS "right" FROM {nodes}'
+QUERIES["encode_tree"] = lambda spark, sf_dir: trees.encode_trees(generators.complete_trees(spark, 16, 2), 2).select("tree", F.hex("b").alias("bytes"))
+leaf = lambda n: f"00{n:016X}0000"
+inner = lambda n: f"00{n:016X}01{leaf(2 * n)}01{leaf(2 * n + 1)}"
+ORACLE["encode_tree"] = f"SELECT unnest(range(16)) AS tree, '00{1:016X}01{inner(2)}01{inner(3)}' AS bytes"
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

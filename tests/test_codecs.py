@@ -12,7 +12,7 @@ VECTORS = {
     "bool": (lambda: (c.boolean, L(True)), "01"),
     "char": (lambda: (c.char(), L("λ")), "bb07"),
     "char16": (lambda: (c.char(c.Options(utf16_chars=True)), L("A")), "0041"),
-    "string": (lambda: (c.string, L("desert")), "0c646573657274"),
+    "string": (lambda: (c.string, L("meadow")), "0c6d6561646f77"),
     "some": (lambda: (c.option(c.i32), L(7)), "0100000007"),
     "none": (lambda: (c.option(c.i32), L(None).cast("int")), "00"),
     "ok": (lambda: (c.result_of(c.i32, c.string), F.struct(L(7).alias("ok"), L(None).cast("string").alias("err"))), "0100000007"),
