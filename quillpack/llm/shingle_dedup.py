@@ -1,0 +1,171 @@
+"""Near-duplicates by exact similarity of word-shingle sets, with min-wise hashing as the search for candidates.
+
+A text counts as the set of its word shingles, and two texts are linked when the
+Jaccard similarity of their sets is ``least`` or more. Texts of equal sets are one
+class. Each class gets ``BANDS`` keys of ``ROWS`` minima, so a pair of similarity s
+meets under some key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8.
+Every class is first compared with the least one under each of its keys; keys whose
+members are still apart then compare all their members, so no candidate pair that
+could join two components goes unchecked. All links are checked on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillpack.llm.components import components
+from quillpack.llm.forest import Forest
+from quillpack.llm.store import Scratch, release, settle, ship_code
+
+HASH_SEED = 42
+BANDS, ROWS = 20, 4
+_dice = np.random.default_rng(17)
+TIMES = _dice.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _dice.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(data: bytes, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of UTF-8 text; a text of fewer words is one shingle."""
+    words = data.lower().split()  # on bytes, both are about ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    text, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+    last = max(1, len(words) - width + 1)
+    ends = starts[width:] if len(words) >= width else [len(text) + 1]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(text[a : b - 1], HASH_SEED) for a, b in zip(starts[:last], ends)), np.uint64, last))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key for each band, as signed longs; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(len(TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        np.minimum(least, (found[at : at + 512, None] * TIMES + PLUS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all sets of similarity ``least`` or more; pairs that are connected already are not compared again."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    forest, label, mark = Forest(n), np.arange(n), np.zeros(len(values), bool)
+    for i in range(n):
+        if not (label[i + 1 :] != label[i]).any():
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero((common >= least * (sizes + sizes[i] - common)) & (label != label[i]))
+        if len(near):
+            forest.add(np.full(len(near), i), near)
+            label[np.isin(label, label[near])] = label[i]
+    return forest.links()
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """doc_id, t1 and t2 (hashes of the text), s (hash of its shingle set) and the band keys of every row."""
+    ship_code(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, keys = [], []
+            for text in batch.column(3):
+                found = shingles(text.as_py() or b"", width)
+                hashes.append(xxhash.xxh128_digest(found.tobytes()))
+                keys.append(band_keys(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "s", "keys"])
+
+    kind, text = df.schema[id_col].dataType.simpleString(), df[text_col]
+    rows = df.select(df[id_col].alias("doc_id"), *text_hashes(text), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, s binary, keys array<long>")
+
+
+def text_hashes(text) -> list:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """id and the shingle set of rows of id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t.as_py() or b"", width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, shingles array<long>")
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, t1, t2 and component_id, one row per input row.
+
+    component_id is the least doc_id of the texts that chains of links reach, null
+    where none of them has a doc_id. Texts without words are equal.
+    """
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        rows = scratch.save(signatures(df, id_col, text_col, width), "rows")
+        one = F.min(F.struct("doc_id", "t1", "t2")).alias("one")
+        classes = rows.groupBy("s").agg(one, F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+        classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), "s", "one", "first", "keys"), "classes")
+        release(spark)
+        buckets = scratch.save(classes.select("id", F.explode("keys").alias("key")), "buckets")
+        hubs = settle(buckets.groupBy(F.col("key").alias("of")).agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("of", "hub"))
+        members = scratch.save(buckets.join(hubs, F.col("key") == F.col("of")).select("key", "id", "hub"), "members")
+        release(spark)
+        wanted = members.select(F.col("id").alias("wanted")).distinct()
+        wanted = settle(classes.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select("id", "one.*"))
+        texts = df.select(df[id_col].alias("of"), *[h.alias(f"of_{n}") for n, h in zip(("t1", "t2"), text_hashes(df[text_col]))], df[text_col].alias("text"))
+        same = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_t1") == F.col("t1")) & (F.col("of_t2") == F.col("t2"))
+        texts = texts.join(wanted, same).select("id", "text").dropDuplicates(["id"])
+        sets = scratch.save(sets_of(texts, width), "sets")
+        release(spark)
+        stars = settle(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}"))
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        # as a column, the sets are not intersected once for each place that names the result
+        both = stars.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.array(common).alias("common"))
+        met = both.select("a", "b", F.inline(F.transform("common", lambda c: F.struct(c.alias("c"), (F.col("na") + F.col("nb") - c).alias("all")))))
+        links = settle(met.where(F.col("c") >= F.lit(least) * F.col("all")).select("a", "b"))
+        labels = components(links).select("node", "component")
+        named = settle(members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+        # keys of the same members are one
+        seal = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")]
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *seal).where("low < high")
+        mixed = settle(mixed.groupBy("n", "x", "y").agg(F.min("key").alias("mixed")).where("n > 2").select("mixed"))
+
+        def compare(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks().sort_by("id")
+            ids = table.column("id")
+            a, b = similar([np.asarray(s.values, np.int64) for s in table.column("shingles")], least)
+            return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+        rest = settle(named.join(mixed, F.col("key") == F.col("mixed"), "left_semi").select("key", "id"))
+        more = settle(rest.join(sets, "id").select("key", "id", "shingles").groupBy("key").applyInArrow(compare, "a long, b long"))
+        found = components(settle(links.unionByName(more)))
+        placed = settle(classes.select("id", "s", "first").join(found, F.col("id") == F.col("node"), "left").select("s", "first", F.coalesce("component", "id").alias("label")))
+        heads = settle(placed.groupBy(F.col("label").alias("of")).agg(F.min("first").alias("component_id")))
+        placed = settle(placed.join(heads, F.col("label") == F.col("of")).select(F.col("s").alias("set"), "component_id"))
+        return settle(rows.select("doc_id", "t1", "t2", "s").join(placed, F.col("s") == F.col("set")).select("doc_id", "t1", "t2", "component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """df without the texts of a component under another doc_id than its least; rows without a doc_id stay.
+
+    Rows are told apart by doc_id and text, so of rows that repeat a doc_id only those go whose own text is near another's.
+    """
+    found = near_duplicates(df, id_col=id_col, text_col=text_col, **how).where("component_id <> doc_id")
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    t1, t2 = text_hashes(df[text_col])
+    return df.join(settle(gone), (df[id_col] == F.col("_gone")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")
