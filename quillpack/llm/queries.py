@@ -19,7 +19,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,21 @@ def test_near_duplicates_at_a_similarity_of_four_fifths(spark):
     assert kept.columns == docs.columns
     expected = [(i, t) for i, t in enumerate(texts) if label[i] == i] + [(None, texts[0]), rows[-2]]
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, expected))
+
+
+def test_short_lines_are_repeats_when_equal(spark, tmp_path):
+    from quillpack.llm.queries import op2_line_dedup
+
+    texts = ["All rights reserved.\nfirst\n \n}", "first\n\t\nAll rights reserved.\nAll rights reserveD.", "first", None, "\n", "a line of more than thirty characters\n}", "a line of more than thirty characterz\nsecond"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    first, expected = {}, {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate((t or "").split("\n")):
+            if x.strip():
+                head = first.setdefault(x.replace("characterz", "characters"), (i, k))
+                expected[i, k] = (*head, head != (i, k))
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.removed) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == expected
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert left == {0: texts[0], 1: "\t\nAll rights reserveD.", 3: None, 4: "\n", 5: "a line of more than thirty characters", 6: "second"}
