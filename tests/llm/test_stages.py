@@ -71,3 +71,16 @@ def test_short_lines_are_repeats_when_equal(spark, tmp_path):
     assert got == expected
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert left == {0: texts[0], 1: "\t\nAll rights reserveD.", 3: None, 4: "\n", 5: "a line of more than thirty characters", 6: "second"}
+
+
+def test_rows_without_an_id_of_their_own_lose_only_their_repeats(spark):
+    known = "a line that is there twice, in two documents"
+    rows = [(1, known), (None, "one of\nits own\nlines"), (None, f"another\nfirst\n{known}"), (2, f"{known}\nstays"), (2, "two of\nthem\nhere"), (None, known)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.lines(spark, docs, "").collect()]
+    # rows without an id come first
+    expected = [(None, "one of\nits own\nlines"), (None, "another\nfirst\n" + known), (None, known), (2, "stays"), (2, "two of\nthem\nhere")]
+    copies = [known in t for i, t in left]
+    assert sum(copies) == 1
+    without = lambda found: sorted(repr((i, t.replace(f"\n{known}", ""))) for i, t in found if t != known)
+    assert without(left) == without(expected)
