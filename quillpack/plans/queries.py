@@ -134,8 +134,8 @@ decoded("decode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bi
 ten = "concat(o_orderkey, repeat('0', 40))"
 add("bigint_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.bigint_of(fallback.bigint(F.expr(f"concat('-', {ten})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey || repeat('0', 40) END AS value FROM orders")
 two = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0))"
-add("encode_bigint_wide", "orders", lambda df: df.where("o_orderkey between 1 and 32767").select("o_orderkey", F.hex(fallback.bigint(F.expr(f"cast({two} as string)"))).alias("bytes")), f"SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
-add("encode_decimal_binary_wide", "orders", lambda df: df.where("o_orderkey between 1 and 32767").select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")), f"SELECT o_orderkey, '0000000000000032' || CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
+add("encode_bigint_wide", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.bigint(F.expr(f"cast({two} as string)"))).alias("bytes")), f"SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
+add("encode_decimal_binary_wide", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")), f"SELECT o_orderkey, '0000000000000032' || CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
 add("decimal_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.big_decimal_of(fallback.big_decimal(F.expr("concat('0.', repeat('7', 60), o_orderkey)"))).alias("value")), "SELECT o_orderkey, '0.' || repeat('7', 60) || o_orderkey AS value FROM orders")
 json_rows = lambda df: df.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("j"))
 add("encode_json_text", "events", lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")), """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events")
