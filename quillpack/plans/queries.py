@@ -287,7 +287,23 @@ add("evolve_union_added_case", "events", lambda df: read_events(df, OLDER).selec
 HIDDEN = Union((Case("view"), Case("draft", c.string, transient=True), Case("click"), *EVENTS.cases[2:]))
 add("union_transient_guard", "events", lambda df: read_events(df, HIDDEN).select("event_id", "d.value.case"), "SELECT event_id, event_type AS \"case\" FROM events")
 PAID = Record((Field("value", c.f64), Field("currency", c.string)), (Added("currency", "EUR"),))
-add("evolve_union_case", "events", lambda df: decode_record(df.where("event_type = 'purchase'").select("event_id", PAID.at(0).enc(F.struct("value")).alias("b")), "b", PAID, 1).select("event_id", "decoded.value", "decoded.currency"), "SELECT event_id, value, 'EUR' AS currency FROM events WHERE event_type = 'purchase'")
+PAID_EVENTS = Union((*EVENTS.cases[:2], Case("purchase", PAID), *EVENTS.cases[3:]))
+UNPAID_EVENTS = Union((*EVENTS.cases[:2], Case("purchase", PAID.at(0)), *EVENTS.cases[3:]))
+
+
+def paid_events(df: DataFrame, newer: Column) -> DataFrame:
+    """All events through unions whose purchases have a history, written by its last version where newer and by its first elsewhere."""
+    value = event_value().withField("purchase", F.when(F.col("event_type") == "purchase", F.struct("value", F.lit("USD").alias("currency"))))
+    both = F.when(newer, PAID_EVENTS.enc(value)).otherwise(UNPAID_EVENTS.enc(event_value()))
+    return df.select("event_id", both.alias("b")).select("event_id", PAID_EVENTS.codec().try_decode(F.col("b")).alias("d"))
+
+
+add("evolve_union_case", "events", lambda df: paid_events(df, F.lit(False)).where("d.value.case = 'purchase'").select("event_id", "d.value.purchase.value", "d.value.purchase.currency"), "SELECT event_id, value, 'EUR' AS currency FROM events WHERE event_type = 'purchase'")
+add(
+    "evolve_union_case_all", "events",
+    lambda df: paid_events(df, F.col("event_id") % 2 == 1).select("event_id", "d.value.case", "d.value.purchase.value", "d.value.purchase.currency", F.col("d.value.signup").alias("user_id"), F.col("d.value.error").alias("props"), F.col("d._error").alias("error")),
+    "SELECT event_id, event_type AS \"case\", CASE WHEN event_type = 'purchase' THEN value END AS value, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 1 THEN 'USD' ELSE 'EUR' END END AS currency, CASE WHEN event_type = 'signup' THEN user_id END AS user_id, CASE WHEN event_type = 'error' THEN props END AS props, NULL AS error FROM events",
+)
 
 # sizes
 total = f"13 + {sql.size_of_string('c_name')}"

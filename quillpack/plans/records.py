@@ -175,11 +175,82 @@ class Record:
         # before the step that added it, a field is not in its history yet
         return there, [v for v in there if self.at(v).optional_since(f) is not None]
 
+    def entry_at(self, version: Column, k: int, b: Column, p: Column) -> Column:
+        """Header entry k that a writer of that version left at p; v is the size of a chunk, 0 for other entries and where there is none."""
+        none = w.result(F.lit(0).cast("bigint"), p)
+        entry = F.when(version < max(k, 1), none)
+        for v in range(max(k, 1), len(self.steps) + 1):
+            kind = self.at(v).entry_kinds()[k]
+            entry = entry.when(version == v, w.read_var_i32(b, p) if kind == 0 else w.result(F.lit(0).cast("bigint"), p + kind))
+        return entry.otherwise(none)
+
+    def field_at(self, f: Field, version: Column, b: Column, p: Column) -> Column:
+        """The field as a writer of that version left it at p; null and no bytes where it did not write it."""
+        there, tagged = self.version_sets(f)
+        null = F.lit(None).cast(f.codec.sql_type)
+        raw = F.when(version.isin(tagged), c.option(f.codec).read(b, p)) if tagged else F.when(F.lit(False), w.result(null, p))
+        plain = [v for v in there if v not in tagged]
+        raw = raw.when(version.isin(plain), f.codec.read(b, p)) if plain else raw
+        return raw.otherwise(w.result(null, p))
+
+    def field_for(self, me: Record, f: Field, version: Column, got: Column, end: Column) -> tuple[Column, list[Column]]:
+        """What a reader of version ``me`` gets for a field, and its possible errors."""
+        there, tagged = self.version_sets(f)
+        g = self.generation(f.name)
+        errors = [got["e"], F.when(version.isin(there) & (got["p"] - 1 > end), w.ENDED)]
+        early, removed = version < g, (version >= g) & ~version.isin(there)
+        default, given = me.default_of(f)
+        if me.gone(f.name) or (f not in me.fields_then()):
+            return default, errors
+        if me.optional_since(f) is None:
+            errors += [F.when(removed, w.REMOVED), F.when(version.isin(tagged) & got["v"].isNull(), w.NONE_FOUND)]
+            errors += [] if given or not g else [F.when(early, w.NO_DEFAULT)]
+        elif g and not given:
+            errors.append(F.when(early, w.FAILED))
+        return F.when(early, default).otherwise(got["v"]), errors
+
+    def read(self, b: Column, p: Column) -> Column:
+        """The record at p, written by any version of this history, as this version."""
+        n = len(self.steps)
+        shown = [f for f in self.read_fields() if f in self.fields_then()]
+        ordered = [f for g in range(n + 1) for f in self.fields if self.generation(f.name) == g and f.name not in self.to_come]
+
+        def entries(version: Column, p: Column, heads: list[Column]) -> Column:
+            if len(heads) > n:
+                starts = [p]
+                for h in heads:
+                    starts.append((starts[-1] + h["v"]).cast("int"))
+                errors = [F.when(version.isNull(), w.ENDED).when(version > n, w.FAILED), *[h["e"] for h in heads]]
+                return fields(version, starts, ordered, starts[0], errors, {})
+            return w.let(self.entry_at(version, len(heads), b, p), lambda h: entries(version, h["p"], [*heads, h]))
+
+        def fields(version: Column, starts: list[Column], todo: list[Field], p: Column, errors: list[Column], values: dict[str, Column]) -> Column:
+            if not todo:
+                after = F.when(version == 0, p).otherwise(starts[-1])
+                e = F.coalesce(*errors, F.when(after - 1 > F.octet_length(b), w.ENDED))
+                return w.result(F.struct(*[values[f.name].alias(f.name) for f in shown]), after, e)
+            f, rest = todo[0], todo[1:]
+            g = self.generation(f.name)
+            onward = rest and self.generation(rest[0].name) > g
+
+            def put(got: Column) -> Column:
+                end = F.when(version == 0, F.octet_length(b)).otherwise(starts[g + 1] - 1)
+                value, more = self.field_for(self, f, version, got, end)
+                # the next chunk starts where its sizes say; a writer of version 0 has none
+                p = F.when(version == 0, got["p"]).otherwise(starts[self.generation(rest[0].name)]) if onward else got["p"]
+                return fields(version, starts, rest, p, [*errors, *more], values | {f.name: value})
+
+            return w.let(self.field_at(f, version, b, p), put)
+
+        return w.let(w.byte_at(b, p), lambda version: entries(version, p + 1, []))
+
     def codec(self) -> c.Codec:
-        """For a record without history, as part of other values."""
+        """As part of other values; a record with a history is written as its last version and reads all of them."""
         if self.steps:
-            raise ValueError("a record with a history is read by decode_record")
-        inner = c.product(*[c.option(f.codec) if f.optional else f.codec for f in self.fields], names=[f.name for f in self.fields])
+            kind = ",".join(f"{f.name}:{f.codec.sql_type}" for f in self.read_fields() if f in self.fields_then())
+            return c.Codec(self.enc, self.read, f"struct<{kind}>")
+        fields = self.fields_then()
+        inner = c.product(*[c.option(f.codec) if f.optional else f.codec for f in fields], names=[f.name for f in fields])
         return c.Codec(self.enc, inner.read, inner.sql_type, inner.size_of)
 
 
@@ -196,12 +267,7 @@ def decode_record(df: DataFrame, buffer: str, family: Record, reader: int, out:
     df = df.withColumn("_v", w.byte_at(b, F.lit(1)))
     for k in range(n + 1):
         p = F.lit(2) if k == 0 else F.col(f"_h{k - 1}.p")
-        none = w.result(F.lit(0).cast("bigint"), p)
-        entry = F.when(version < max(k, 1), none)
-        for v in range(max(k, 1), n + 1):
-            kind = family.at(v).entry_kinds()[k]
-            entry = entry.when(version == v, w.read_var_i32(b, p) if kind == 0 else w.result(F.lit(0).cast("bigint"), p + kind))
-        df = df.withColumn(f"_h{k}", entry.otherwise(none))
+        df = df.withColumn(f"_h{k}", family.entry_at(version, k, b, p))
     start = F.when(version == 0, F.lit(2))
     for v in range(1, n + 1):
         start = start.when(version == v, F.col(f"_h{v}.p"))
@@ -214,26 +280,10 @@ def decode_record(df: DataFrame, buffer: str, family: Record, reader: int, out:
     for g in range(n + 1):
         p = F.col(f"_c{g}")
         for f in (f for f in family.fields if family.generation(f.name) == g):
-            there, tagged = family.version_sets(f)
-            null = F.lit(None).cast(f.codec.sql_type)
-            raw = F.when(version.isin(tagged), c.option(f.codec).read(b, p)) if tagged else F.when(F.lit(False), w.result(null, p))
-            plain = [v for v in there if v not in tagged]
-            raw = raw.when(version.isin(plain), f.codec.read(b, p)) if plain else raw
             name = f"_f_{f.name}"
-            df = df.withColumn(name, raw.otherwise(w.result(null, p)))
-            got, p = F.col(name), F.col(f"{name}.p")
-            errors += [got["e"], F.when(version.isin(there) & (got["p"] - 1 > end(g)), w.ENDED)]
-            early, removed = version < g, (version >= g) & ~version.isin(there)
-            if me.gone(f.name) or (f not in me.fields_then()):
-                values[f.name] = me.default_of(f)[0]
-                continue
-            default, given = me.default_of(f)
-            values[f.name] = F.when(early, default).otherwise(got["v"])
-            if me.optional_since(f) is None:
-                errors += [F.when(removed, w.REMOVED), F.when(version.isin(tagged) & got["v"].isNull(), w.NONE_FOUND)]
-                errors += [] if given or not g else [F.when(early, w.NO_DEFAULT)]
-            elif g and not given:
-                errors.append(F.when(early, w.FAILED))
+            df = df.withColumn(name, family.field_at(f, version, b, p))
+            values[f.name], more = family.field_for(me, f, version, F.col(name), end(g))
+            errors, p = errors + more, F.col(f"{name}.p")
     error = F.coalesce(*errors)
     shown = [F.when(error.isNull(), values[f.name]).alias(f.name) for f in me.read_fields() if f in me.fields_then()]
     df = df.withColumn(out, F.struct(*shown, error.alias("_error")))
