@@ -35,7 +35,7 @@ class Rule:
 
 
 RULES = (
-    Rule("enough_words", "n_words", 50, 1_000_000),
+    Rule("enough_words", "n_words", 50),
     Rule("word_length", "chars_per_word", 2.5, 12),
     Rule("symbols", "symbols_per_word", 0, 0.1),
     Rule("stop_words", "stop_words", 2),
