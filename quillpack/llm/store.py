@@ -8,10 +8,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -41,10 +44,25 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind; its results must not depend on them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes df now and cuts its lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_end(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -68,7 +86,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_end(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def local_path(self, name: str) -> str:

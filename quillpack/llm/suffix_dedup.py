@@ -2,36 +2,37 @@
 
 Every string of ``length`` bytes has an anchor, the least hash among its k-grams,
 so equal strings meet at equal anchors. Runs of strings with one anchor are a
-block. Map tasks send one entry per anchor and task to ranges of hashes; blocks
-whose anchor is in two texts are cut out of the texts,
-equal blocks are merged to the least document that has them, and the different
-blocks of an anchor go into a suffix array with common prefixes. A stack scan
-walks its tree of common-prefix intervals and reports the intervals whose
-occurrences differ in the byte on their left: maximal repeats with all their
-occurrences. A block's spans name the least document of each repeat, and an
-occurrence loses a span when that document comes before its own.
-
-Exact copies of a text are one text throughout, known by a 64-bit hash.
+block. The texts, each once, are laid out in chunks. A chunk sends its distinct
+anchors to shards by ranges of hashes and gets back one bit for each: whether
+another text has it. Blocks of such anchors go to the shards of their anchors,
+equal ones as one row that says how often it occurs. There a suffix array with
+common prefixes is scanned with a stack, which walks its tree of common-prefix
+intervals, leaves that occur several times included, and reports those whose
+occurrences differ in the byte on their left: maximal repeats of the blocks with
+all their occurrences. What the shard sends back for a block is each repeat in it
+with the least document that has it; a place in a text loses the repeat when that
+document comes before its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpack.llm.store import Scratch, release, settle, ship_code
+from quillpack.llm.store import Scratch, settle, ship_code
 
 GRAM = 24
 CHUNK_BYTES = 1 << 20
-ENTRY = np.dtype([("at", "<u4"), ("more", "<u2"), ("hash", "<u8")])
+PIECE_BYTES = 1 << 20
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -66,36 +67,56 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def blocks(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, text number, first start, further starts) of each run of strings with one anchor."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = gram_hashes(data)
-    at = least_in_windows(hashes, length - GRAM + 1)
-    long = sizes >= length
-    edge = np.zeros(len(data) + 2, np.int32)
-    np.add.at(edge, (ends - sizes)[long], 1)
-    np.add.at(edge, (ends - length + 1)[long], -1)
-    starts = np.flatnonzero(np.cumsum(edge)[: len(at)] > 0)
-    anchor = at[starts]
-    text = np.searchsorted(ends, starts, "right")
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)])) if len(starts) else np.zeros(0, np.int64)
-    more = np.diff(np.concatenate([first, [len(starts)]])) - 1
-    return hashes[anchor[first]], text[first], starts[first] - (ends - sizes)[text[first]], more
-
-
-def maximal_repeats(rows: np.ndarray, sizes: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def powers(n: int) -> np.ndarray:
+    return np.array([pow(STEP, k, 1 << 64) for k in range(n)], np.uint64)
+
+
+def blocks(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, further starts) of each run of strings with one anchor, in order of the hash.
+
+    data holds texts one after the other that end at ``ends``; runs do not cross
+    texts. Long data are done in pieces: a run cut in two is two blocks.
+    """
+    found = []
+    for at in range(0, max(len(data) - length + 1, 0), PIECE_BYTES):
+        piece = data[at : at + PIECE_BYTES + length - 1]
+        hashes = gram_hashes(piece)
+        anchor = least_in_windows(hashes, length - GRAM + 1)
+        text = np.searchsorted(ends, np.arange(at, at + len(anchor)), "right")
+        whole = np.arange(at, at + len(anchor)) + length <= ends[np.minimum(text, len(ends) - 1)]
+        starts = np.flatnonzero(whole)
+        if not len(starts):
+            continue
+        anchor, text = anchor[starts], text[starts]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)]))
+        more = np.diff(np.concatenate([first, [len(starts)]])) - 1
+        found.append((hashes[anchor[first]], at + starts[first], more))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, starts, more = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], starts[order], more[order]
+
+
+def firsts_of(sorted_values: np.ndarray) -> np.ndarray:
+    """Position of the first of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def maximal_repeats(rows: np.ndarray, sizes: np.ndarray, times: np.ndarray, alone: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bytes in common, rows, starts) of every maximal repeat of ``length`` bytes or more.
 
-    rows: zero-padded byte strings of equal width, sizes: their true lengths. The
-    start of a row differs from all others on its left, as what came before it
-    lies in another row.
+    rows: distinct zero-padded byte strings of equal width, sizes: their true
+    lengths, times: how often each occurs in the corpus, so a leaf of the interval
+    tree stands for that many occurrences and is an interval of its own from two
+    on. What lies left of a row's start differs among all rows and occurrences,
+    as the string one byte before lies under another anchor. Rows that are alone
+    under their anchor have their first suffix only: each later one has one byte
+    on its left and no other row to share it with.
     """
     width = rows.shape[1]
     counts = np.maximum(sizes - length + 1, 0)
+    counts[alone] = np.minimum(counts[alone], 1)
     of = np.repeat(np.arange(len(rows)), counts)
     start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     if not len(of):
@@ -110,6 +131,9 @@ def maximal_repeats(rows: np.ndarray, sizes: np.ndarray, length: int) -> Iterato
     before = np.where(start > 0, rows[of, np.maximum(start, 1) - 1].astype(np.int64), -1 - of)
     # the number of the last suffix of equal left bytes: an interval is diverse if this changes inside
     changed = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    # leaves that stand for several occurrences: diverse on the left at the start of a row, and not else
+    for i in np.flatnonzero((start == 0) & (times[of] > 1)).tolist():
+        yield int(rest[i]), of[i : i + 1], start[i : i + 1]
     lcp = np.concatenate([common, [0]])
     joined = np.flatnonzero(common >= length)
     if not len(joined):
@@ -127,249 +151,371 @@ def maximal_repeats(rows: np.ndarray, sizes: np.ndarray, length: int) -> Iterato
                 stack.append((here, begin))
 
 
-def texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    """(key, text), each text once in a task as far as a bounded memory of keys goes; more would do no harm."""
-    seen: set[int] = set()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as compressed byte planes."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return np.uint64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n, sizes = int(np.frombuffer(blob[:8], np.uint64)[0]), [np.dtype(k).itemsize for k in kinds]
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=max(1, n * sum(sizes))), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).reshape(-1))
+        at += n * size
+    return out
+
+
+def distinct_rows(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of one of each, number of its kind by row); the last byte of each row is not zero."""
+    _, first, kind = np.unique(np.ascontiguousarray(grid).view(f"S{grid.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    return first, kind
+
+
+def per_kind(kind: np.ndarray, n: int, reduce: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """values reduced within each of the n kinds, none of which is empty."""
+    if not n:
+        return values[:0]
+    order = np.argsort(kind, kind="stable")
+    return reduce.reduceat(values[order], np.searchsorted(kind[order], np.arange(n)))
+
+
+def spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs that begin at ``first`` and have ``many`` items: number of the run and position, for each item."""
+    run = np.repeat(np.arange(len(many)), many)
+    return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What all steps share: the string length, the number of shards, and from how many occurrences on an anchor is split."""
+
+    length: int
+    shards: int
+    hot: int
+
+    @property
+    def width(self) -> int:
+        """Bytes of a block's row: the longest run under one anchor, and its size (odd, so that the last byte is not zero)."""
+        return -(-(2 * self.length - GRAM + 2) // 8) * 8
+
+    def shard_of(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+
+    def cuts(self, sorted_hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(shard, from, to) of sorted hashes."""
+        to = self.shard_of(sorted_hashes)
+        at = [*firsts_of(to).tolist(), len(to)]
+        for a, b in zip(at, at[1:]):
+            yield int(to[a]), a, b
+
+    def grid(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of the strings at starts, zero-padded, each with its size at the end."""
+        out = np.zeros((len(starts), self.width), np.uint8)
+        span = self.width - 2
+        padded = np.concatenate([data, np.zeros(span, np.uint8)])
+        for at in range(0, len(starts), 16384):
+            part = np.lib.stride_tricks.sliding_window_view(padded, span)[starts[at : at + 16384]]
+            out[at : at + 16384, :span] = np.where(np.arange(span) < sizes[at : at + 16384, None], part, 0)
+        marked = (2 * sizes + 1).astype(">u2")
+        out[:, span:] = marked.view(np.uint8).reshape(-1, 2)
+        return out
+
+    def string_hashes(self, grid: np.ndarray) -> np.ndarray:
+        """A hash of the first string of each row."""
+        return mixed(grid[:, : self.length].astype(np.uint64) @ powers(self.length))
+
+    def as_items(self, grid: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(grid).view(f"V{self.width}").reshape(-1)
+
+    def sizes(self, grid: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(grid[:, -2:]).view(">u2").reshape(-1).astype(np.int64) // 2
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for k in range(batch.num_rows):
+            yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
+
+def texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of h1, h2 and data, each text once in a task as far as a bounded memory of hashes goes; more would do no harm."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keep = []
+        for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             if key not in seen:
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
-                yield key, text.as_py()
-
-
-def packed_by_text(keys: np.ndarray, at: np.ndarray, more: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((at, keys))
-    entries = np.zeros(len(order), ENTRY)
-    entries["at"], entries["more"], entries["hash"] = at[order], more[order], hashes[order]
-    keys = keys[order]
-    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(keys[a]), entries[a:b].tobytes()
-
-
-def merged_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64()))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, shard_bytes: int) -> DataFrame:
-    """key and spans (array of struct a, b) of every text of ``docs`` (doc_id, key, data) that repeats earlier ones.
+CHUNK = pa.schema([("chunk", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), ("rep", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("data", pa.binary())])
+CHUNK_SQL = "chunk long, h1 array<long>, h2 array<long>, rep array<long>, size array<long>, data binary"
 
-    Spans are those of its first document; exact copies of the text are not counted against it.
-    """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
-    shards = max(16, math.ceil(size / shard_bytes))
-    shard_of = lambda h: (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    sent_schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
-    sorted_entry = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<u4"), ("more", "<u2"), ("many", "u1")])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(keys: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            hashes, text, at, more = blocks(texts, length)
-            if not len(hashes):
-                return
-            order = np.argsort(hashes, kind="stable")
-            hashes, text, at, more = hashes[order], text[order], at[order], more[order]
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            run = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]]))
-            many = (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first))
-            key = np.array(keys, np.int64)[text]
-            # an anchor in two texts of this block of texts is known to be shared: it needs no other task to tell
-            shared = many[run]
-            out = [(int(k) % shards, k, e) for k, e in packed_by_text(key[shared], at[shared], more[shared], hashes[shared])]
-            # of each anchor that is not, all entries go to its range (those of one text); of one that is, a witness
-            pick = ~shared
-            pick[first[many]] = True
-            entries = np.zeros(int(pick.sum()), sorted_entry)
-            for name, values in (("hash", hashes), ("key", key), ("at", at), ("more", more), ("many", shared)):
-                entries[name] = values[pick]
-            to = shard_of(entries["hash"]).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-            for a, b in zip(cuts, cuts[1:]):
-                planes = entries[a:b].view(np.uint8).reshape(-1, sorted_entry.itemsize).T
-                out.append((int(to[a]), None, pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True) + np.uint32(b - a).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), sent_schema)], schema=sent_schema)
-
-        keys, texts, held = [], [], 0
-        for key, text in texts_once(batches):
-            keys.append(key)
-            texts.append(text)
-            held += len(text)
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of h1, h2, rep and data, sorted by the hashes, as chunks of about CHUNK_BYTES or one longer text."""
+    number = TaskContext.get().partitionId() << 33
+    rows: list[tuple] = []
+    held, last = 0, None
+
+    def full() -> pa.RecordBatch:
+        h1, h2, rep, data = zip(*rows)
+        return batch_of(CHUNK, [(number, h1, h2, rep, [len(x) for x in data], b"".join(data))])
+
+    for batch in batches:
+        for h1, h2, rep, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+            if (h1, h2) == last:
+                continue
+            last = h1, h2
+            rows.append((h1, h2, rep, data.as_py()))
+            held += len(rows[-1][3])
             if held >= CHUNK_BYTES:
-                yield from flush(keys, texts)
-                keys, texts, held = [], [], 0
-        if texts:
-            yield from flush(keys, texts)
-
-    def meet(rows: pa.Table) -> pa.Table:
-        known = rows.filter(pa.compute.is_valid(rows.column("key")))
-        out = list(zip(known.column("key").to_pylist(), known.column("data").to_pylist()))
-        parts = []
-        for blob in rows.filter(pa.compute.is_null(rows.column("key"))).column("data").to_pylist():
-            n = int(np.frombuffer(blob[-4:], np.uint32)[0])
-            planes = np.frombuffer(pa.decompress(blob[:-4], n * sorted_entry.itemsize, "zstd", asbytes=True), np.uint8).reshape(-1, n)
-            parts.append(np.ascontiguousarray(planes.T).view(sorted_entry).reshape(-1))
-        if parts:
-            x = np.concatenate(parts)
-            x = x[np.argsort(x["hash"], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]]))
-            run = np.cumsum(np.concatenate([[0], x["hash"][1:] != x["hash"][:-1]]))
-            live = (np.maximum.reduceat(x["many"], first) > 0) | (np.minimum.reduceat(x["key"], first) != np.maximum.reduceat(x["key"], first))
-            x = x[live[run] & (x["many"] == 0)]
-            out += packed_by_text(x["key"], x["at"], x["more"], x["hash"])
-        return pa.table({"key": pa.array([k for k, _ in out], pa.int64()), "entries": pa.array([e for _, e in out], pa.binary())})
-
-    texts = docs.select("key", "data")
-    live = scratch.save(texts.mapInArrow(send, "shard int, key long, data binary").groupBy("shard").applyInArrow(meet, "key long, entries binary"), "live")
-    release(spark)
-    firsts = docs.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = live.groupBy("key").agg(F.collect_list("entries").alias("entries")).join(firsts, "key").select(F.col("key").alias("of"), "rep", "entries")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, out, held = [], [], 0
-        for key, text in texts_once(batches):
-            if len(text) >= length:
-                keys.append(key)
-                out.append(text)
-                held += len(text)
-                if held >= CHUNK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "data"])
-                    keys, out, held = [], [], 0
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "data"])
-
-    cut_schema = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("hash", pa.int64()), ("key", pa.int64()), ("rep", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("bytes", pa.binary())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences of blocks (without bytes), and each block once per batch with its bytes and least document."""
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        for whole in batches:
-            for at_row in range(0, whole.num_rows, 256):
-                batch = whole.slice(at_row, 256)
-                found: dict[bytes, list] = {}
-                made, places, keys, reps, counts = [], [], [], [], []
-                for key, data, rep, lists in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "data", "rep", "entries"))):
-                    entries = np.frombuffer(b"".join(lists), ENTRY)
-                    entries = entries[np.unique(entries["at"], return_index=True)[1]]
-                    keys.append(key)
-                    reps.append(rep)
-                    counts.append(len(entries))
-                    starts = entries["at"].tolist()
-                    places += starts
-                    for at, end, h in zip(starts, (entries["at"].astype(np.int64) + entries["more"] + length).tolist(), entries["hash"].tolist()):
-                        piece = data[at:end]
-                        block = xxhash.xxh3_128_digest(piece)
-                        made.append(block)
-                        held = found.get(block)
-                        if held is None:
-                            found[block] = [h, rep, 1, piece]
-                        else:
-                            held[1], held[2] = min(held[1], rep), held[2] + 1
-                n = len(made)
-                per_row = lambda values: pa.array(np.repeat(np.array(values, np.int64), counts), pa.int64())  # noqa: E731, B023
-                columns = [pa.nulls(n, pa.int32()), pa.array(made, pa.binary()), pa.nulls(n, pa.int64()), per_row(keys), per_row(reps), pa.array(places, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=cut_schema)
-                hashes, least, times, pieces = zip(*found.values()) if found else ((), (), (), ())
-                n, to = len(hashes), shard_of(np.array(hashes, np.uint64)).astype(np.int32)
-                columns = [pa.array(to, pa.int32()), pa.array(list(found), pa.binary()), pa.array([signed(h) for h in hashes], pa.int64()), pa.nulls(n, pa.int64()), pa.array(least, pa.int64()), pa.nulls(n, pa.int32()), pa.array(times, pa.int64()), pa.array(pieces, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=cut_schema)
-
-    spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]))
-
-    def analyse(rows: pa.Table) -> pa.Table:
-        """Of each block of some anchors: spans, and for each the least document that has it."""
-        merged: dict[bytes, list] = {}
-        for block, h, rep, n, piece in zip(*(rows.column(c).to_pylist() for c in ("block", "hash", "rep", "n", "bytes"))):
-            held = merged.get(block)
-            if held is None:
-                merged[block] = [h, rep, n, piece, []]
-            else:
-                held[1], held[2] = min(held[1], rep), held[2] + n
-        items = sorted(merged.values(), key=lambda x: (x[0], x[3]))
-        groups, a = [], 0
-        for k in range(1, len(items) + 1):
-            if k == len(items) or items[k][0] != items[a][0]:
-                if k - a > 1:
-                    groups.append((a, k))
-                a = k
-
-        def scan(chosen: list[list]) -> None:
-            pieces = [x[3] for x in chosen]
-            width = -(-max(map(len, pieces)) // 8) * 8
-            grid = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-            reps = np.array([x[1] for x in chosen], np.int64)
-            for depth, of, start in maximal_repeats(grid, np.array([len(p) for p in pieces]), length):
-                least = int(reps[of].min())
-                for k, s in zip(of.tolist(), start.tolist()):
-                    chosen[k][4].append((s, s + depth, least))
-
-        pending: list[list] = []
-        for a, b in groups:
-            pending += items[a:b]
-            if len(pending) >= 8192:
-                scan(pending)
-                pending = []
-        if pending:
-            scan(pending)
+                yield full()
+                rows, held, number = [], 0, number + 1
+    if rows:
+        yield full()
+
+
+def anchors(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sends the distinct anchors of each chunk to their shards: 48 bits of the hash, how often, and whether in two texts."""
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("anchors", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            ends = np.cumsum(row["size"])
+            hashes, starts, _ = blocks(np.frombuffer(row["data"], np.uint8), ends, plan.length)
+            if not len(hashes):
+                continue
+            first = firsts_of(hashes)
+            text = np.searchsorted(ends, starts, "right")
+            many = (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)).astype(np.uint8)
+            times = np.minimum(np.diff(np.concatenate([first, [len(hashes)]])), 65535).astype("<u2")
+            short, out = hashes[first] >> np.uint64(16), []
+            for shard, a, b in plan.cuts(hashes[first]):
+                step = np.diff(short[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                out.append((shard, row["chunk"], pack(np.ascontiguousarray(step).view("V6").reshape(-1), times[a:b], many[a:b])))
+            yield batch_of(schema, out)
+
+    return run
+
+
+def shared(plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    """Of one shard's anchors: a bit for each that two texts have, and one for each that has more than ``hot`` occurrences, back to the chunks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        chunk, hashes, times, many, sizes = rows.column("chunk"), [], [], [], []
+        for blob in rows.column("anchors"):
+            step, t, m = unpack(blob.as_py(), "V6", "<u2", "u1")
+            wide = np.zeros((len(step), 8), np.uint8)
+            wide[:, :6] = step.view(np.uint8).reshape(-1, 6)
+            hashes.append(np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64))
+            times.append(t)
+            many.append(m)
+            sizes.append(len(step))
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes, kind="stable")
+        first = firsts_of(hashes[order])
+        count = np.diff(np.concatenate([first, [len(order)]]))
+        live = (count > 1) | (np.maximum.reduceat(np.concatenate(many)[order], first) > 0)
+        hot = live & (np.add.reduceat(np.concatenate(times)[order], first, dtype=np.int64) > plan.hot)
+        marks = np.zeros((2, len(order)), bool)
+        marks[:, order] = np.repeat(np.stack([live, hot]), count, axis=1)
+        cuts = np.cumsum([0, *sizes]).tolist()
+        bits = [[np.packbits(x[a:b]).tobytes() if x[a:b].any() else b"" for a, b in zip(cuts, cuts[1:])] for x in marks]
+        return pa.table({"of": chunk, "shard": rows.column("shard"), "live": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
+
+    return run
+
+
+def pieces(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts the blocks of shared anchors: distinct ones to their shards, their places to a row of the chunk.
+
+    A block of a hot anchor is cut into its strings, which are dealt by a hash of
+    their own bytes, so no shard gets all the blocks of such an anchor.
+    """
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            data, ends, reps = np.frombuffer(row["data"], np.uint8), np.cumsum(row["size"]), np.array(row["rep"], np.int64)
+            hashes, starts, more = blocks(data, ends, plan.length)
+            first = firsts_of(hashes)
+            marks = np.zeros((2, len(first)), bool)
+            bits = {x["shard"]: (x["live"], x["hot"]) for x in row["bits"]}
+            for shard, a, b in plan.cuts(hashes[first]):
+                for k, x in enumerate(bits.get(shard, ())):
+                    if x:
+                        marks[k, a:b] = np.unpackbits(np.frombuffer(x, np.uint8), count=b - a)
+            live, hot = np.repeat(marks, np.diff(np.concatenate([first, [len(hashes)]])), axis=1)
+            whole, split = np.flatnonzero(live & ~hot), np.flatnonzero(hot)
+            of, at = spread(starts[split], more[split] + 1)
+            starts, sizes = np.concatenate([starts[whole], at]), np.concatenate([more[whole], np.zeros(len(at), np.int64)]) + plan.length
+            if not len(starts):
+                continue
+            grid = plan.grid(data, starts, sizes)
+            hashes = np.concatenate([hashes[whole], plan.string_hashes(grid[len(whole) :])])
+            one, kind = distinct_rows(grid)
+            order = np.argsort(hashes[one], kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            kind, one = rank[kind], one[order]
+            rep = reps[np.searchsorted(ends, starts, "right")]
+            least, times = per_kind(kind, len(one), np.minimum, rep), np.minimum(np.bincount(kind, minlength=len(one)), 2).astype(np.uint8)
+            out = [(None, row["chunk"], 0, pack(kind.astype("<u4"), starts.astype("<u4")))]
+            for shard, a, b in plan.cuts(hashes[one]):
+                out.append((shard, row["chunk"], a, pack(hashes[one[a:b]].astype("<u8"), least[a:b].astype("<i8"), times[a:b], plan.as_items(grid[one[a:b]]))))
+            yield batch_of(schema, out)
+
+    return run
+
+
+def repeats(plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    """Of one shard's blocks: the spans of their maximal repeats with the least document that has each, back to the chunks."""
+    kinds = ("<u8", "<i8", "u1", f"V{plan.width}")
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py(), *kinds) for x in rows.column("data")]
+        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        hashes, rep, times, items = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        grid = items.view(np.uint8).reshape(-1, plan.width)
+        one, kind = distinct_rows(grid)
+        n = len(one)
+        least, times = per_kind(kind, n, np.minimum, rep), np.minimum(per_kind(kind, n, np.add, times.astype(np.int64)), 2)
+        order = np.argsort(hashes[one], kind="stable")
+        under = hashes[one][order]
+        first = firsts_of(under)
+        alone = np.zeros(n, bool)
+        group = np.diff(np.concatenate([first, [n]]))
+        alone[order[first[group == 1]]] = True
+        wanted = np.repeat((group > 1) | (times[order[first]] > 1), group)
+        order, under = order[wanted], under[wanted]
+        found: list[tuple[np.ndarray, ...]] = []
+        ends = np.append(firsts_of(under)[1:], len(order))
+        a = 0
+        while a < len(order):  # whole anchors, about 8192 rows at a time
+            b = int(ends[min(np.searchsorted(ends, a + 8192), len(ends) - 1)])
+            chosen = order[a:b]
+            text = grid[one[chosen]]
+            sizes, reps = plan.sizes(text), least[chosen]
+            text[:, -2:] = 0
+            depths, ofs, starts = [], [], []
+            for depth, of, start in maximal_repeats(text, sizes, times[chosen], alone[chosen], plan.length):
+                depths.append(depth)
+                ofs.append(of)
+                starts.append(start)
+            if ofs:
+                many = [len(x) for x in ofs]
+                of, start, depth = np.concatenate(ofs), np.concatenate(starts), np.repeat(depths, many)
+                low = np.repeat(np.minimum.reduceat(reps[of], np.cumsum([0, *many[:-1]])), many)
+                useful = (reps[of] > low) | (times[chosen][of] > 1)
+                found.append((chosen[of][useful], start[useful], (start + depth)[useful], low[useful]))
+            a = b
+        empty = [np.zeros(0, np.int64)] * 4
+        row, begin, end, low = (np.concatenate(c) for c in zip(*found)) if found else empty
+        by_row = np.argsort(row, kind="stable")
+        row, begin, end, low = row[by_row], begin[by_row], end[by_row], low[by_row]
+        at, count = np.searchsorted(row, np.arange(n)), np.bincount(row, minlength=n)
         out = []
-        for block, (_, rep, n, piece, spans) in merged.items():
-            spans = sorted({(0, len(piece), rep)} | set(spans)) if n > 1 else sorted(set(spans))
-            if spans:
-                out.append((block, [{"a": a, "b": b, "least": m} for a, b, m in spans]))
-        return pa.table({"of": pa.array([b for b, _ in out], pa.binary()), "spans": pa.array([s for _, s in out], spans_type)})
-
-    joined = texts.mapInArrow(once, "key long, data binary").join(wanted, F.col("key") == F.col("of")).select("key", "data", "rep", "entries")
-    pieces = scratch.save(joined.mapInArrow(cut, "shard int, block binary, hash long, key long, rep long, at int, n long, bytes binary"), "pieces")
-    scratch.drop("live")
-    release(spark)
-    defined = pieces.where("bytes is not null").select("shard", "block", "hash", "rep", "n", "bytes")
-    spans = scratch.save(defined.groupBy("shard").applyInArrow(analyse, "of binary, spans array<struct<a:int,b:int,least:long>>"), "spans")
-    occurrences = pieces.where("bytes is null").select("block", "key", "rep", "at")
-    hits = occurrences.join(spans, F.col("block") == F.col("of")).select("key", "rep", "at", F.explode("spans").alias("s")).where("s.least < rep")
-    return hits.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b"))).alias("spans"))
-
-
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+        for k, (chunk, base) in enumerate(zip(rows.column("chunk").to_pylist(), rows.column("base").to_pylist())):
+            mine = kind[cuts[k] : cuts[k + 1]]
+            piece, span = spread(at[mine], count[mine])
+            if len(piece):
+                out.append((chunk, pack((base + piece).astype("<u4"), begin[span].astype("<u2"), end[span].astype("<u2"), low[span].astype("<i8"))))
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([x[1] for x in out], pa.binary())})
+
+    return run
+
+
+def cleaned(plan: Plan, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes the spans of earlier documents out of the texts of a chunk; one row for each text that loses some."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("removed", pa.int64()), ("cuts", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            kind, place = unpack(row["places"], "<u4", "<u4")
+            parts = [unpack(x, "<u4", "<u2", "<u2", "<i8") for x in row["spans"]]
+            piece, begin, end, low = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(piece, kind="stable")
+            piece, begin, end, low = piece[order], begin[order].astype(np.int64), end[order].astype(np.int64), low[order]
+            n = int(max(kind.max(), piece.max())) + 1
+            at, count = np.searchsorted(piece, np.arange(n)), np.bincount(piece, minlength=n)
+            ends, reps = np.cumsum(row["size"]), np.array(row["rep"], np.int64)
+            hit, span = spread(at[kind], count[kind])
+            place = place[hit].astype(np.int64)
+            text = np.searchsorted(ends, place, "right")
+            earlier = low[span] < reps[text]
+            place, text, span = place[earlier], text[earlier], span[earlier]
+            begin, end = place + begin[span], place + end[span]
+            order = np.argsort(begin, kind="stable")
+            begin, end, text = begin[order], end[order], text[order]
+            if not len(begin):
+                continue
+            reach = np.maximum.accumulate(end)
+            new = np.flatnonzero(np.concatenate([[True], (begin[1:] > reach[:-1]) | (text[1:] != text[:-1])]))
+            begin, end, text = begin[new], np.maximum.reduceat(end, new), text[new]
+            data, out = row["data"], []
+            firsts = [*firsts_of(text).tolist(), len(text)]
+            for a, b in zip(firsts, firsts[1:]):
+                t = int(text[a])
+                to = int(ends[t])
+                kept = b"".join(data[x:y] for x, y in zip([to - row["size"][t], *end[a:b].tolist()], [*begin[a:b].tolist(), to]))
+                out.append((row["h1"][t], row["h2"][t], row["size"][t] - len(kept), b - a, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            yield batch_of(schema, out)
+
+    return run
+
+
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 4 << 20, hot: int = 16384, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with_text: also kept, the bytes left) per input row.
 
     Removes each byte covered by a string of ``length`` bytes that also starts in
     a document with a smaller id. Ids are whole numbers. A null text is empty; a
     row with a null id loses nothing and takes nothing from others; rows with
-    equal ids take nothing from each other.
+    equal ids take nothing from each other. No rows give no rows. Texts are told
+    apart by two 64-bit hashes of different seeds.
     """
     spark = df.sparkSession
     ship_code(spark)
-    data = F.coalesce(df[text_col], F.lit("")).cast("binary")
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(data).alias("key"), data.alias("data"))
+    if length < GRAM + 1:
+        raise ValueError(f"strings have more than {GRAM} bytes")
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).cast("binary").alias("data"))
+    docs = docs.select("doc_id", F.xxhash64("data").alias("h1"), F.xxhash64(F.lit(7), "data").alias("h2"), "data")
     with Scratch(spark) as scratch:
-        facts = scratch.save(docs.select("doc_id", "key", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha")), "facts")
-        found = scratch.save(repeated_spans(docs, scratch, length, shard_bytes), "found")
-        release(spark)
-
-        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for key, data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    cuts = merged_spans([(s["a"], s["b"]) for s in spans])
-                    kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(data)]))
-                    out.append((key, len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["of", "removed", "cuts", "kept_sha", "kept"])
-
-        cut = docs.select("key", "data").join(found.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "data", "spans").mapInArrow(rest, "of long, removed long, cuts long, kept_sha string, kept binary")
-        cut = settle(cut.dropDuplicates(["of"]))
-        firsts = settle(facts.groupBy(F.col("key").alias("first_of")).agg(F.min("doc_id").alias("rep")))
-        rows = facts.join(firsts, F.col("key") == F.col("first_of")).join(cut, F.col("key") == F.col("of"), "left")
+        facts = scratch.save(docs.select("doc_id", "h1", "h2", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha")), "facts")
+        size = facts.agg(F.sum("n_bytes")).first()[0] or 0
+        plan = Plan(length, max(16, math.ceil(size / shard_bytes)), hot)
+        firsts = facts.where("doc_id is not null").groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min("doc_id").alias("rep"))
+        firsts = scratch.save(firsts, "firsts")
+        # each task sends a text once, so many copies are few rows; the merge join leaves them sorted by text
+        texts = docs.where((F.octet_length("data") >= length) & F.col("doc_id").isNotNull()).select("h1", "h2", "data").mapInArrow(texts_once, "h1 long, h2 long, data binary")
+        sorted_texts = texts.join(firsts.hint("merge"), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).select("h1", "h2", "rep", "data")
+        chunks = scratch.save(sorted_texts.mapInArrow(chunked, CHUNK_SQL), "chunks")
+        sent = chunks.select("chunk", "size", "data").mapInArrow(anchors(plan), "shard int, chunk long, anchors binary")
+        marks = scratch.save(sent.groupBy("shard").applyInArrow(shared(plan), "of long, shard int, live binary, hot binary"), "marks")
+        bits = marks.where(F.octet_length("live") > 0).groupBy("of").agg(F.collect_list(F.struct("shard", "live", "hot")).alias("bits"))
+        cut = chunks.join(bits, F.col("chunk") == F.col("of")).select("chunk", "rep", "size", "data", "bits")
+        cut = scratch.save(cut.mapInArrow(pieces(plan), "shard int, chunk long, base long, data binary"), "pieces")
+        scratch.drop("marks")
+        spans = cut.where("shard is not null").groupBy("shard").applyInArrow(repeats(plan), "chunk long, spans binary")
+        spans = scratch.save(spans, "spans")
+        places = cut.where("shard is null").select(F.col("chunk").alias("p"), F.col("data").alias("places"))
+        spans = spans.groupBy(F.col("chunk").alias("s")).agg(F.collect_list("spans").alias("spans"))
+        hit = chunks.join(places.join(spans, F.col("p") == F.col("s")), F.col("chunk") == F.col("p")).select("h1", "h2", "rep", "size", "data", "places", "spans")
+        rest = scratch.save(hit.mapInArrow(cleaned(plan, with_text), "c1 long, c2 long, removed long, cuts long, kept_sha string, kept binary"), "rest")
+        rest = rest.dropDuplicates(["c1", "c2"])
+        rows = facts.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left").join(rest, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
         copy = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= length), F.lit(False))
-        own = F.col("doc_id").isNotNull() & F.col("of").isNotNull()
+        own = F.col("doc_id").isNotNull() & F.col("c1").isNotNull()
         out = rows.select(
             "doc_id", "n_bytes",
             F.when(copy, F.col("n_bytes")).when(own, F.col("removed")).otherwise(0).cast("long").alias("n_removed"),
