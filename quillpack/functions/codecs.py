@@ -32,6 +32,8 @@ class Codec:
     read: Read
     sql_type: str
     size_of: Callable[[Column], Column] | None = None
+    least: int = 1  # bytes that any value takes at least
+    width: int | None = None  # bytes that every value takes, where no bytes of that many are wrong
 
     def size(self, x: Column) -> Column:
         """Bytes that enc(x) has, without building them where a formula is known."""
@@ -44,11 +46,12 @@ class Codec:
             extra = F.when(r["p"] <= F.octet_length(b), F.lit(w.FAILED)) if strict else F.lit(None)
             return let_error(F.coalesce(r["e"], extra), r["v"])
 
-        return w.let(self.read(b, F.lit(1)), finish)
+        # a bound buffer is not copied out of its row again for each place that reads it
+        return w.let(b, lambda b: w.let(self.read(b, F.lit(1)), finish))
 
     def try_decode(self, b: Column) -> Column:
         """struct of value and _error; the value is null where there is an error."""
-        return w.let(self.read(b, F.lit(1)), lambda r: F.struct(F.when(r["e"].isNull(), r["v"]).alias("value"), r["e"].alias("_error")))
+        return w.let(b, lambda b: w.let(self.read(b, F.lit(1)), lambda r: F.struct(F.when(r["e"].isNull(), r["v"]).alias("value"), r["e"].alias("_error"))))
 
 
 def let_error(e: Column, v: Column) -> Column:
@@ -56,18 +59,24 @@ def let_error(e: Column, v: Column) -> Column:
 
 
 def fixed(width: int, sql_type: str, make: Callable[[Column], Column], enc: Callable[[Column], Column] | None = None) -> Codec:
-    return Codec(enc or (lambda x: w.be(x, width)), w.read_fixed(width, lambda h: make(h).cast(sql_type)), sql_type, lambda x: F.lit(width))
+    return Codec(enc or (lambda x: w.be(x, width)), w.read_fixed(width, lambda h: make(h).cast(sql_type)), sql_type, lambda x: F.lit(width), width, width)
 
 
-i8, i16, i32, i64 = (fixed(n, kind, w.signed(n)) for n, kind in ((1, "tinyint"), (2, "smallint"), (4, "int"), (8, "bigint")))
+def in_range(x: Column, top: int, low: int = 0) -> Column:
+    return F.when((x < low) | (x > top), F.raise_error(F.lit("LengthTooLarge: not a number of that width"))).otherwise(x)
 
 
-def in_range(x: Column, top: int) -> Column:
-    return F.when((x < 0) | (x > top), F.raise_error(F.lit("LengthTooLarge: not an unsigned number of that width"))).otherwise(x)
+def whole(n: int, kind: str) -> Codec:
+    half = 1 << (8 * n - 1)
+    return fixed(n, kind, w.signed(n), (lambda x: w.be(in_range(x, half - 1, -half), n)) if n < 8 else None)
+
+
+i8, i16, i32, i64 = (whole(n, kind) for n, kind in ((1, "tinyint"), (2, "smallint"), (4, "int"), (8, "bigint")))
 
 
 u8, u16, u32 = (fixed(n, kind, w.unsigned, lambda x, n=n: w.be(in_range(x, (1 << 8 * n) - 1), n)) for n, kind in ((1, "smallint"), (2, "int"), (4, "bigint")))
 u64 = fixed(8, "decimal(20,0)", w.unsigned, w.be_u64)
+isize, usize = i64, u64  # as wide as on any machine
 
 
 def of_halves(h: Column) -> Column:
@@ -80,9 +89,9 @@ bits_of = lambda cls, method: lambda n: F.call_function("reflect", F.lit(cls), F
 f64 = fixed(8, "double", lambda h: bits_of("java.lang.Double", "longBitsToDouble")(F.conv(h, 16, -10).cast("bigint")), lambda x: w.be(w.f64_bits(x), 8))
 f32 = fixed(4, "float", lambda h: bits_of("java.lang.Float", "intBitsToFloat")(w.signed(4)(h).cast("int")), lambda x: w.be(w.f32_bits(x), 4))
 boolean = fixed(1, "boolean", lambda h: h != "00", lambda x: F.when(x, w.constant(b"\1")).otherwise(w.constant(b"\0")))
-unit = Codec(lambda x: w.constant(b""), lambda b, p: w.result(F.lit(None).cast("string"), p), "string", lambda x: F.lit(0))
-var_u32 = Codec(w.var_u32, w.read_var_u32, "bigint", w.var_u32_size)
-var_i32 = Codec(w.var_i32, w.read_var_i32, "bigint", lambda x: w.var_u32_size(w.zigzag(x)))
+unit = Codec(lambda x: w.constant(b""), lambda b, p: w.result(F.lit(None).cast("string"), p), "string", lambda x: F.lit(0), 0, 0)
+var_u32 = Codec(lambda x: w.var_u32(in_range(x, (1 << 32) - 1)), w.read_var_u32, "bigint", w.var_u32_size)
+var_i32 = Codec(lambda x: w.var_i32(in_range(x, (1 << 31) - 1, -(1 << 31))), w.read_var_i32, "bigint", lambda x: w.var_u32_size(w.zigzag(x)))
 string = Codec(w.string, w.read_string, "string", w.string_size)
 block = Codec(w.block, w.read_block, "binary", lambda x: F.octet_length(x) + w.var_u32_size(F.octet_length(x)))
 
@@ -93,7 +102,7 @@ def mapped(inner: Codec, to: Callable[[Column], Column], back: Callable[[Column]
     def read(b: Column, p: Column) -> Column:
         return w.let(inner.read(b, p), lambda r: w.result(back(r["v"]).cast(sql_type), r["p"], F.coalesce(r["e"], wrong(r["v"]) if wrong else F.lit(None).cast("string"))))
 
-    return Codec(lambda x: inner.enc(to(x)), read, sql_type, size_of)
+    return Codec(lambda x: inner.enc(to(x)), read, sql_type, size_of, inner.least)
 
 
 def nonzero(inner: Codec) -> Codec:
@@ -102,10 +111,15 @@ def nonzero(inner: Codec) -> Codec:
 
 def char(options: Options = Options()) -> Codec:
     """One code point."""
+
+    def single(x: Column) -> Column:
+        return F.when(F.char_length(x) != 1, F.raise_error(F.lit("FailedToDecodeCharacter: not one character"))).otherwise(F.ascii(x))
+
     if options.utf16_chars:
-        outside = lambda x: F.when(F.ascii(x) > 0xFFFF, F.raise_error(F.lit("FailedToDecodeCharacter: outside two bytes"))).otherwise(F.ascii(x))
+        outside = lambda x: F.when(F.ascii(x) > 0xFFFF, F.raise_error(F.lit("FailedToDecodeCharacter: outside two bytes"))).otherwise(single(x))
         return mapped(u16, outside, lambda v: F.decode(w.be(v, 2), "UTF-16BE"), "string", lambda v: F.when(v.between(0xD800, 0xDFFF), "FailedToDecodeCharacter"))
-    return mapped(var_u32, F.ascii, lambda v: F.decode(w.be(v, 4), "UTF-32"), "string")
+    wrong = lambda v: F.when((v > 0x10FFFF) | v.between(0xD800, 0xDFFF), "FailedToDecodeCharacter")
+    return mapped(var_u32, single, lambda v: F.when(wrong(v).isNull(), F.decode(w.be(v, 4), "UTF-32")), "string", wrong)
 
 
 def product(*codecs: Codec, names: list[str] | None = None, head: bytes = b"\0") -> Codec:
@@ -122,7 +136,7 @@ def product(*codecs: Codec, names: list[str] | None = None, head: bytes = b"\0")
 
     kind = f"struct<{','.join(f'{n}:{c.sql_type}' for c, n in zip(codecs, names))}>"
     total = lambda x: sum((c.size(x[n]) for c, n in zip(codecs, names)), F.lit(len(head)))
-    return Codec(lambda x: F.concat(w.constant(head), *[c.enc(x[n]) for c, n in zip(codecs, names)]), read, kind, total)
+    return Codec(lambda x: F.concat(w.constant(head), *[c.enc(x[n]) for c, n in zip(codecs, names)]), read, kind, total, len(head) + sum(c.least for c in codecs))
 
 
 def tuple_of(*codecs: Codec) -> Codec:
@@ -171,40 +185,69 @@ def bound(inner: Codec) -> Codec:
     return Codec(enc, lambda b, p: tagged(b, p, {0: lambda q: w.result(made(0, null()), q), 1: case(b, 1), 2: case(b, 2)}, F.lit(None).cast(kind)), kind)
 
 
+def joined(x: Column, item: Callable[[Column], Column]) -> Column:
+    """The bytes of all items one after the other, as one text of hexadecimal digits, so that none are copied again for each item."""
+    return F.unhex(F.array_join(F.transform(x, lambda i: F.hex(item(i))), ""))
+
+
+STEPS = 256  # items that are read before they are put with the others, as an array is copied for each
+
+
 def sequence(inner: Codec, known_size: bool = True) -> Codec:
-    """An array: its count and items, or -1 and each item behind a one, ended by a zero. Reads both forms."""
-    join = lambda x, before: F.aggregate(F.transform(x, lambda i: F.concat(before, inner.enc(i))), w.constant(b""), lambda a, i: F.concat(a, i))
+    """An array: its count and items, or -1 and each item behind a one, ended by a zero. Reads both forms.
+
+    Items of one width are read at their places; others one after the other, in
+    runs of STEPS, so an array of n items is read in about n steps. A count whose
+    items cannot be in the bytes that are left is an error before any is read.
+    """
     if known_size:
-        enc = lambda x: F.concat(w.var_u32(2 * F.size(x)), join(x, w.constant(b"")))
+        enc = lambda x: F.concat(w.var_u32(2 * F.size(x)), joined(x, inner.enc))
     else:
-        enc = lambda x: F.concat(w.constant(b"\1"), join(x, w.constant(b"\1")), w.constant(b"\0"))
+        enc = lambda x: F.concat(w.constant(b"\1"), joined(x, lambda i: F.concat(w.constant(b"\1"), inner.enc(i))), w.constant(b"\0"))
     kind = f"array<{inner.sql_type}>"
+    none = lambda: F.lit(None).cast(kind)
+    empty = lambda: F.array().cast(kind)
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def runs(n: Column, p: Column, stop: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+        """n steps from a state of no items at p, in two levels: the items of a run, and all runs."""
+        state = lambda v, x: F.struct(v.alias("v"), x["p"].alias("p"), x["e"].alias("e"), x["done"].alias("done"))
+        start = lambda v, p: F.struct(v.alias("v"), p.alias("p"), F.lit(None).cast("string").alias("e"), F.lit(False).alias("done"))
+
+        def run(all_runs: Column, k: Column) -> Column:
+            some = F.aggregate(upto(F.least(n - (k - 1) * STEPS, F.lit(STEPS))), state(empty(), all_runs), lambda acc, _: F.when(stop(acc), acc).otherwise(step(acc)))
+            return F.when(stop(all_runs), all_runs).otherwise(w.let(some, lambda x: state(F.array_append(all_runs["v"], x["v"]), x)))
+
+        nothing = F.array().cast(f"array<{kind}>")
+        return w.let(F.aggregate(upto(F.ceil(n / STEPS)), start(nothing, p), run), lambda x: state(F.flatten(x["v"]), x))
+
+    stopped = lambda acc: acc["e"].isNotNull() | acc["done"]
+    after = lambda acc, r: F.struct(F.array_append(acc["v"], r["v"]).alias("v"), r["p"].alias("p"), r["e"].alias("e"), F.lit(False).alias("done"))
 
     def read(b: Column, p: Column) -> Column:
-        empty = F.lit(None).cast(kind)
-        add = lambda acc, r: w.result(F.array_append(acc["v"], r["v"]), r["p"], r["e"])
-        on = lambda acc: w.let(inner.read(b, acc["p"]), lambda r: add(acc, r))
-        start = lambda p: w.result(F.array().cast(kind), p)
+        return w.let(b, lambda b: items_at(b, p))
 
+    def items_at(b: Column, p: Column) -> Column:
         def counted(r: Column) -> Column:
-            step = lambda acc, _: F.when(acc["e"].isNotNull(), acc).otherwise(on(acc))
-            items = F.when(r["v"] > 0, F.sequence(F.lit(1), F.least(r["v"], F.octet_length(b) + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-            return F.aggregate(items, start(r["p"]), step)
+            n, left = r["v"], F.octet_length(b) + 1 - r["p"]
+            if inner.width:
+                at = lambda i: inner.read(b, r["p"] + (i - 1) * inner.width)["v"]
+                found = w.result(F.transform(upto(n), at), (r["p"] + n * inner.width).cast("int"))
+            else:
+                found = w.let(runs(n, r["p"], stopped, lambda acc: w.let(inner.read(b, acc["p"]), lambda x: after(acc, x))), lambda x: w.result(x["v"], x["p"], x["e"]))
+            return F.when(n * inner.least > left, w.result(none(), r["p"], w.ENDED)).otherwise(found)
 
         def marked(r: Column) -> Column:
             # the steps are as many as bytes are left, and stop at the zero byte
-            done = lambda acc: (acc["e"].isNotNull()) | (acc["stop"] == 1)
-            state = lambda x, stop: F.struct(x["v"].alias("v"), x["p"].alias("p"), x["e"].alias("e"), F.lit(stop).alias("stop"))
-            ended = lambda acc, e, stop: F.struct(acc["v"].alias("v"), (acc["p"] + 1).alias("p"), F.lit(e).cast("string").alias("e"), F.lit(stop).alias("stop"))
-
-            def step(acc: Column, _: Column) -> Column:
-                item = w.let(inner.read(b, acc["p"] + 1), lambda r: state(add(acc, r), 0))
-                return F.when(done(acc), acc).otherwise(w.let(w.byte_at(b, acc["p"]), lambda t: F.when(t == 1, item).when(t == 0, ended(acc, None, 1)).otherwise(ended(acc, w.FAILED, 1))))
+            ended = lambda acc, e: F.struct(acc["v"].alias("v"), (acc["p"] + 1).alias("p"), F.lit(e).cast("string").alias("e"), F.lit(True).alias("done"))
+            item = lambda acc: w.let(inner.read(b, acc["p"] + 1), lambda x: after(acc, x))
+            step = lambda acc: w.let(w.byte_at(b, acc["p"]), lambda t: F.when(t == 1, item(acc)).when(t == 0, ended(acc, None)).otherwise(ended(acc, w.FAILED)))
+            all_steps = runs(F.octet_length(b) - r["p"] + 1, r["p"], stopped, step)
+            return w.let(all_steps, lambda x: w.result(x["v"], x["p"], F.when(x["e"].isNull() & ~x["done"], w.ENDED).otherwise(x["e"])))
 
-            steps = F.sequence(F.lit(1), F.greatest(F.octet_length(b) - r["p"] + 1, F.lit(1)))
-            return w.let(F.aggregate(steps, state(start(r["p"]), 0), step), lambda x: w.result(x["v"], x["p"], F.when(x["e"].isNull() & (x["stop"] == 0), w.ENDED).otherwise(x["e"])))
-
-        return w.let(w.read_var_i32(b, p), lambda r: F.when(r["e"].isNotNull(), w.result(empty, p, r["e"])).when(r["v"] < -1, w.result(empty, p, w.FAILED)).when(r["v"] == -1, marked(r)).otherwise(counted(r)))
+        return w.let(w.read_var_i32(b, p), lambda r: F.when(r["e"].isNotNull(), w.result(none(), p, r["e"])).when(r["v"] < -1, w.result(none(), p, w.FAILED)).when(r["v"] == -1, marked(r)).otherwise(counted(r)))
 
     return Codec(enc, read, kind)
 
@@ -226,7 +269,11 @@ def set_of(inner: Codec) -> Codec:
 def map_of(key: Codec, value: Codec) -> Codec:
     """Entries in order of their keys, so that equal maps have equal bytes; the last of repeated keys counts when read."""
     entry = product(key, value, names=["key", "value"])
-    later = lambda v: F.filter(v, lambda x, i: ~F.exists(F.slice(v, i + 2, F.greatest(F.size(v) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
+    # entries in order of keys and places; of equal keys the last stays
+    numbered = lambda v: F.array_sort(F.transform(v, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+    lasts = lambda v: F.filter(v, lambda x, i: (i == F.size(v) - 1) | ~F.coalesce(F.get(v, i + 1)["key"] == x["key"], F.lit(False)))
+    pairs = lambda v: F.transform(lasts(v), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    later = lambda v: w.let(numbered(v), pairs)
     return mapped(sequence(entry), lambda m: F.array_sort(F.map_entries(m)), lambda v: F.map_from_entries(later(v)), f"map<{key.sql_type},{value.sql_type}>")
 
 
@@ -257,10 +304,22 @@ bigint64 = mapped(block, least_bytes, of_least_bytes, "bigint", lambda v: F.when
 
 
 def decimal_binary(p: int, s: int) -> Codec:
-    """The scale and the unscaled number, which must fit 64 bits."""
-    to = lambda x: F.struct(F.lit(s).cast("bigint").alias("scale"), (x.cast(f"decimal({p},{s})") * F.lit(10**s)).cast("bigint").alias("unscaled"))
-    back = lambda v: v["unscaled"].cast("decimal(38,10)") / F.pow(F.lit(10), v["scale"]).cast("decimal(20,0)")
-    return mapped(product(i64, bigint64, names=["scale", "unscaled"], head=b""), to, back, f"decimal({p},{s})")
+    """The scale and the unscaled number, which must fit 64 bits; read exactly, whatever the writer's scale."""
+
+    def to(x: Column) -> Column:
+        digits = F.replace(x.cast(f"decimal({p},{s})").cast("string"), F.lit("."), F.lit(""))
+        return F.struct(F.lit(s).cast("bigint").alias("scale"), digits.cast("decimal(38,0)").cast("bigint").alias("unscaled"))
+
+    def back(v: Column) -> Column:
+        digits = F.abs(v["unscaled"].cast("decimal(20,0)")).cast("string")
+        places = F.greatest(v["scale"], F.lit(0)).cast("int")
+        filled = F.lpad(digits, F.greatest(F.length(digits), places + 1), "0")
+        text = F.concat(F.when(v["unscaled"] < 0, "-").otherwise(""), F.substring(filled, F.lit(1), F.length(filled) - places), F.lit("."), F.right(filled, places))
+        return F.concat(F.rtrim(text, F.lit(".")), F.when(v["scale"] < 0, F.repeat(F.lit("0"), -v["scale"].cast("int"))).otherwise("")).try_cast(f"decimal({p},{s})")
+
+    wrong = lambda v: F.when(~v["scale"].between(-38, 76), w.FAILED).when(back(v).isNull(), w.FAILED)
+    guarded = lambda v: F.when(v["scale"].between(-38, 76), back(v))
+    return mapped(product(i64, bigint64, names=["scale", "unscaled"], head=b""), to, guarded, f"decimal({p},{s})", wrong)
 
 
 def decimal(p: int, s: int, options: Options = Options()) -> Codec:
@@ -306,13 +365,15 @@ zone = mapped(product(string, head=b"\1"), lambda s: F.struct(s.alias("_0")), la
 #: struct<local, offset> with the local time; struct<utc, tz> with the time in UTC
 datetime_offset = product(datetime_naive, offset, names=["local", "offset"], head=b"")
 datetime_zone = product(datetime_naive, zone, names=["utc", "tz"], head=b"")
+eighth = lambda x, k: F.lpad(F.hex(sum((F.when(F.coalesce(F.get(x, 8 * k + i), F.lit(False)), 128 >> i).otherwise(0) for i in range(8)), F.lit(0))), 2, "0")
+#: bits in bytes, the first bit highest; read back as whole bytes
 bit_array = Codec(
-    lambda x: w.block(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(x) + 7) / 8).cast("int") - 1), lambda k: F.lpad(F.hex(sum((F.when(F.coalesce(F.get(x, 8 * k + i), F.lit(False)), 128 >> i).otherwise(0) for i in range(8)), F.lit(0))), 2, "0")), ""))),
-    lambda b, p: w.let(w.read_block(b, p), lambda r: w.result(F.flatten(F.transform(F.sequence(F.lit(1), F.octet_length(r["v"])), lambda k: F.array(*[w.byte_at(r["v"], k).bitwiseAND(F.lit(128 >> i)) > 0 for i in range(8)]))), r["p"], r["e"])),
+    lambda x: w.block(F.unhex(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(x) / 8).cast("int")), lambda k: 8 * k < F.size(x)), lambda k: eighth(x, k)), ""))),
+    lambda b, p: w.let(w.read_block(b, p), lambda r: w.result(F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.octet_length(r["v"])), lambda k: k > 0), lambda k: F.array(*[w.byte_at(r["v"], k).bitwiseAND(F.lit(128 >> i)) > 0 for i in range(8)]))), r["p"], r["e"])),
     "array<boolean>",
 )
 ipv4 = Codec(
-    lambda x: F.concat(w.constant(b"\0"), F.aggregate(F.transform(F.split(x, "\\."), lambda o: w.be(o.cast("int"), 1)), w.constant(b""), lambda a, o: F.concat(a, o))),
+    lambda x: F.concat(w.constant(b"\0"), joined(F.split(x, "\\."), lambda o: u8.enc(o.cast("int")))),
     lambda b, p: tagged(b, p, {0: read_octets(b)}, F.lit(None).cast("string")), "string", lambda x: F.lit(5),
 )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -71,7 +72,10 @@ def json_bytes(value: object) -> bytes:
     if isinstance(value, int):
         if -(1 << 63) <= value < 1 << 63:
             return bytes([INTEGER]) + struct.pack(">q", value)
-        return bytes([UNSIGNED]) + struct.pack(">Q", value) if 0 <= value < 1 << 64 else bytes([DECIMAL]) + text(str(value))
+        if 0 <= value < 1 << 64:
+            return bytes([UNSIGNED]) + struct.pack(">Q", value)
+        # a number beyond both is a double where one holds it, as it has no exact form in most JSON readers
+        return bytes([FLOAT]) + struct.pack(">d", float(value)) if abs(value) < 1 << 1023 else bytes([DECIMAL]) + text(str(value))
     if isinstance(value, float):
         return bytes([FLOAT]) + struct.pack(">d", value)
     if isinstance(value, str):
@@ -82,30 +86,68 @@ def json_bytes(value: object) -> bytes:
 
 
 def json_value(data: bytes, at: int = 0) -> tuple[object, int]:
-    def text(at: int) -> tuple[str, int]:
-        n, at = _read_var_u32(data, at)
-        return data[at : at + n // 2].decode(), at + n // 2
-
-    tag, at = data[at], at + 1
-    if tag in (NULL, FALSE, TRUE):
-        return (None, False, True)[tag], at
-    if tag in (INTEGER, UNSIGNED, FLOAT):
-        return struct.unpack({INTEGER: ">q", UNSIGNED: ">Q", FLOAT: ">d"}[tag], data[at : at + 8])[0], at + 8
-    if tag in (DECIMAL, STRING):
-        s, at = text(at)
-        return (s if tag == STRING else int(s)), at
-    if tag not in (ARRAY, OBJECT):
-        raise ValueError(f"DeserializationFailure: tag {tag}")
-    n, at = _read_var_u32(data, at)
-    if n % 2:
-        raise ValueError("DeserializationFailure: negative length")
-    items, pairs = [], {}
-    for _ in range(n // 2):
-        key, at = text(at) if tag == OBJECT else (None, at)
-        value, at = json_value(data, at)
-        items.append(value)
-        pairs[key] = value
-    return (pairs if tag == OBJECT else items), at
+    """The value at a position and the position after it; ValueError with an error code on bad bytes. Lists and objects are kept on a stack, so any depth is read."""
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > len(data):
+            raise ValueError("InputEndedUnexpectedly")
+        at += n
+        return data[at - n : at]
+
+    def length() -> int:
+        nonlocal at
+        n = 0
+        for k in range(5):
+            byte = take(1)[0]
+            n |= (byte & 127) << 7 * k
+            if byte < 128:
+                break
+        else:
+            raise ValueError("InvalidVarInt")
+        if n % 2:
+            raise ValueError("DeserializationFailure: negative length")
+        return n // 2
+
+    def text() -> str:
+        try:
+            return take(length()).decode()
+        except UnicodeDecodeError as e:
+            raise ValueError("FailedToDecodeString") from e
+
+    open_values: list[list] = []  # container, items still to come, key of the next one
+    while True:
+        tag = take(1)[0]
+        if tag in (NULL, FALSE, TRUE):
+            value = (None, False, True)[tag]
+        elif tag in (INTEGER, UNSIGNED, FLOAT):
+            value = struct.unpack({INTEGER: ">q", UNSIGNED: ">Q", FLOAT: ">d"}[tag], take(8))[0]
+            if tag == FLOAT and not math.isfinite(value):
+                raise ValueError("DeserializationFailure: not a JSON number")
+        elif tag in (DECIMAL, STRING):
+            value = text()
+            if tag == DECIMAL:
+                value = int(value) if value.lstrip("-").isdigit() else float(value)
+        elif tag in (ARRAY, OBJECT):
+            value, n = [] if tag == ARRAY else {}, length()
+            if n:
+                open_values.append([value, n, text() if tag == OBJECT else None])
+                continue
+        else:
+            raise ValueError(f"DeserializationFailure: tag {tag}")
+        while open_values:
+            holder = open_values[-1]
+            if isinstance(holder[0], dict):
+                holder[0][holder[2]] = value
+            else:
+                holder[0].append(value)
+            holder[1] -= 1
+            if holder[1]:
+                holder[2] = text() if isinstance(holder[0], dict) else None
+                break
+            value = open_values.pop()[0]
+        else:
+            return value, at
 
 
 def _json_encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -209,6 +251,25 @@ def inflated(data: Column) -> Column:
     return F.pandas_udf(_inflate, "binary")(data)
 
 
+def try_json_of_binary(data: Column) -> Column:
+    """struct of value (JSON text) and _error; the value is null where there is an error."""
+
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in values:
+            rows = []
+            for x in series:
+                try:
+                    rows.append((None if x is None else json.dumps(json_value(bytes(x))[0], separators=(",", ":"), sort_keys=True, ensure_ascii=False), None))
+                except ValueError as e:
+                    rows.append((None, str(e).partition(":")[0]))
+                except RecursionError:  # the bytes are read at any depth, but their JSON text is not written
+                    rows.append((None, "DeserializationFailure"))
+            yield pd.DataFrame(rows, columns=["value", "_error"], dtype=object)
+
+    run.__annotations__ = {"values": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "value string, _error string")(data)
+
+
 def json_binary(text: Column) -> Column:
     return F.pandas_udf(_json_encode, "binary")(text)
 

@@ -116,16 +116,24 @@ def unsigned(h: Column) -> Column:
 
 
 def read_var_u32(b: Column, p: Column) -> Column:
-    def of_bytes(x: Column) -> Column:
-        """x: up to five bytes as numbers."""
-        out = result(F.lit(None).cast("bigint"), p, F.when(F.size(x) < 5, ENDED).otherwise(BAD_NUMBER))
-        for last in range(4, -1, -1):
-            value = sum((F.shiftleft(F.get(x, F.lit(k)).bitwiseAND(F.lit(127)), 7 * k) for k in range(last + 1)), F.lit(0).cast("bigint"))
-            out = F.when(F.get(x, F.lit(last)) < 128, result(value, p + last + 1)).otherwise(out)
-        return out
-
-    digits = F.regexp_extract_all(F.hex(F.substring(b, p, F.lit(5))), F.lit("(..)"), F.lit(1))
-    return let(F.transform(digits, lambda d: F.conv(d, 16, 10).cast("bigint")), of_bytes)
+    """Up to five bytes as one number of 40 bits, whose parts are taken out by shifts."""
+
+    def of_digits(h: Column) -> Column:
+        return let(F.struct((F.length(h) / 2).cast("int").alias("n"), F.conv(F.rpad(h, 10, "F"), 16, 10).cast("bigint").alias("x")), of_bytes)
+
+    def of_bytes(s: Column) -> Column:
+        n, x = s["n"], s["x"]
+        part = lambda k: F.shiftright(x, 32 - 8 * k).bitwiseAND(F.lit(127))
+        more = lambda k: F.shiftright(x, 39 - 8 * k).bitwiseAND(F.lit(1)) == 1
+        # a byte that is not there is FF, so it is never the last
+        last = F.when(~more(0), 0).when(~more(1), 1).when(~more(2), 2).when(~more(3), 3).when(~more(4), 4).otherwise(9)
+        value = part(0)
+        for k in range(1, 5):
+            value = value + F.when(last >= k, F.shiftleft(part(k), 7 * k)).otherwise(0)
+        wrong = F.when(last == 9, F.when(n < 5, ENDED).otherwise(BAD_NUMBER))
+        return result(F.when(last < 9, value), (p + F.when(last < 9, last + 1).otherwise(0)).cast("int"), wrong)
+
+    return let(F.hex(F.substring(b, p, F.lit(5))), of_digits)
 
 
 def read_var_i32(b: Column, p: Column) -> Column:

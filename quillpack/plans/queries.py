@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillpack.functions import codecs as c
-from quillpack.functions import fallback
+from quillpack.functions import fallback, values
 from quillpack.functions import wire as w
 from quillpack.operators import layout, streams, trees
 from quillpack.plans import sql
@@ -134,8 +134,19 @@ decoded("decode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bi
 ten = "concat(o_orderkey, repeat('0', 40))"
 add("bigint_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.bigint_of(fallback.bigint(F.expr(f"concat('-', {ten})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey || repeat('0', 40) END AS value FROM orders")
 two = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0))"
-add("encode_bigint_wide", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.bigint(F.expr(f"cast({two} as string)"))).alias("bytes")), f"SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
-add("encode_decimal_binary_wide", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")), f"SELECT o_orderkey, '0000000000000032' || CASE WHEN o_orderkey < 128 THEN '09' || {sql.be('o_orderkey', 1)} ELSE '0A' || {sql.be('o_orderkey', 2)} END || repeat('0', 16) AS bytes FROM orders WHERE o_orderkey BETWEEN 1 AND 32767")
+# of a key: its width as two's complement, and its bytes
+WIDTHS = [(n, 1 << (8 * n - 1)) for n in range(1, 8)]
+least_key = "(CASE WHEN o_orderkey = 0 THEN '0100' " + " ".join(f"WHEN o_orderkey < {half} THEN '{8 + n:02X}' || {sql.be('o_orderkey', n)} || repeat('0', 16)" for n, half in WIDTHS) + " END)"
+add(
+    "encode_bigint_wide", "orders",
+    lambda df: df.select("o_orderkey", F.hex(fallback.bigint(F.expr(f"cast({two} as string)"))).alias("bytes")),
+    f"SELECT o_orderkey, {least_key} AS bytes FROM orders",
+)
+add(
+    "encode_decimal_binary_wide", "orders",
+    lambda df: df.select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")),
+    f"SELECT o_orderkey, '0000000000000032' || {least_key} AS bytes FROM orders",
+)
 add("decimal_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.big_decimal_of(fallback.big_decimal(F.expr("concat('0.', repeat('7', 60), o_orderkey)"))).alias("value")), "SELECT o_orderkey, '0.' || repeat('7', 60) || o_orderkey AS value FROM orders")
 json_rows = lambda df: df.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("j"))
 add("encode_json_text", "events", lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")), """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events")
@@ -227,7 +238,7 @@ add("decode_header", "customer", lambda df: header_of(df).select("c_custkey", F.
 
 def evolve(name: str, writer: int, reader: int) -> None:
     """Reads bytes of one version as another: value columns as text, and the error code."""
-    fields = [f.name for f in PRODUCT.at(reader).read_fields() if f in PRODUCT.at(reader).fields_then()]
+    fields = [f.name for f in PRODUCT.at(reader).read_fields()]
 
     def build(df: DataFrame) -> DataFrame:
         rows = decode_record(products(df, writer), "b", PRODUCT, reader)
@@ -325,13 +336,35 @@ add("dedup_savings", "events", lambda df: streams.dedup_encode(df, "user_id", "e
 add("ref_backrefs", "conversations", lambda df: streams.back_references(df, "conv_id", "turn", F.col("role")).select("conv_id", "turn", "ref"), "WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS fresh FROM conversations), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) SELECT conv_id, turn, CASE WHEN fresh THEN 0 ELSE first(n) OVER (PARTITION BY conv_id, role ORDER BY turn) END::BIGINT AS ref FROM g")
 
 # layout and envelopes
-PARTS = lambda: [("version", w.constant(b"\0")), ("c_custkey", c.i64.enc(F.col("c_custkey"))), ("c_name", c.string.enc(F.col("c_name"))), ("c_nationkey", c.i32.enc(F.col("c_nationkey")))]
+PARTS = lambda: CUSTOMERS.parts(F.struct("c_custkey", "c_name", "c_nationkey"))
 named = f"size_of AS (SELECT c_custkey, {sql.size_of_string('c_name')} AS s FROM customer)"
 add("layout_segments", "customer", lambda df: layout.segments(df, "c_custkey", PARTS()), f"WITH {named} SELECT c_custkey, pos, label, start::BIGINT AS start, len::BIGINT AS len FROM (SELECT c_custkey, 0 AS pos, 'version' AS label, 0 AS start, 1 AS len FROM size_of UNION ALL SELECT c_custkey, 1, 'c_custkey', 1, 8 FROM size_of UNION ALL SELECT c_custkey, 2, 'c_name', 9, s FROM size_of UNION ALL SELECT c_custkey, 3, 'c_nationkey', 9 + s, 4 FROM size_of)")
-add("layout_coverage", "customer", lambda df: layout.coverage(layout.segments(df, "c_custkey", PARTS()), "c_custkey", customer_bytes(df), "b"), f"SELECT c_custkey, ({total})::BIGINT AS bytes, ({total})::BIGINT AS covered, true AS exact FROM customer")
+add(
+    "layout_coverage", "customer",
+    lambda df: layout.coverage(df, "c_custkey", PARTS(), CUSTOMERS.enc(F.struct("c_custkey", "c_name", "c_nationkey"))),
+    f"SELECT c_custkey, ({total})::BIGINT AS bytes, ({total})::BIGINT AS covered, true AS exact FROM customer",
+)
+# version and key are 9 bytes and so a row; the name has rows of its own, of which a last one below 8 bytes takes the nation in
+add(
+    "layout_rows", "customer",
+    lambda df: layout.wrapped(df, "c_custkey", PARTS()).select("c_custkey", "row", "start", "len", "labels"),
+    f"""WITH {named}, name_rows AS (SELECT c_custkey, s, k, least(16, s - 16 * k) AS n, s <= 16 * (k + 1) AS is_last FROM size_of, range(0, 100) r(k) WHERE 16 * k < s)
+    SELECT c_custkey, 0 AS row, 0::BIGINT AS start, 9::BIGINT AS len, 'version,c_custkey' AS labels FROM size_of
+    UNION ALL SELECT c_custkey, (k + 1)::INTEGER, (9 + 16 * k)::BIGINT, (CASE WHEN is_last AND n < 8 THEN n + 4 ELSE n END)::BIGINT, CASE WHEN is_last AND n < 8 THEN 'c_name,c_nationkey' ELSE 'c_name' END FROM name_rows
+    UNION ALL SELECT c_custkey, (k + 2)::INTEGER, (9 + s)::BIGINT, 4::BIGINT, 'c_nationkey' FROM name_rows WHERE is_last AND n >= 8""",
+)
 add("hex_dump", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.hex_dump(F.col("b")).alias("dump")), "SELECT c_custkey, rtrim(regexp_replace(regexp_replace(lower(" + record_hex + "), '(..)', '\\1 ', 'g'), '((?:.. ){15}..) ', E'\\\\1\\n', 'g'), E' \\n') AS dump FROM customer")
 add("envelope_roundtrip", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.envelope(F.col("b")).alias("e")).select("c_custkey", F.hex("e").alias("bytes"), F.hex(layout.open_envelope(F.col("e"))).alias("inner_bytes")), f"SELECT c_custkey, '03' || {record_hex} AS bytes, {record_hex} AS inner_bytes FROM customer")
 add("payload_indirection", "documents", lambda df: df.select("doc_id", F.md5(F.hex(layout.payload(F.encode("text", "utf-8"), 1024))).alias("digest")), "SELECT doc_id, md5(CASE WHEN strlen(text) > 1024 THEN '01' || upper(md5(text)) || '10' || upper(md5(text)) ELSE '00' || " + sql.block("encode(text)") + " END) AS digest FROM documents")
+
+
+def payload_roundtrip(df: DataFrame) -> DataFrame:
+    data = F.encode("text", "utf-8")
+    rows = df.select("doc_id", layout.payload(data, 1024).alias("b"))
+    return layout.resolved_payloads(rows, "doc_id", "b", layout.stored_payloads(data, df, 1024)).select("doc_id", F.md5("data").alias("digest"))
+
+
+add("payload_roundtrip", "documents", payload_roundtrip, "SELECT doc_id, md5(text) AS digest FROM documents")
 chunks = lambda df: layout.pack_chunks(df.select("event_id", c.string.enc(F.col("event_type")).alias("b")), F.floor(F.col("event_id") / 64), "event_id", "b")
 one = sql.string("event_type")
 add("chunk_pack", "events", lambda df: chunks(df).select("bucket", "first", "n", F.hex("chunk").alias("bytes")), f"SELECT event_id // 64 AS bucket, min(event_id) AS first, count(*)::INTEGER AS n, string_agg({sql.var_u32(f'length({one}) // 2')} || {one}, '' ORDER BY event_id) AS bytes FROM events GROUP BY 1")
@@ -339,6 +372,149 @@ add("chunk_unpack", "events", lambda df: layout.unpack_chunks(chunks(df)).select
 add("compress_roundtrip", "documents", lambda df: df.select("doc_id", F.md5(fallback.inflated(fallback.compressed(F.encode("text", "utf-8")))).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
 add("compress_ratio", "documents", lambda df: df.groupBy("lang").agg(F.avg(F.octet_length(fallback.compressed(F.encode("text", "utf-8"))) / F.greatest(F.octet_length("text"), F.lit(1))).alias("ratio")), None)
 
+# decoding of the codecs above
+decoded("decode_i8", "part", PART, c.i8, "p_size - 25", "(p_size - 25)::TINYINT")
+decoded("decode_i16", "part", PART, c.i16, "p_size * 100 - 2500", "(p_size * 100 - 2500)::SMALLINT")
+decoded("decode_u8", "part", PART, c.u8, "p_size + 200", "(p_size + 200)::SMALLINT")
+decoded("decode_u16", "part", PART, c.u16, "p_size + 65000", "p_size + 65000")
+decoded("decode_u32", "orders", ORDER, c.u32, "4294967295 - o_orderkey", "4294967295 - o_orderkey")
+decoded("decode_u64", "orders", ORDER, c.u64, "cast(18446744073709551615 as decimal(20,0)) - o_orderkey", "(18446744073709551615::UHUGEINT - o_orderkey::UHUGEINT)::VARCHAR", shown=lambda v: v.cast("string"))
+decoded("decode_isize", "orders", ORDER, c.isize, "-o_orderkey", "-o_orderkey")
+i128 = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0)) + o_custkey"
+decoded("decode_i128", "orders", ORDER, c.i128, f"-({i128})", "(-(o_orderkey::HUGEINT * 18446744073709551616::HUGEINT + o_custkey::HUGEINT))::VARCHAR", shown=lambda v: v.cast("string"))
+decoded("decode_f32", "lineitem", LINE, c.f32, "cast(l_quantity as float)", "l_quantity", shown=lambda v: v.cast("double"))
+decoded("decode_bool", "lineitem", LINE, c.boolean, "l_returnflag = 'R'", "l_returnflag = 'R'")
+decoded("decode_mac", "orders", ORDER, c.mac, f"left({spark_digest}, 12)", f"rtrim(regexp_replace(left({digest}, 12), '(..)', '\\1:', 'g'), ':')")
+decoded("decode_bitvec", "part", PART, c.bit_array, "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)", "(" + " || ".join(f"({b})" for b in bits) + ")", shown=lambda v: F.array_join(v.cast("array<int>").cast("array<string>"), ""))
+decoded("decode_duration", "events", EVENT, c.duration, "named_struct('secs', cast(event_id as decimal(20,0)), 'nanos', event_id % 1000)", "event_id || '.' || (event_id % 1000)", shown=lambda v: F.concat_ws(".", v["secs"].cast("string"), v["nanos"].cast("string")))
+of_day = "(epoch_us(ts) % 86400000000) * 1000"
+add("decode_time", "events", lambda df: df.select("event_id", c.time_of_day.enc(c.day_nanos(F.col("ts"))).alias("b")).select("event_id", c.time_of_day.decode(F.col("b")).alias("value")), f"SELECT event_id, {of_day} AS value FROM events")
+shown_time = lambda v: F.date_format(v, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+as_shown = lambda ts: f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')"
+decoded("decode_datetime_naive", "events", EVENT, c.datetime_naive, "ts", as_shown("ts"), shown=shown_time)
+decoded("decode_datetime_offset", "events", EVENT, c.datetime_offset, "named_struct('local', ts + interval 2 hours, 'offset', 7200)", as_shown("(ts + INTERVAL 2 HOUR)") + " || ' 7200'", shown=lambda v: F.concat_ws(" ", shown_time(v["local"]), v["offset"].cast("string")))
+decoded("decode_datetime_zone", "events", EVENT, c.datetime_zone, "named_struct('utc', ts, 'tz', 'Europe/Paris')", as_shown("ts") + " || ' Europe/Paris'", shown=lambda v: F.concat_ws(" ", shown_time(v["utc"]), v["tz"]))
+decoded("decode_weekday", "orders", ORDER, c.weekday, "weekday(o_orderdate) + 1", "isodow(o_orderdate)::TINYINT")
+decoded("decode_month", "orders", ORDER, c.month, "month(o_orderdate)", "month(o_orderdate)::TINYINT")
+decoded("decode_offset", "nation", NATION, c.offset, "(n_nationkey - 12) * 3600", "(n_nationkey - 12) * 3600")
+decoded("decode_tz", "nation", NATION, c.zone, "n_name", "n_name")
+decoded("decode_decimal_binary", "orders", ORDER, c.decimal(12, 2, c.Options(binary_decimals=True)), f"-{price}", f"(-{price})::VARCHAR", shown=lambda v: v.cast("string"))
+decoded("decode_decimal_binary_long", "orders", ORDER, c.decimal_binary(18, 12), "cast(o_orderkey as decimal(18,12)) / 100000 + 0.000000000001", "(o_orderkey::DECIMAL(18,12) / 100000 + 0.000000000001::DECIMAL(18,12))::DECIMAL(18,12)::VARCHAR", shown=lambda v: v.cast("string"))
+add("decode_json_text", "events", lambda df: json_rows(df).select("event_id", c.json_text.decode(c.json_text.enc(F.col("j"))).alias("value")), """SELECT event_id, '{"a":' || event_id || ',"b":"' || event_type || '"}' AS value FROM events""")
+decoded("decode_bound", "orders", ORDER, c.bound(c.i64), "named_struct('kind', cast(o_orderkey % 3 as tinyint), 'value', o_custkey)", "(o_orderkey % 3) || CASE WHEN o_orderkey % 3 > 0 THEN ' ' || o_custkey ELSE '' END", shown=lambda v: F.concat_ws(" ", v["kind"].cast("string"), v["value"].cast("string")))
+decoded("decode_range", "orders", ORDER, c.range_of(c.i64), "named_struct('start', o_custkey, 'end', o_custkey + o_orderkey)", "o_custkey || ' ' || (o_custkey + o_orderkey)", shown=lambda v: F.concat_ws(" ", v["start"].cast("string"), v["end"].cast("string")))
+decoded("decode_tuple2", "lineitem", LINE, pair, "named_struct('_0', l_orderkey, '_1', l_returnflag)", "l_orderkey || ' ' || l_returnflag", shown=lambda v: F.concat_ws(" ", v["_0"].cast("string"), v["_1"]))
+decoded("decode_tuple1", "orders", ORDER, c.tuple_of(c.i64), "named_struct('_0', o_custkey)", "o_custkey", shown=lambda v: v["_0"])
+decoded("decode_nonempty", "part", PART, c.nonempty(c.string), words, "p_name", shown=lambda v: F.array_join(v, " "))
+decoded("decode_array_f32", "embeddings", ["vec_id"], c.sequence(c.f32), "embedding", f"md5({sql.joined('embedding', sql.f32('x'))})", shown=lambda v: F.md5(F.hex(c.joined(v, c.f32.enc))))
+decoded("decode_empty_arrays", "part", PART, c.sequence(c.bit_array), "array(cast(array() as array<boolean>), array(p_size > 25))", "CASE WHEN p_size > 25 THEN '0 8 true' ELSE '0 8 false' END", shown=lambda v: F.concat_ws(" ", F.size(v[0]).cast("string"), F.size(v[1]).cast("string"), v[1][0].cast("string")))
+decoded("decode_units", "part", PART, c.sequence(c.unit), "array_repeat(cast(null as string), p_size)", "p_size", shown=F.size)
+
+# newer writers: bytes with steps that the reader has never heard of
+LATER = Record((*CUSTOMERS.fields, Field("c_mktsegment", c.string), Field("c_acctbal", c.f64)), (Added("c_mktsegment"), Removed("gone"), MadeOptional("c_nationkey"), Added("c_acctbal")))
+
+
+def from_later(df: DataFrame) -> DataFrame:
+    nation = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey"))
+    value = F.struct("c_custkey", "c_name", nation.alias("c_nationkey"), "c_mktsegment", "c_acctbal")
+    rows = decode_record(df.select("c_custkey", LATER.enc(value).alias("b")), "b", CUSTOMERS, 0)
+    return rows.select("c_custkey", "decoded.c_name", "decoded.c_nationkey", F.col("decoded._error").alias("error"))
+
+
+even_only = lambda x: f"CASE WHEN c_custkey % 2 = 0 THEN {x} END"
+add("evolve_unknown_writer", "customer", from_later, f"SELECT c_custkey, {even_only('c_name')} AS c_name, {even_only('c_nationkey')} AS c_nationkey, CASE WHEN c_custkey % 2 = 1 THEN '{w.NONE_FOUND}' END AS error FROM customer")
+OUTER = Record((Field("id", c.i64), Field("rows", c.sequence(PRODUCT.codec())), Field("last", c.option(PRODUCT.at(1).codec()))), (Added("last"),))
+
+
+def nested_records(df: DataFrame) -> DataFrame:
+    """Records with a history in an array and an option of a record with one."""
+    newest = F.struct(F.col("c_name").alias("field_a"), F.expr(even).alias("new_field_1"), F.col("c_nationkey").alias("field_b"))
+    value = F.struct(F.col("c_custkey").alias("id"), F.array(newest, newest).alias("rows"), F.when(F.expr(even), newest).alias("last"))
+    rows = decode_record(df.select("c_custkey", OUTER.enc(value).alias("b")), "b", OUTER, 1)
+    shown = F.array_join(F.transform("decoded.rows", lambda r: F.concat_ws(" ", r["field_a"], r["new_field_1"].cast("string"))), ",")
+    return rows.select("c_custkey", shown.alias("rows"), "decoded.last.field_b", "decoded.last.field_a", F.col("decoded._error").alias("error"))
+
+
+unset = f"'unset ' || ({even})::VARCHAR"
+add("evolve_nested", "customer", nested_records, f"SELECT c_custkey, {unset} || ',' || {unset} AS rows, CASE WHEN {even} THEN c_nationkey END AS field_b, CASE WHEN {even} THEN c_name END AS field_a, NULL::VARCHAR AS error FROM customer")
+add("evolve_nested_older_reader", "customer", lambda df: decode_record(nested_bytes(df), "b", OUTER, 0).select("c_custkey", F.size("decoded.rows").alias("n"), F.col("decoded._error").alias("error")), "SELECT c_custkey, 2 AS n, NULL::VARCHAR AS error FROM customer")
+
+
+def nested_bytes(df: DataFrame) -> DataFrame:
+    row = F.struct(F.col("c_name").alias("field_a"), F.expr(even).alias("new_field_1"), F.col("c_nationkey").alias("field_b"))
+    return df.select("c_custkey", OUTER.enc(F.struct(F.col("c_custkey").alias("id"), F.array(row, row).alias("rows"), row.alias("last"))).alias("b"))
+
+
+def guarded(df: DataFrame) -> DataFrame:
+    """Events through a union in which 'error' is transient: writing it fails, so those rows are told apart before."""
+    union = Union((*EVENTS.cases[:4], Case("error", c.string, transient=True)))
+    fine = F.col("event_type") != "error"
+    written = F.when(fine, union.enc(event_value()))
+    refused = F.when(~fine, F.lit(w.TRANSIENT_CASE))
+    return df.select("event_id", F.hex(written).alias("bytes"), refused.alias("error"))
+
+
+add("union_transient_refused", "events", guarded, f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {union_hex(EVENTS.ids())} END AS bytes, CASE WHEN event_type = 'error' THEN '{w.TRANSIENT_CASE}' END AS error FROM events")
+
+# values of recursive types
+DYNAMIC, DYNAMIC_BYTES = values.dynamic_value(), values.dynamic_value(byte_lists=True)
+
+
+def dynamic(df: DataFrame) -> Column:
+    """A record of a text, a number, an option and a variant that holds a list."""
+    case = lambda name, x: F.struct(x.alias(name))
+    items = [F.to_json(case("String", F.col("event_type"))), F.to_json(case("S64", F.col("user_id")))]
+    paid = F.when(F.col("event_type") == "purchase", F.to_json(case("Option", case("F64", F.col("value"))))).otherwise(F.lit('{"Option":null}'))
+    listed = F.concat(F.lit('{"Variant":{"case_idx":3,"case_value":{"List":['), F.to_json(case("U8", F.col("event_id") % 256)), F.lit(',{"Bool":true}]}}}'))
+    return F.concat(F.lit('{"Record":['), F.concat_ws(",", *items, paid, listed), F.lit("]}"))
+
+
+variant = f"'0010' || '00' || '00000003' || '01' || '000D' || '04' || '0001' || {sql.be('event_id % 256', 1)} || '0000' || '01'"
+dynamic_hex = f"'000F' || '08' || '000C' || {sql.string('event_type')} || '0008' || {sql.be('user_id', 8)} || CASE WHEN event_type = 'purchase' THEN '0013' || '01' || '000A' || {sql.f64('value')} ELSE '001300' END || {variant}"
+add("encode_dynamic_value", "events", lambda df: df.select("event_id", F.hex(DYNAMIC.enc(dynamic(df))).alias("bytes")), f"SELECT event_id, {dynamic_hex} AS bytes FROM events")
+add("dynamic_value_roundtrip", "events", lambda df: df.select("event_id", (F.parse_json(DYNAMIC.decode(DYNAMIC.enc(dynamic(df)))).cast("string") == F.parse_json(dynamic(df)).cast("string")).alias("same")), "SELECT event_id, true AS same FROM events")
+byte_list = lambda: F.concat(F.lit('{"List":['), F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size")), lambda k: F.concat(F.lit('{"U8":'), k.cast("string"), F.lit("}"))), ","), F.when(F.col("p_size") % 2 == 0, ',{"Bool":false}').otherwise(""), F.lit("]}"))
+hexes = "range(0, p_size + 1)"
+add("encode_byte_list", "part", lambda df: df.select("p_partkey", F.hex(DYNAMIC_BYTES.enc(byte_list())).alias("bytes")), f"SELECT p_partkey, '000D' || CASE WHEN p_size % 2 = 1 THEN '01' || {sql.var_u32('p_size + 1')} || {sql.joined(hexes, sql.be('x', 1))} ELSE '00' || {sql.var_u32('2 * (p_size + 2)')} || {sql.joined(hexes, chr(39) + '0001' + chr(39) + ' || ' + sql.be('x', 1))} || '000000' END AS bytes FROM part")
+add("byte_list_roundtrip", "part", lambda df: df.select("p_partkey", (DYNAMIC_BYTES.decode(DYNAMIC_BYTES.enc(byte_list())) == byte_list()).alias("same")), "SELECT p_partkey, true AS same FROM part")
+
+
+def error_text() -> Column:
+    """An error with as many causes as the key modulo three, each with one place."""
+    place = lambda: F.struct(F.col("o_orderpriority").alias("class"), F.lit(None).cast("string").alias("method"), F.lit("orders.rs").alias("file"), F.col("o_custkey").alias("line"))
+    none = F.lit('"cause":null')
+    one = lambda depth, cause: F.concat(F.lit(f'{{"class_name":"E{depth}","message":'), F.to_json(F.struct(F.col("o_orderstatus").alias("m"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("o_orderstatus").alias("m")))) - 6), F.lit(',"stack_trace":['), F.to_json(place(), {"ignoreNullFields": "false"}), F.lit("],"), cause, F.lit("}"))
+    causes = [none]
+    for depth in (2, 1):
+        inner = F.concat(F.lit('"cause":'), one(depth, causes[0]))
+        causes.insert(0, F.when(F.col("o_orderkey") % 3 >= depth, inner).otherwise(none))
+    return one(0, causes[0])
+
+
+place_hex = f"'00' || '01' || {sql.string('o_orderpriority')} || '00' || '01' || {sql.string(chr(39) + 'orders.rs' + chr(39))} || {sql.var_u32('o_custkey')}"
+level_hex = lambda depth, cause: f"'00' || {sql.string(chr(39) + f'E{depth}' + chr(39))} || {sql.string('o_orderstatus')} || '02' || {place_hex} || {cause}"
+second = f"CASE WHEN o_orderkey % 3 >= 2 THEN '01' || {level_hex(2, chr(39) + '00' + chr(39))} ELSE '00' END"
+first_cause = f"CASE WHEN o_orderkey % 3 >= 1 THEN '01' || {level_hex(1, second)} ELSE '00' END"
+add("encode_exception", "orders", lambda df: df.select("o_orderkey", F.hex(values.EXCEPTION.enc(error_text())).alias("bytes")), f"SELECT o_orderkey, {level_hex(0, first_cause)} AS bytes FROM orders")
+add("exception_roundtrip", "orders", lambda df: df.select("o_orderkey", (F.parse_json(values.EXCEPTION.decode(values.EXCEPTION.enc(error_text()))).cast("string") == F.parse_json(error_text()).cast("string")).alias("same")), "SELECT o_orderkey, true AS same FROM orders")
+twice = lambda: F.to_json(F.array("event_type", F.lit("x"), "event_type", F.lit("x"), "props"))
+add("dedup_in_value", "events", lambda df: df.select("event_id", F.hex(values.WORDS.enc(twice())).alias("bytes")), f"SELECT event_id, '0A' || {sql.string('event_type')} || '0278' || '01' || '03' || {sql.string('props')} AS bytes FROM events")
+add("dedup_in_value_roundtrip", "events", lambda df: df.select("event_id", (values.WORDS.decode(values.WORDS.enc(twice())) == twice()).alias("same")), "SELECT event_id, true AS same FROM events")
+
+
+def ring() -> Column:
+    """Three nodes: a cycle where the key is odd, else a list."""
+    node = lambda x: F.to_json(F.struct(x.alias("label")))
+    of = lambda x, following: F.concat(F.regexp_replace(node(x), "[}]$", ""), F.lit(',"next":'), following, F.lit("}"))
+    back = F.when(F.col("event_id") % 2 == 1, "0").otherwise("null")
+    return F.concat(F.lit('{"value":0,"objects":['), F.concat_ws(",", of(F.col("event_type"), F.lit("1")), of(F.lit("b"), F.lit("2")), of(F.col("user_id").cast("string"), back)), F.lit("]}"))
+
+
+add("encode_ref_cycle", "events", lambda df: df.select("event_id", F.hex(values.NODES.enc(ring())).alias("bytes")), f"SELECT event_id, '00' || {sql.string('event_type')} || '0100' || '0262' || '0100' || {sql.string('user_id::VARCHAR')} || CASE WHEN event_id % 2 = 1 THEN '0101' ELSE '00' END AS bytes FROM events")
+add("ref_cycle_roundtrip", "events", lambda df: df.select("event_id", (F.parse_json(values.NODES.decode(values.NODES.enc(ring()))).cast("string") == F.parse_json(ring()).cast("string")).alias("same")), "SELECT event_id, true AS same FROM events")
+QUERIES["generate_typed_values"] = lambda spark, sf_dir: generators.typed_values(spark).select("name", F.octet_length(DYNAMIC_BYTES.enc(F.col("value"))).alias("size"))
+ORACLE["generate_typed_values"] = "SELECT * FROM (VALUES ('simple', 6), ('medium', 61), ('complex', 172), ('list', 6005), ('binary', 65542)) AS t(name, size)"
+
 # generated data and recursive values
 QUERIES["generate_log_batch"] = lambda spark, sf_dir: generators.log_batch(spark, 1000, 600).select("idx", "kind", "ts_ms", "token", F.md5(F.hex("payload")).alias("digest"))
 kinds = ", ".join(f"'{k}'" for k in generators.KINDS)

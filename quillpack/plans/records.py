@@ -1,14 +1,18 @@
 """Records and tagged unions: their versions, their bytes, and reading one version as another.
 
 A ``Record`` lists every field that its history ever had, in declared order, and
-the steps of its history; ``at(n)`` is the version after n steps. The spec is
-compiled on the driver into Column expressions, so encoding and decoding are
-projections. As removed fields stay in the spec, a reader skips exactly the
-bytes that an older writer gave them.
+the steps of its history; ``at(n)`` is the version after n steps, which knows
+nothing of later ones. The spec is compiled on the driver into Column
+expressions, so encoding and decoding are projections. As removed fields stay in
+the spec, a reader skips exactly the bytes that an older writer gave them; what a
+newer writer added, made optional or removed it learns from the header of the
+bytes and skips unknown chunks whole.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -65,7 +69,6 @@ def compact_zigzag(n: int) -> bytes:
 class Record:
     fields: tuple[Field, ...]
     steps: tuple[Step, ...] = ()
-    to_come: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         known = {f.name for f in self.fields}
@@ -83,7 +86,8 @@ class Record:
 
     def at(self, version: int) -> Record:
         """The record after that many steps of its history."""
-        return Record(self.fields, self.steps[:version], frozenset(x.name for x in self.steps[version:] if isinstance(x, Added)))
+        later = {x.name for x in self.steps[version:] if isinstance(x, Added)}
+        return Record(tuple(f for f in self.fields if f.name not in later), self.steps[:version])
 
     def _step(self, kind: type | tuple[type, ...], name: str) -> int | None:
         return next((k for k, s in enumerate(self.steps, 1) if isinstance(s, kind) and s.name == name), None)
@@ -92,9 +96,9 @@ class Record:
         return self._step(Added, name) or 0
 
     def position(self, name: str) -> int:
-        """As stored for a field made optional: minus its place in chunk 0, or the number of its chunk."""
+        """As stored for a field made optional: minus its place among the written fields of chunk 0, or the number of its chunk."""
         g = self.generation(name)
-        return g or -[f.name for f in self.fields if not self.generation(f.name)].index(name)
+        return g or -[f.name for f in self.fields if not self.generation(f.name) and (f.name == name or not self.gone(f.name))].index(name)
 
     def optional_since(self, f: Field) -> int | None:
         return self.generation(f.name) if f.optional else self._step(MadeOptional, f.name)
@@ -103,30 +107,11 @@ class Record:
         return self._step((Removed, MadeTransient), name) is not None
 
     def written(self) -> list[Field]:
-        return [f for f in self.fields_then() if not self.gone(f.name)]
+        return [f for f in self.fields if not self.gone(f.name)]
 
     def codec_of(self, f: Field) -> c.Codec:
         return c.option(f.codec) if self.optional_since(f) is not None else f.codec
 
-    def fields_then(self) -> list[Field]:
-        """Fields that this version knows: in a family, those that later steps add are not there yet."""
-        return [f for f in self.fields if f.name not in self.to_come]
-
-    def entry_kinds(self) -> list[int]:
-        """Of each header entry, 0 for a chunk size or else its number of bytes."""
-        out, seen = [0], set()
-        for step in self.steps:
-            if isinstance(step, Added):
-                out.append(0)
-            elif isinstance(step, MadeOptional) and not self.gone(step.name):
-                out.append(2)
-            else:
-                size = len(step.name.encode())
-                # a reference to an earlier name takes one byte for up to 64 names
-                out.append(2 if step.name in seen else 1 + len(compact_zigzag(size)) + size)
-                seen.add(step.name)
-        return out
-
     def header(self, sizes: list[Column]) -> list[Column]:
         """Entries of the evolution header; a name that was written before is a reference to it."""
         seen: dict[str, int] = {}
@@ -156,6 +141,16 @@ class Record:
         parts = F.struct(*[chunk(k).alias(n) for k, n in enumerate(names)])
         return w.let(parts, lambda p: F.concat(w.constant(bytes([len(self.steps)])), *self.header([F.octet_length(p[n]) for n in names]), *[p[n] for n in names]))
 
+    def parts(self, x: Column) -> list[tuple[str, Column]]:
+        """The bytes of a struct in named parts, in their order: the version, the entries of the header and the written fields."""
+        chunks = [[f for f in self.written() if self.generation(f.name) == g] for g in range(len(self.steps) + 1)]
+        data = {f.name: self.codec_of(f).enc(x[f.name]) for f in self.written()}
+        out = [("version", w.constant(bytes([len(self.steps)])))]
+        if self.steps:
+            sizes = [sum((F.octet_length(data[f.name]) for f in fields), F.lit(0)) for fields in chunks]
+            out += [(f"header {k}", entry) for k, entry in enumerate(self.header(sizes))]
+        return out + [(f.name, data[f.name]) for fields in chunks for f in fields]
+
     def default_of(self, f: Field) -> tuple[Column, bool]:
         step = next((s for s in reversed(self.steps) if isinstance(s, (Added, MadeTransient)) and s.name == f.name), None)
         given = step is not None and (not isinstance(step, Added) or step.has_default)
@@ -168,126 +163,102 @@ class Record:
         """What a reader gets: written fields, and transient ones with their default."""
         return [f for f in self.fields if self._step(Removed, f.name) is None]
 
-    def version_sets(self, f: Field) -> tuple[list[int], list[int]]:
-        """Versions of this history that write the field, and those of them that write it as an option."""
-        all_versions = range(len(self.steps) + 1)
-        there = [v for v in all_versions if v >= self.generation(f.name) and not self.at(v).gone(f.name)]
-        # before the step that added it, a field is not in its history yet
-        return there, [v for v in there if self.at(v).optional_since(f) is not None]
-
-    def entry_at(self, version: Column, k: int, b: Column, p: Column) -> Column:
-        """Header entry k that a writer of that version left at p; v is the size of a chunk, 0 for other entries and where there is none."""
-        none = w.result(F.lit(0).cast("bigint"), p)
-        entry = F.when(version < max(k, 1), none)
-        for v in range(max(k, 1), len(self.steps) + 1):
-            kind = self.at(v).entry_kinds()[k]
-            entry = entry.when(version == v, w.read_var_i32(b, p) if kind == 0 else w.result(F.lit(0).cast("bigint"), p + kind))
-        return entry.otherwise(none)
-
-    def field_at(self, f: Field, version: Column, b: Column, p: Column) -> Column:
-        """The field as a writer of that version left it at p; null and no bytes where it did not write it."""
-        there, tagged = self.version_sets(f)
-        null = F.lit(None).cast(f.codec.sql_type)
-        raw = F.when(version.isin(tagged), c.option(f.codec).read(b, p)) if tagged else F.when(F.lit(False), w.result(null, p))
-        plain = [v for v in there if v not in tagged]
-        raw = raw.when(version.isin(plain), f.codec.read(b, p)) if plain else raw
-        return raw.otherwise(w.result(null, p))
-
-    def field_for(self, me: Record, f: Field, version: Column, got: Column, end: Column) -> tuple[Column, list[Column]]:
-        """What a reader of version ``me`` gets for a field, and its possible errors."""
-        there, tagged = self.version_sets(f)
-        g = self.generation(f.name)
-        errors = [got["e"], F.when(version.isin(there) & (got["p"] - 1 > end), w.ENDED)]
-        early, removed = version < g, (version >= g) & ~version.isin(there)
-        default, given = me.default_of(f)
-        if me.gone(f.name) or (f not in me.fields_then()):
-            return default, errors
-        if me.optional_since(f) is None:
-            errors += [F.when(removed, w.REMOVED), F.when(version.isin(tagged) & got["v"].isNull(), w.NONE_FOUND)]
-            errors += [] if given or not g else [F.when(early, w.NO_DEFAULT)]
-        elif g and not given:
-            errors.append(F.when(early, w.FAILED))
-        return F.when(early, default).otherwise(got["v"]), errors
+    def read(self, b: Column, p: Column, bind: Callable[[Column, Callable[[Column], Column]], Column] = w.let) -> Column:
+        """The record at p, written by any version of this history or a later one, as this version.
 
-    def read(self, b: Column, p: Column) -> Column:
-        """The record at p, written by any version of this history, as this version."""
+        bind gives a value a name: within an expression, or as a column.
+        """
         n = len(self.steps)
-        shown = [f for f in self.read_fields() if f in self.fields_then()]
-        ordered = [f for g in range(n + 1) for f in self.fields if self.generation(f.name) == g and f.name not in self.to_come]
-
-        def entries(version: Column, p: Column, heads: list[Column]) -> Column:
-            if len(heads) > n:
-                starts = [p]
-                for h in heads:
-                    starts.append((starts[-1] + h["v"]).cast("int"))
-                errors = [F.when(version.isNull(), w.ENDED).when(version > n, w.FAILED), *[h["e"] for h in heads]]
-                return fields(version, starts, ordered, starts[0], errors, {})
-            return w.let(self.entry_at(version, len(heads), b, p), lambda h: entries(version, h["p"], [*heads, h]))
-
-        def fields(version: Column, starts: list[Column], todo: list[Field], p: Column, errors: list[Column], values: dict[str, Column]) -> Column:
+        ordered = [f for g in range(n + 1) for f in self.fields if self.generation(f.name) == g]
+        shown = self.read_fields()
+
+        def chunks(head: Column) -> Column:
+            version = head["version"]
+            # bytes of version 0 have no sizes: chunk 0 is what the fields take
+            size = lambda k: F.coalesce(F.get(head["sizes"], F.lit(k)), F.lit(0))
+            starts = [head["p"]]
+            for g in range(n + 1):
+                starts.append(starts[-1] + size(g))
+            after = head["p"] + F.aggregate(head["sizes"], F.lit(0), lambda total, x: total + x)
+            names = [f"s{g}" for g in range(n + 2)]
+            layout = F.struct(*[x.cast("int").alias(k) for x, k in zip(starts, names)], after.cast("int").alias("after"))
+            return bind(layout, lambda at: fields(head, [at[k] for k in names], at["after"], ordered, at["s0"], [head["e"], F.when(version.isNull(), w.ENDED)], {}, []))
+
+        def fields(head: Column, starts: list[Column], after: Column, todo: list[Field], p: Column, errors: list[Column], values: dict[str, Column], before: list[Column]) -> Column:
+            version = head["version"]
             if not todo:
-                after = F.when(version == 0, p).otherwise(starts[-1])
-                e = F.coalesce(*errors, F.when(after - 1 > F.octet_length(b), w.ENDED))
-                return w.result(F.struct(*[values[f.name].alias(f.name) for f in shown]), after, e)
+                end = F.when(version == 0, p).otherwise(after)
+                e = F.coalesce(*errors, F.when(end - 1 > F.octet_length(b), w.ENDED))
+                return w.result(F.struct(*[values[f.name].alias(f.name) for f in shown]), end, e)
             f, rest = todo[0], todo[1:]
             g = self.generation(f.name)
-            onward = rest and self.generation(rest[0].name) > g
+            removed = F.array_contains(head["removed"], f.name)
+            place = F.lit(g) if g else -sum(before, F.lit(0))
+            since = self.optional_since(f)
+            tagged = F.array_contains(head["optional"], place.cast("int"))
+            tagged = tagged if since is None else (tagged | (version >= since))
+            there = (version >= g) & ~removed
+            null = F.lit(None).cast(f.codec.sql_type)
+            last = not rest or self.generation(rest[0].name) != g
+            # what comes last in a chunk of known size and is not wanted need not be read
+            unread = (version > 0) if self.gone(f.name) and last else F.lit(False)
+            raw = F.when(~there | unread, w.result(null, p)).when(tagged, c.option(f.codec).read(b, p)).otherwise(f.codec.read(b, p))
 
             def put(got: Column) -> Column:
-                end = F.when(version == 0, F.octet_length(b)).otherwise(starts[g + 1] - 1)
-                value, more = self.field_for(self, f, version, got, end)
-                # the next chunk starts where its sizes say; a writer of version 0 has none
-                p = F.when(version == 0, got["p"]).otherwise(starts[self.generation(rest[0].name)]) if onward else got["p"]
-                return fields(version, starts, rest, p, [*errors, *more], values | {f.name: value})
+                limit = F.when(version == 0, F.octet_length(b)).otherwise(starts[g + 1] - 1)
+                value, more = self.value_for(f, version, removed, tagged, got)
+                more += [got["e"], F.when(there & (got["p"] - 1 > limit), w.ENDED)]
+                onward = F.when(version == 0, got["p"]).otherwise(starts[self.generation(rest[0].name)]) if rest and last else got["p"]
+                present = [] if g else [there.cast("int")]
+                return fields(head, starts, after, rest, onward, [*errors, *more], values | {f.name: value}, before + present)
 
-            return w.let(self.field_at(f, version, b, p), put)
+            return bind(raw, put)
 
-        return w.let(w.byte_at(b, p), lambda version: entries(version, p + 1, []))
+        return bind(read_header(b, p), chunks)
+
+    def value_for(self, f: Field, version: Column, removed: Column, tagged: Column, got: Column) -> tuple[Column, list[Column]]:
+        """What this version gets for a field, and its possible errors."""
+        g = self.generation(f.name)
+        default, given = self.default_of(f)
+        if self.gone(f.name):
+            return default, []
+        early = version < g
+        if self.optional_since(f) is None:
+            errors = [F.when(~early & removed, w.REMOVED), F.when(~early & tagged & got["v"].isNull() & got["e"].isNull(), w.NONE_FOUND)]
+            errors += [] if given or not g else [F.when(early, w.NO_DEFAULT)]
+        else:
+            errors = [F.when(early, w.FAILED)] if g and not given else []
+        return F.when(early, default).otherwise(got["v"]), errors
 
     def codec(self) -> c.Codec:
         """As part of other values; a record with a history is written as its last version and reads all of them."""
         if self.steps:
-            kind = ",".join(f"{f.name}:{f.codec.sql_type}" for f in self.read_fields() if f in self.fields_then())
-            return c.Codec(self.enc, self.read, f"struct<{kind}>")
-        fields = self.fields_then()
-        inner = c.product(*[c.option(f.codec) if f.optional else f.codec for f in fields], names=[f.name for f in fields])
-        return c.Codec(self.enc, inner.read, inner.sql_type, inner.size_of)
+            return c.Codec(self.enc, self.read, self.sql_type())
+        inner = c.product(*[c.option(f.codec) if f.optional else f.codec for f in self.fields], names=[f.name for f in self.fields])
+        return c.Codec(self.enc, inner.read, inner.sql_type, inner.size_of, least=inner.least)
 
 
 def decode_record(df: DataFrame, buffer: str, family: Record, reader: int, out: str = "decoded") -> DataFrame:
     """df with ``out``: struct of the fields of the reader's version, and _error.
 
-    Every version of the family's history can be read as every other; the
-    position of each field is a column of its own, so a plan stays as long as the
-    history and not as its square, and unused fields are pruned.
+    The reader is ``family.at(reader)`` and reads bytes of older and newer
+    versions. The header, the chunks and each field are columns of their own
+    while it works, under names that no column of df has, so a plan stays as long
+    as the history; a column ``out`` of df is replaced. Null bytes are an error.
     """
-    b, n = F.col(buffer), len(family.steps)
-    me = family.at(reader)
-    version = F.col("_v")
-    df = df.withColumn("_v", w.byte_at(b, F.lit(1)))
-    for k in range(n + 1):
-        p = F.lit(2) if k == 0 else F.col(f"_h{k - 1}.p")
-        df = df.withColumn(f"_h{k}", family.entry_at(version, k, b, p))
-    start = F.when(version == 0, F.lit(2))
-    for v in range(1, n + 1):
-        start = start.when(version == v, F.col(f"_h{v}.p"))
-    starts = {0: start}
-    for g in range(n + 1):
-        df = df.withColumn(f"_c{g}", starts[g] if g == 0 else (F.col(f"_c{g - 1}") + F.col(f"_h{g - 1}.v")).cast("int"))
-    end = lambda g: F.when(version == 0, F.octet_length(b)).otherwise(F.col(f"_c{g}") + F.col(f"_h{g}.v") - 1)
-    errors = [F.when(version.isNull(), w.ENDED).when(version > n, w.FAILED), *[F.col(f"_h{k}.e") for k in range(n + 1)]]
-    values = {}
-    for g in range(n + 1):
-        p = F.col(f"_c{g}")
-        for f in (f for f in family.fields if family.generation(f.name) == g):
-            name = f"_f_{f.name}"
-            df = df.withColumn(name, family.field_at(f, version, b, p))
-            values[f.name], more = family.field_for(me, f, version, F.col(name), end(g))
-            errors, p = errors + more, F.col(f"{name}.p")
-    error = F.coalesce(*errors)
-    shown = [F.when(error.isNull(), values[f.name]).alias(f.name) for f in me.read_fields() if f in me.fields_then()]
-    df = df.withColumn(out, F.struct(*shown, error.alias("_error")))
-    return df.drop("_v", *[f"_h{k}" for k in range(n + 1)], *[f"_c{k}" for k in range(n + 1)], *[f"_f_{f.name}" for f in family.fields])
+    made, prefix = [df], f"_{uuid.uuid4().hex}_"
+
+    def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+        name = f"{prefix}{len(made)}"
+        made.append(made[-1].withColumn(name, value))
+        return body(F.col(name))
+
+    read = family.at(reader).read(F.col(buffer), F.lit(1), bind)
+    fields = [f.name for f in family.at(reader).read_fields()]
+    rows = made[-1].withColumn(prefix, read)
+    shown = [F.when(F.col(prefix)["e"].isNull(), F.col(prefix)["v"][x]).alias(x) for x in fields]
+    value = F.struct(*shown, F.col(prefix)["e"].alias("_error"))
+    return rows.select(*[value.alias(out) if x == out else F.col(f"`{x}`") for x in df.columns], *[value.alias(out)] * (out not in df.columns))
 
 
 def read_header(b: Column, p: Column) -> Column:

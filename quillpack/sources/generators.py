@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,14 @@ def complete_trees(spark: SparkSession, trees: int = 16, depth: int = 6) -> Data
     node = F.col("id") % per_tree + 1
     child = lambda more: F.when(node <= inner, 2 * node + more)
     return spark.range(trees * per_tree).select(F.floor(F.col("id") / per_tree).alias("tree"), node.alias("node"), child(0).alias("left"), child(1).alias("right"))
+
+
+def typed_values(spark: SparkSession, length: int = 1000, size: int = 65536) -> DataFrame:
+    """name and value (JSON of a dynamically typed value) of some shapes: a number, records, a long list, and bytes as a list."""
+    medium = {"Record": [{"String": "typed value"}, {"S64": 42}, {"F64": 2.5}, {"Bool": True}, {"Option": {"U32": 7}}, {"Flags": [True, False, True]}, {"Enum": 3}]}
+    complex_value = {"Tuple": [medium, {"Variant": {"case_idx": 1, "case_value": medium}}, {"Result": {"err": {"String": "no"}}}, {"Handle": {"uri": "urn:resource:value", "resource_id": 9}}]}
+    shapes = {"simple": {"S32": 1}, "medium": medium, "complex": complex_value}
+    numbers = lambda case, n, x: f"concat('{{\"List\":[', array_join(transform(sequence(0, {n - 1}), k -> concat('{{\"{case}\":', {x}, '}}')), ','), ']}}')"
+    rows = [f"'{name}', '{json.dumps(value)}'" for name, value in shapes.items()]
+    rows += [f"'list', {numbers('S32', length, 'k')}", f"'binary', {numbers('U8', size, 'k % 256')}"]
+    return spark.sql(" UNION ALL ".join(f"SELECT {row}" for row in rows)).toDF("name", "value")
