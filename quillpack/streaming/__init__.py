@@ -1 +1 @@
-
+"""Encoders over unbounded input."""
