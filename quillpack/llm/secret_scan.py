@@ -3,7 +3,10 @@
 Values in a credential context are split at minimum cost into common words,
 dates, repeats, keyboard walks and brute-force spans by dynamic programming over
 their positions; a value whose cheapest split still takes ``strong`` powers of
-ten of guesses is reported as a span of kind "guess".
+ten of guesses is reported as a span of kind "guess". The programme is exact: it
+has the cost with and without an open brute-force span at each position, and
+repeats and walks begin and end anywhere. Words are frequent ones of passwords and
+of the documents themselves, priced by their rank.
 """
 
 from __future__ import annotations
@@ -11,10 +14,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillpack.llm.store import ship_code
 
@@ -40,61 +46,137 @@ my the and key pass word love hello summer winter spring autumn cheese computer
 database access private public account email name company office home house mother father orange banana
 purple yellow black white green silver golden flower magic tiger eagle lion horse pepper cookie ginger
 """.split()
-WORD_COST = {w: math.log10(k + 2) for k, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, WORD_COST))
 # fixed values: rows of keys on a keyboard
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 NEXT_KEYS = {(a, b) for row in KEY_ROWS for line in (row, row[::-1]) for a, b in zip(line, line[1:])}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+# fixed values: dates with years of two centuries, and years alone
+DATES = (
+    (re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"), (8, 9, 10), 4.6),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"), (8, 9, 10), 4.6),
+    (re.compile(r"(?:19|20)\d\d"), (4,), 2.1),
+)
+UNITS = (1, 2, 3, 4)
+
+
+def least_times(size: int) -> int:
+    """How often a unit must come to count as a repeat."""
+    return 3 if size == 1 else 2
 
 
 def alphabet(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
+    return math.log10(10 if c.isascii() and c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
+
+
+def lowered(value: str) -> str:
+    """A-Z in lower case, so that positions stay."""
+    return value.translate(LOWER)
+
+
+LOWER = {ord(c): ord(c.lower()) for c in string.ascii_uppercase}
+
+
+class Starts:
+    """Starts of segments that cost log10 of their number of steps more than what comes before them.
+
+    Of two starts the later one can only be better at first, so those that can
+    still be best are a stack with the next change at its top, and finding the
+    best start of an end takes constant time on average.
+    """
 
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, float, float]] = []  # start in steps, cost before it, end from which the one below is better
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+    def overtaken(self, i: int, cost: float, below: tuple[int, float, float]) -> float:
+        """The end from which the earlier start ``below`` is no worse than i."""
+        if cost <= below[1]:
+            return math.inf
+        if cost - below[1] > 300:
+            return i
+        r = 10 ** (cost - below[1])
+        return (r * i - below[0]) / (r - 1)
+
+    def add(self, i: int, cost: float, end: int) -> None:
+        self.settle(end)
+        while self.stack:
+            until = self.overtaken(i, cost, self.stack[-1])
+            if until <= end:
+                return
+            if until < self.stack[-1][2]:
+                break
+            self.stack.pop()  # below it is better before it is best again
+        self.stack.append((i, cost, until if self.stack else math.inf))
+
+    def settle(self, end: int) -> None:
+        while len(self.stack) > 1 and self.stack[-1][2] <= end:
+            self.stack.pop()
+
+    def best(self, end: int) -> tuple[float, int] | None:
+        self.settle(end)
+        if not self.stack:
+            return None
+        i, cost, _ = self.stack[-1]
+        return cost + math.log10(end - i), i
+
+
+class Words:
+    """Costs of words by their rank."""
+
+    def __init__(self, ranked: list[str]):
+        self.cost: dict[str, float] = {}
+        for k, word in enumerate(dict.fromkeys(ranked)):
+            self.cost[word] = math.log10(k + 2)
+        self.sizes = sorted({len(w) for w in self.cost})
+
+
+def guess_cost(value: str, words: Words | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for the cheapest segmentation, and its segments (kind, start, end).
 
     Every segment costs one digit more, which stands for the choice of its kind.
     """
-    n, low = len(value), value.lower()
-    ends: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
-            if (cost := WORD_COST.get(low[i:j])) is not None:
-                ends[j].append((i, "word", cost + (0.3 if value[i:j] != low[i:j] else 0)))
-    for i in range(n):
-        if m := DATE.match(value, i):
-            ends[m.end()].append((i, "date", 4.6 if m.end() - i > 4 else 2.1))
-    for size in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while j < n and low[j] == low[j - size]:
-                j += 1
-            if (times := (j - i) // size) >= (3 if size == 1 else 2):
-                for k in range(3 if size == 1 else 2, times + 1) if times < 12 else (times,):
-                    ends[i + k * size].append((i, "repeat", sum(map(alphabet, value[i : i + size])) + math.log10(k)))
-                i = j - size + 1
-            else:
-                i += 1
-    i = 0
-    while i < n:
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT_KEYS:
-            j += 1
-        if j - i >= 4:
-            for k in range(i + 4, j + 1) if j - i < 12 else (j,):
-                ends[k].append((i, "walk", 1.7 + math.log10(k - i)))
-        i = j if j > i + 1 else i + 1
+    words = words or Words(COMMON_WORDS)
+    n, low = len(value), lowered(value)
     best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    weight = [0.0, *accumulate(map(alphabet, value))]
+    brute, opened = math.inf, 0  # the cost with an open brute-force span here, and where it began
+    runs = {size: [0, [Starts() for _ in range(size)]] for size in UNITS}  # where what has that period began, and starts by their rest
+    walk, walks = 0, Starts()
     for j in range(1, n + 1):
-        i, kind = back[j - 1]
-        open_span = j > 1 and kind == "brute"
-        best[j], back[j] = best[j - 1] + alphabet(value[j - 1]) + (0 if open_span else 1), (i if open_span else j - 1, "brute")
-        for i, kind, cost in ends[j]:
-            if best[i] + cost + 1 < best[j]:
-                best[j], back[j] = best[i] + cost + 1, (i, kind)
+        c = alphabet(value[j - 1])
+        if best[j - 1] + 1 < brute:
+            brute, opened = best[j - 1] + 1, j - 1
+        brute += c
+        cost, kind, start = brute, "brute", opened
+        for size in words.sizes:
+            if size > j:
+                break
+            if (known := words.cost.get(low[j - size : j])) is not None:
+                known += best[j - size] + 1 + (0.3 if value[j - size : j] != low[j - size : j] else 0)
+                if known < cost:
+                    cost, kind, start = known, "word", j - size
+        if "0" <= value[j - 1] <= "9":
+            for pattern, sizes, price in DATES:
+                for size in sizes:
+                    if size <= j and best[j - size] + price + 1 < cost and pattern.fullmatch(value, j - size, j):
+                        cost, kind, start = best[j - size] + price + 1, "date", j - size
+        for size, run in runs.items():
+            if j > size and low[j - 1] != low[j - 1 - size]:
+                run[0], run[1] = j - size, [Starts() for _ in range(size)]
+            i = j - least_times(size) * size
+            if i < run[0]:
+                continue
+            starts = run[1][j % size]
+            starts.add(i // size, best[i], j // size)
+            if found := starts.best(j // size):
+                found_cost = found[0] + weight[j] - weight[j - size] + 1
+                if found_cost < cost:
+                    cost, kind, start = found_cost, "repeat", found[1] * size + j % size
+        if j > 1 and (low[j - 2], low[j - 1]) not in NEXT_KEYS:
+            walk, walks = j - 1, Starts()
+        if j - 4 >= walk:
+            walks.add(j - 4, best[j - 4], j)
+            if (found := walks.best(j)) and found[0] + 2.7 < cost:
+                cost, kind, start = found[0] + 2.7, "walk", found[1]
+        best[j], back[j] = cost, (start, kind)
     parts, j = [], n
     while j:
         i, kind = back[j]
@@ -113,24 +195,34 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, low: str, strong: float) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, low: str, strong: float, words: Words) -> list[tuple[int, int, int]]:
     if not any(h in low for h in HINTS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1])[0] >= strong]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], words)[0] >= strong]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", strong: float = 9.0) -> DataFrame:
+def frequent_words(df: DataFrame, text_col: str = "text", size: int = 20_000) -> list[str]:
+    """The ``size`` most frequent words of three or more letters a-z in any case, by number and then in order; counted over all rows."""
+    found = F.regexp_extract_all(F.lower(df[text_col]), F.lit("[a-z]{3,20}"), F.lit(0))
+    counts = df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", strong: float = 9.0, dictionary: int = 20_000, words: list[str] | None = None) -> DataFrame:
     """One row per input row: n_assign, n_access, n_hex, base_sha256 and spans over the whole text.
 
-    Positions are code points, ends exclusive. A null or empty text has no spans.
+    Positions are code points, ends exclusive. A null or empty text has no spans;
+    null and repeated ids are rows like others, and no rows give no rows. Words
+    that guesses try are those given, or else the ``dictionary`` most frequent of df.
     """
     ship_code(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    known = Words([*COMMON_WORDS, *(frequent_words(df, text_col, dictionary) if words is None else words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,17 +232,17 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stron
                 low = text.lower()
                 base = base_spans(text, low)
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-                out.append((doc, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + guess_spans(text, low, strong))))
+                out.append((doc, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + guess_spans(text, low, strong, known))))
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=names)
 
     return df.select(df[id_col], df[text_col]).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def masked(text: str, strong: float = 9.0, mask: str = "[SECRET]") -> str:
+def masked(text: str, strong: float = 9.0, mask: str = "[SECRET]", words: Words | None = None) -> str:
     """The text with every found span replaced; spans that overlap are replaced as one."""
     low = text.lower()
-    spans = sorted(base_spans(text, low) + guess_spans(text, low, strong))
+    spans = sorted(base_spans(text, low) + guess_spans(text, low, strong, words or Words(COMMON_WORDS)))
     if not spans:
         return text
     merged: list[list[int]] = []
@@ -166,14 +258,15 @@ def masked(text: str, strong: float = 9.0, mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(df: DataFrame, *, text_col: str = "text", strong: float = 9.0, mask: str = "[SECRET]") -> DataFrame:
-    """df with found secrets masked in its text column; all rows and columns stay, nulls too."""
+def mask_secrets(df: DataFrame, *, text_col: str = "text", strong: float = 9.0, mask: str = "[SECRET]", dictionary: int = 20_000, words: list[str] | None = None) -> DataFrame:
+    """df with found secrets masked in its text column; all rows and columns stay, nulls too. Words as in ``scan``."""
     ship_code(df.sparkSession)
+    known = Words([*COMMON_WORDS, *(frequent_words(df, text_col, dictionary) if words is None else words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [None if t is None else masked(t, strong, mask) for t in batch.column(at).to_pylist()]
+            texts = [None if t is None else masked(t, strong, mask, known) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(k).type) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
     return df.mapInArrow(run, df.schema)
