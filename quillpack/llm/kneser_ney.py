@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
 
-Words are 56-bit hashes. Map tasks count the bigrams of a block of text with
+Words are 64-bit hashes. Map tasks count the bigrams of a block of text with
 array operations and send sorted blocks by ranges of bigram hashes, so a frequent
 word is spread over all ranges. Each range becomes two files in the shared
 folder: its bigram hashes, sorted, and their counts. Counts per word (raw,
@@ -16,6 +16,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from quillpack.llm.store import Scratch, release, settle, ship_code
 
-MASK = np.uint64((1 << 56) - 1)
 MULTIPLIER = 0x9E3779B97F4A7C15
 STEP = 0x100000001B3 | 1 << 45
 BEGIN, END = np.uint64(1), np.uint64(2)  # the hashes of the marks around a document; words have larger ones but by chance
@@ -68,7 +68,7 @@ def word_hashes(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.nda
     firsts = np.cumsum(sizes) - sizes
     inside = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
     letters = (_lower[data[~blank]] + np.uint64(1)) * powers(int(sizes.max()))[inside]
-    return mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64)) & MASK, starts
+    return mixed(np.add.reduceat(letters, firsts) + sizes.astype(np.uint64)), starts
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +118,9 @@ def unpack_columns(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
 
 
-def shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Ranges of keys of that many bits, so sorted keys have sorted shards."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of keys, so sorted keys have sorted shards."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def slices(sorted_shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -133,29 +133,34 @@ def slices(sorted_shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def write_array(path: str, values: np.ndarray) -> None:
     """Written whole or not at all, so that a repeated task leaves the same file."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
+    if not path.endswith(".keys"):  # in the least width that holds all; the number of keys tells it
+        values = values.astype(np.min_scalar_type(values.max()) if len(values) else np.uint8)
     part = f"{path}.{uuid.uuid4().hex}"
     values.tofile(part)
     os.replace(part, path)
 
 
 class Sorted:
-    """Sorted key arrays of all shards, mapped when first asked, with value columns beside them."""
+    """Sorted key arrays of all shards with value columns beside them; the last ``most`` shards that were asked for are mapped."""
 
-    def __init__(self, folder: str, name: str, bits: int, shards: int, columns: dict[str, type]):
-        self.folder, self.name, self.bits, self.shards, self.columns = folder, name, bits, shards, columns
+    def __init__(self, folder: str, name: str, shards: int, columns: tuple[str, ...], most: int = 1024):
+        self.folder, self.name, self.shards, self.columns, self.most = folder, name, shards, columns, most
         self.open: dict[int, tuple] = {}
 
     def mapped(self, shard: int) -> tuple:
         if shard not in self.open:
+            if len(self.open) >= self.most:
+                del self.open[next(iter(self.open))]
             at = f"{self.folder}/{self.name}-{shard}"
-            size = os.path.getsize(f"{at}.keys") if os.path.exists(f"{at}.keys") else 0
-            self.open[shard] = tuple(np.memmap(f"{at}.{c}", kind, "r") if size else np.zeros(0, kind) for c, kind in {"keys": np.uint64, **self.columns}.items())
+            n = os.path.getsize(f"{at}.keys") // 8 if os.path.exists(f"{at}.keys") else 0
+            width = lambda c: os.path.getsize(f"{at}.{c}") // n
+            self.open[shard] = tuple(np.memmap(f"{at}.{c}", f"u{width(c)}", "r") if n else np.zeros(0, np.uint64) for c in ("keys", *self.columns))
         return self.open[shard]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """Values of sorted keys, zero where a key is not there."""
         out = [np.zeros(len(keys), np.int64) for _ in self.columns]
-        for shard, a, b in slices(shard_of(keys, self.bits, self.shards)):
+        for shard, a, b in slices(shard_of(keys, self.shards)):
             known, *values = self.mapped(shard)
             if not len(known):
                 continue
@@ -190,10 +195,10 @@ class Model:
     word_reserve: float
 
     def words(self) -> Sorted:
-        return Sorted(self.folder, "words", 56, self.shards, dict.fromkeys(WORD_COLUMNS, np.uint32))
+        return Sorted(self.folder, "words", self.shards, WORD_COLUMNS)
 
     def bigrams(self) -> Sorted:
-        return Sorted(self.folder, "bigrams", 64, self.shards, {"n": np.uint32})
+        return Sorted(self.folder, "bigrams", self.shards, ("n",))
 
     def unigram(self, after: np.ndarray) -> np.ndarray:
         if not self.continuations:
@@ -259,7 +264,7 @@ def train(texts: DataFrame, scratch: Scratch, *, shard_bytes: int = 16 << 20) ->
             n = np.diff(np.concatenate([first, [len(keys)]])).astype(np.uint64)
             at = order[first]
             keys, left, right = keys[at], left[at], right[at]
-            for shard, a, b in slices(shard_of(keys, 64, shards)):
+            for shard, a, b in slices(shard_of(keys, shards)):
                 by_left = a + np.argsort(left[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack_columns(left[by_left], right[by_left], n[by_left])], pa.binary())], names=["shard", "data"])
 
@@ -273,7 +278,7 @@ def train(texts: DataFrame, scratch: Scratch, *, shard_bytes: int = 16 << 20) ->
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n, left, right, keys = np.add.reduceat(n[order], first), left[order][first], right[order][first], keys[first]
-        write_array(f"{folder}/bigrams-{shard}.n", n.astype(np.uint32))
+        write_array(f"{folder}/bigrams-{shard}.n", n)
         write_array(f"{folder}/bigrams-{shard}.keys", keys)
         u = lambda x: x.astype(np.uint64)
         zero = np.zeros(len(n), np.uint64)
@@ -282,7 +287,7 @@ def train(texts: DataFrame, scratch: Scratch, *, shard_bytes: int = 16 << 20) ->
         ended = summed(right, n, u(np.ones(len(n))))
         fill = lambda k, m: [zero[:1].repeat(m)] * k
         words = summed(np.concatenate([followers[0], ended[0]]), *(np.concatenate([a, b]) for a, b in zip([*fill(2, len(followers[0])), *followers[1:]], [*ended[1:], *fill(4, len(ended[0]))])))
-        out = [(to, pack_columns(*(c[a:b] for c in words)), None) for to, a, b in slices(shard_of(words[0], 56, shards))]
+        out = [(to, pack_columns(*(c[a:b] for c in words)), None) for to, a, b in slices(shard_of(words[0], shards))]
         out.append((-1, None, of_counts(n)))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["shard", "data", "numbers"])
 
@@ -290,7 +295,7 @@ def train(texts: DataFrame, scratch: Scratch, *, shard_bytes: int = 16 << 20) ->
         shard = rows.column("shard")[0].as_py()
         keys, *columns = summed(*(np.concatenate(c) for c in zip(*(unpack_columns(x.as_py()) for x in rows.column("data")))))
         for name, values in zip(WORD_COLUMNS, columns):
-            write_array(f"{folder}/words-{shard}.{name}", values.astype(np.uint32))
+            write_array(f"{folder}/words-{shard}.{name}", values)
         write_array(f"{folder}/words-{shard}.keys", keys)
         raw, after = columns[:2]
         return pa.table({"numbers": pa.array([[int(raw.sum()), int((raw > 0).sum()), int(after.sum()), *of_counts(after), int((after > 2).sum())]], pa.list_(pa.int64()))})
@@ -313,7 +318,7 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (an
     add-one unigram) and score, the log10 probability of the whole text with
     its end. Null texts are empty and have one token, their end; rows whose
-    held_out is null are trained on. With nothing to learn from, every word is
+    held_out is null are trained on; null and repeated ids are rows like others. With nothing to learn from, every word is
     unknown and has probability 1.
     """
     spark = df.sparkSession
@@ -326,10 +331,14 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, bigrams = model.words(), model.bigrams()
-            for others, texts in chunks(batches, 2, SCORE_BYTES):
+            batches = iter(batches)
+            head = next(batches, None)
+            if head is None:
+                return
+            id_kind = head.schema.field(0).type
+            for others, texts in chunks(chain([head], batches), 2, SCORE_BYTES):
                 made = [(doc, out, n, known, model.train_tokens, base, score) for (doc, out), (n, known, base, score) in zip(others, model.score(texts, words, bigrams))]
                 kinds = [id_kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
 
-        id_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
         return settle(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
