@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpack.llm.fast_ids import encoder
-from quillpack.llm.store import ship_code
+from quillpack.llm.store import settle, ship_code
 
 
 def token_lengths(df: DataFrame, *, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -29,7 +29,7 @@ def token_lengths(df: DataFrame, *, text_col: str = "text", path: str | None = N
     return df.select(df[text_col]).mapInArrow(run, "n_tokens long")
 
 
-def length_histogram(lengths: DataFrame, *, block: int = 1024) -> DataFrame:
+def length_histogram(lengths: DataFrame, *, block: int = 32) -> DataFrame:
     """One row per distinct n_tokens of ``lengths``, read as a context limit of that many tokens.
 
     n_docs: documents of exactly that length; docs_within and tokens_within: those
@@ -39,7 +39,7 @@ def length_histogram(lengths: DataFrame, *, block: int = 1024) -> DataFrame:
     so the q-quantile of lengths is the smallest limit with share_within >= q.
     An empty table gives no rows.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = settle(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))  # used twice, so that no text is encoded again
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / block))
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     rows = counts.withColumns({
@@ -69,9 +69,9 @@ def length_histogram(lengths: DataFrame, *, block: int = 1024) -> DataFrame:
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, docs_longer and truncated_total for any limits, also between the lengths that occur."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    longer = (F.col("n_tokens") > F.col("context_limit")).cast("long") * F.col("n_docs")
-    kept = F.least("n_tokens", "context_limit") * F.col("n_docs")
-    return histogram.join(F.broadcast(asked)).groupBy("context_limit").agg(F.sum(longer).alias("docs_longer"), F.sum(kept).alias("truncated_total"))
+    """context_limit, docs_longer and truncated_total for any limits, also between the lengths that occur; zeros where there are no documents."""
+    limits = [int(x) for x in limits]
+    longer = [F.sum((F.col("n_tokens") > x).cast("long") * F.col("n_docs")) for x in limits]
+    kept = [F.sum(F.least(F.col("n_tokens"), F.lit(x)) * F.col("n_docs")) for x in limits]
+    rows = [F.struct(F.lit(x).cast("long").alias("context_limit"), F.coalesce(a, F.lit(0)).alias("docs_longer"), F.coalesce(b, F.lit(0)).alias("truncated_total")) for x, a, b in zip(limits, longer, kept)]
+    return histogram.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
