@@ -32,6 +32,7 @@ from quillpack.llm.fast_ids import encoder
 from quillpack.llm.store import Scratch, settle, ship_code
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
+MOST_PLACES = 1 << 18  # rows of the plan's table that are broadcast, about 20 MB; a larger one is joined by its lengths
 
 
 @dataclass(frozen=True)
@@ -291,9 +292,11 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, search: Search = Search(),
         cells = cells.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranks_before"))
         within = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32", "start")
         ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(cells, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ranks_before"))
-        table = spark.createDataFrame(slots(plan), "slot_length long, low long, high long, sequence long, each long, at long")
+        places = slots(plan)
+        table = spark.createDataFrame(places, "slot_length long, low long, high long, sequence long, each long, at long")
         # the plan has a bounded number of groups: two for each length at most when placed, and those that crossover keeps
-        found = ranked.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+        table = F.broadcast(table) if len(places) <= MOST_PLACES else table
+        found = ranked.join(table, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         nth = F.col("rank") - F.col("low")
         return settle(found.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
@@ -303,5 +306,9 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, search: Search = Search(),
 
 
 def pack_documents(df: DataFrame, *, capacity: int = 2048, search: Search = Search(), **how) -> DataFrame:
-    """All documents cut into pieces and packed into sequences of at most capacity tokens."""
+    """All documents cut into pieces and packed into sequences of at most capacity tokens.
+
+    A null text is empty and takes one token, the end; null and repeated ids are
+    documents like others; no rows give no rows.
+    """
     return pack(document_pieces(df, capacity=capacity, **how), capacity=capacity, search=search)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,9 +20,11 @@ _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; set here only where it is unset and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         named = f"file://{tempfile.mkdtemp(prefix='quillpack-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
