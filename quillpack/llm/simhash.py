@@ -43,6 +43,11 @@ def fingerprint(data: bytes, width: int) -> int:
     else:
         starts = [0, *ends]
         hashes = [hash_of(text[a : b - 1], HASH_SEED) for a, b in zip(starts, ends[width - 1 :])]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Bits that are set in more than half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         block = np.array(hashes[at : at + (1 << 15)], ">u8")
@@ -125,15 +130,15 @@ def route(tree: Node, points: np.ndarray, reach: int) -> Iterator[tuple[int, np.
         stack.append((node.outer, home[h > node.radius], np.concatenate([edge, guests[g > node.radius - reach]])))
 
 
-def close_pairs(points: np.ndarray, home: int, reach: int, forest: Forest, dice: np.random.Generator, leaf: int = 192) -> None:
-    """Adds to the forest all pairs within reach of which one is among the first ``home`` points, the homes."""
+def close_pairs(points: np.ndarray, home: int, reach: int, dice: np.random.Generator, leaf: int = 192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within reach of which one is among the first ``home`` points, the homes; by a tree over these."""
 
-    def meet(h: np.ndarray, g: np.ndarray) -> None:
+    def meet(h: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(h), 1024):
             for to in range(0, len(g), 4096):
                 i, j = np.nonzero(np.bitwise_count(points[h[at : at + 1024], None] ^ points[None, g[to : to + 4096]]) <= reach)
                 if len(i):
-                    forest.add(h[at + i], g[to + j])
+                    yield h[at + i], g[to + j]
 
     stack = [(np.arange(home), np.arange(home, len(points)))]
     while stack:
@@ -142,9 +147,9 @@ def close_pairs(points: np.ndarray, home: int, reach: int, forest: Forest, dice:
             continue
         cut = vantage(points[h], dice, 3) if len(h) > leaf else None
         if cut is None:
-            meet(h, h)
+            yield from meet(h, h)
             if len(g):
-                meet(h, g)
+                yield from meet(h, g)
             continue
         point, radius = cut
         dh, dg = distances(points[h], point), distances(points[g], point)
@@ -152,18 +157,21 @@ def close_pairs(points: np.ndarray, home: int, reach: int, forest: Forest, dice:
         stack.append((h[dh > radius], np.concatenate([h[(dh <= radius) & (dh > radius - reach)], g[dg > radius - reach]])))
 
 
-def links(classes: DataFrame, *, fp: str = "fp", node: str = "rep", reach: int = 2, shard_size: int = 2048, sample_size: int = 32768, most_shards: int = 4096) -> DataFrame:
+def links(classes: DataFrame, *, fp: str = "fp", node: str = "rep", reach: int = 2, shard_size: int = 2048, sample_size: int = 262144, most_shards: int = 65536) -> DataFrame:
     """Edges a, b between nodes whose distinct fingerprints differ in at most ``reach`` bits, as spanning forests.
 
-    The sample (at most sample_size fingerprints, and an eighth of them) only
-    places the cuts of the tree; all fingerprints are routed and compared exactly.
+    The sample (four fingerprints for each shard, at most sample_size and an
+    eighth of all) only places the cuts of the tree, which every task holds; all
+    fingerprints are routed and compared exactly. Beyond most_shards times
+    shard_size fingerprints the shards grow, and a task's own tree with them.
     """
     spark = classes.sparkSession
     ship_code(spark)
     n = classes.count()
     shards = int(min(most_shards, max(1, n // shard_size)))
-    fraction = min(0.125, 0.8 * sample_size / max(n, 1))
-    sample = [r[0] for r in classes.select(fp).where(F.xxhash64(fp, F.lit(7)) % 1_000_000 < int(fraction * 1_000_000)).where(F.xxhash64(fp, F.lit(7)) >= 0).limit(sample_size).collect()] if shards > 1 else []
+    fraction = min(0.125, min(sample_size, max(32768, 4 * shards)) / max(n, 1))
+    drawn = classes.select(fp).where(F.pmod(F.xxhash64(fp, F.lit(7)), F.lit(10**15)) < int(fraction * 10**15)).limit(sample_size)
+    sample = [r[0] for r in drawn.collect()] if shards > 1 else []
     tree = build(np.unique(np.array(sample, np.int64)).view(np.uint64), shards, np.random.default_rng(11)) if sample else Node(shard=0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +185,8 @@ def links(classes: DataFrame, *, fp: str = "fp", node: str = "rep", reach: int =
         table = table.take(pa.array(order))
         points, nodes = table.column("fp").to_numpy().view(np.uint64), table.column("node")
         forest = Forest(len(points))
-        close_pairs(points, int((~table.column("guest").to_numpy()).sum()), reach, forest, np.random.default_rng(5))
+        for a, b in close_pairs(points, int((~table.column("guest").to_numpy()).sum()), reach, np.random.default_rng(5)):
+            forest.add(a, b)
         a, b = forest.links()
         return pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b))})
 
@@ -200,12 +209,3 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     named = settle(named)
     return prints.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df without the documents of a component other than its least doc_id; rows without a doc_id stay.
-
-    Rows that repeat a kept doc_id stay too: they are one document.
-    """
-    gone = near_duplicates(df, id_col=id_col, text_col=text_col, **how).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(settle(gone), df[id_col] == F.col("_gone"), "left_anti")
