@@ -511,9 +511,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         places = cut.where("shard is null").select(F.col("chunk").alias("p"), F.col("data").alias("places"))
         spans = spans.groupBy(F.col("chunk").alias("s")).agg(F.collect_list("spans").alias("spans"))
         hit = chunks.join(places.join(spans, F.col("p") == F.col("s")), F.col("chunk") == F.col("p")).select("h1", "h2", "rep", "size", "data", "places", "spans")
-        rest = scratch.save(hit.mapInArrow(cleaned(plan, with_text), "c1 long, c2 long, removed long, cuts long, kept_sha string, kept binary"), "rest")
-        rest = rest.dropDuplicates(["c1", "c2"])
-        rows = facts.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left").join(rest, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+        rest = hit.mapInArrow(cleaned(plan, with_text), "c1 long, c2 long, removed long, cuts long, kept_sha string, kept binary").dropDuplicates(["c1", "c2"])
+        by_text = scratch.save(firsts.join(rest, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left"), "by_text")
+        # both sides are read from files, so adaptive execution can split the rows of one text
+        rows = facts.join(by_text, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
         copy = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= length), F.lit(False))
         own = F.col("doc_id").isNotNull() & F.col("c1").isNotNull()
         out = rows.select(
