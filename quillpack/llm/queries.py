@@ -60,9 +60,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
+#: cosines of all pairs of a label, and all that links reach
+OP5_SQL = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT links.a, reach.other FROM links JOIN reach ON links.b = reach.node
+), heads AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN heads ON node = vec_id
+"""
+
+#: every measure of the quality rules, by lists of words and lines
+OP6_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    FROM texts
+), windows AS (
+    SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), often AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM often) GROUP BY doc_id
+), measured AS (
+    SELECT split.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))}], lower(x))))::BIGINT AS stop_words,
+        len(l)::BIGINT AS n_lines,
+        CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: suffix(rtrim(x, ' '), '...') OR suffix(rtrim(x, ' '), '…'))) / len(l)::DOUBLE ELSE 0.0 END AS ellipsis_line_share,
+        CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: left(ltrim(x, ' '), 1) IN ('-', '*', '•', '‣', '·'))) / len(l)::DOUBLE ELSE 0.0 END AS bullet_line_share
+    FROM split LEFT JOIN covered ON covered.doc_id = split.doc_id
+), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND word_chars / n_words::DOUBLE BETWEEN 2.5 AND 12 AND n_symbols / n_words::DOUBLE <= 0.1 AND stop_words >= 2
+        AND n_dup_lines / n_lines::DOUBLE <= 0.5 AND ellipsis_line_share <= 0.3 AND bullet_line_share <= 0.9 AS kept,
+    stop_words, n_lines, ellipsis_line_share, bullet_line_share
+FROM judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_lm_scoring, op4_secret_scan, op5_embedding_dedup, op6_quality_rules, op7_bpe, op8_suffix_dedup, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; tests hold the others against plain versions."""
+    return {"op5_embedding_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL}

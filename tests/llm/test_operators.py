@@ -154,7 +154,8 @@ def test_vantage_point_search_is_exact():
     for _, at, guest in simhash.route(tree, points, 2):
         order = np.argsort(guest, kind="stable")
         kept = forest.Forest(len(at))
-        simhash.close_pairs(points[at[order]], int((~guest).sum()), 2, kept, np.random.default_rng(0), leaf=16)
+        for a, b in simhash.close_pairs(points[at[order]], int((~guest).sum()), 2, np.random.default_rng(0), leaf=16):
+            kept.add(a, b)
         pairs |= {(int(at[order][a]), int(at[order][b])) for a, b in zip(*kept.links())}
     left, right = np.nonzero(np.bitwise_count(points[:, None] ^ points[None]) <= 2)
     a, b = (np.array(x) for x in zip(*pairs))
