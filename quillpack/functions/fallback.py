@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillpack.functions import codecs as c
+
 
 def _var_u32(n: int) -> bytes:
     out = bytearray()
@@ -276,3 +278,12 @@ def json_binary(text: Column) -> Column:
 
 def json_of_binary(data: Column) -> Column:
     return F.pandas_udf(_json_decode, "string")(data)
+
+
+def json_encoded(text: Column, options: c.Options = c.Options()) -> Column:
+    """JSON as its text, or as the value tree where the options say so."""
+    return json_binary(text) if options.binary_json else c.json_text.enc(text)
+
+
+def json_decoded(data: Column, options: c.Options = c.Options()) -> Column:
+    return json_of_binary(data) if options.binary_json else c.json_text.decode(data)

@@ -151,6 +151,7 @@ add("decimal_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallb
 json_rows = lambda df: df.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("j"))
 add("encode_json_text", "events", lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")), """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events")
 add("encode_json_binary", "events", lambda df: json_rows(df).select("event_id", F.hex(fallback.json_binary(F.col("j"))).alias("bytes")), f"SELECT event_id, '0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')} AS bytes FROM events")
+add("encode_json_by_option", "events", lambda df: json_rows(df).select("event_id", *[F.md5(F.hex(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)))).alias(name) for x, name in ((False, "text"), (True, "tree"))], *[(fallback.json_decoded(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)), c.Options(binary_json=x)) == F.col("j")).alias(f"same_{name}") for x, name in ((False, "text"), (True, "tree"))]), "SELECT event_id, md5(" + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + f") AS text, md5('0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')}) AS tree, true AS same_text, true AS same_tree FROM events")
 add("json_binary_roundtrip", "events", lambda df: df.select("event_id", (fallback.json_of_binary(fallback.json_binary(F.col("props"))) == F.to_json(F.parse_json("props"))).alias("same")), "SELECT event_id, true AS same FROM events")
 
 # nested
@@ -520,6 +521,9 @@ QUERIES["generate_log_batch"] = lambda spark, sf_dir: generators.log_batch(spark
 kinds = ", ".join(f"'{k}'" for k in generators.KINDS)
 counted = "array_to_string(list_transform(range(600), lambda i: lpad(hex((id + i % 251) % 256), 2, '0')), '')"
 ORACLE["generate_log_batch"] = f"SELECT id AS idx, ([{kinds}])[id % 8 + 1] AS kind, 1700000000000 + 37 * id AS ts_ms, '00000000-0000-0000-0000-' || lpad(lower(hex(id)), 12, '0') AS token, md5({counted}) AS digest FROM (SELECT unnest(range(1000)) AS id)"
+for size in (16, 256, 1024, 16384):
+    QUERIES[f"generate_log_batch_{size}"] = lambda spark, sf_dir, n=size: generators.log_batch(spark, 500, n).select("idx", "kind", "ts_ms", "token", F.md5(F.hex("payload")).alias("digest"))
+    ORACLE[f"generate_log_batch_{size}"] = ORACLE["generate_log_batch"].replace("range(600)", f"range({size})").replace("range(1000)", "range(500)")
 QUERIES["generate_event_log"] = lambda spark, sf_dir: generators.event_log(spark, 10_000).select("idx", "kind", "ts_ms", "function_type", "key", "convention", F.octet_length("payload").alias("size"))
 QUERIES["generate_tagged_payloads"] = lambda spark, sf_dir: generators.tagged_payloads(spark, 100).select("id", F.size("tags").alias("n_tags"), F.octet_length("payload").alias("size"))
 ORACLE["generate_tagged_payloads"] = "SELECT unnest(range(100)) AS id, 32 AS n_tags, 65536 AS size"
