@@ -15,28 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place. Null texts are empty, null and repeated ids documents of their own."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank, its first like, and whether it goes. Null texts have no lines; a null id comes first; rows of one id are one document."""
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those that are not held out. Null texts are empty; a null id counts as empty text in the fold."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return kneser_ney.score_documents(docs, held_out)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets. Null texts have none; ids play no part."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component. Vectors that are null, empty, zero or not finite, or without a label or id, link with nothing."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict. Null texts have no words; ids play no part."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "stop_words", "n_lines", "ellipsis_line_share", "bullet_line_share",
@@ -44,19 +50,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens and digests. Null texts are empty; ids play no part."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's repeats of earlier ones. Null texts are empty; rows without an id, or of one id, take nothing from each other."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component. Texts without words have fingerprint zero; rows without an id link nothing."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each length that occurs. Null texts have none of its tokens, length 0; ids play no part."""
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
