@@ -3,9 +3,12 @@
 Equal vectors of a label are one class. Each table cuts the classes of a label by
 the signs of their products with ``bits`` random directions; classes that share
 a bucket are compared exactly, in square tiles of bounded size, so a bucket of
-any size is spread over tasks and no pair leaves one. A pair counts in the first
-table in which its two members share a bucket, which makes the link counts
-exact sums. Tiles send out counts and a spanning forest.
+any size is spread over tasks and no pair leaves one. The signs of all tables
+together tell the angle of two classes well enough to screen the tiles first:
+only members that may have a partner in a tile get their vectors sent there, so
+a vector does not travel once for each table. A pair counts in the first table in
+which its two members share a bucket, which makes the link counts exact sums.
+Tiles send out counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -30,11 +33,47 @@ def table_shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """One signature per row and table."""
+def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """One signature per row and table, and the signs of all tables in words of 64 bits."""
     planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], bits * tables))
-    signs = (vectors @ planes >= 0).reshape(len(vectors), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+    signs = vectors @ planes >= 0
+    packed = np.packbits(signs, axis=1)
+    words = np.zeros((len(vectors), 8 * math.ceil(packed.shape[1] / 8)), np.uint8)
+    words[:, : packed.shape[1]] = packed
+    return signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)), words.view(np.int64)
+
+
+def most_apart(signs: int, threshold: float) -> int:
+    """Signs in which vectors at the threshold differ, with six deviations on top (missed with probability 1e-9)."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(signs * p + 6 * math.sqrt(signs * p * (1 - p)))
+
+
+def by_tile(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each tile, of rows sorted by the columns that name one; a tile has at most about two blocks of rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        whole = pa.Table.from_batches(held)
+        if not whole.num_rows:
+            continue
+        key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in names])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield whole.slice(a, b - a)
+        held = whole.slice(cuts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def sides(block: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two sides of a tile, which are one for a block with itself."""
+    every = np.arange(len(block))
+    return (every, every) if same else (np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min()))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, miss: float = 1e-4, seed: int = 17, tile: int = 1024) -> DataFrame:
@@ -60,17 +99,18 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            out = [None] * len(vectors)
+            out, packed = [None] * len(vectors), [None] * len(vectors)
             by_size: dict[int, list[int]] = {}
             for k, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(k)
             for at in by_size.values():
-                for k, s in zip(at, signatures(np.array([vectors[k] for k in at]), bits, tables, seed).tolist()):
-                    out[k] = s
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["cid", "sigs"])
+                for k, s, w in zip(at, *(x.tolist() for x in signatures(np.array([vectors[k] for k in at]), bits, tables, seed))):
+                    out[k], packed[k] = s, w
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(packed, kind)], names=["cid", "sigs", "signs"])
 
-    signed = same.select("cid", "v").mapInArrow(sign, "cid long, sigs array<long>")
-    known = settle(same.join(signed, "cid").select("cid", "label", "weight", F.size("v").alias("dim"), "v", "sigs"))
+    signed = same.select("cid", "v").mapInArrow(sign, "cid long, sigs array<long>, signs array<long>")
+    known = settle(same.join(signed, "cid").select("cid", "label", "weight", F.size("v").alias("dim"), "v", "sigs", "signs"))
     members = known.select("cid", "label", "dim", F.posexplode("sigs").alias("t", "sig"))
     sizes = settle(members.groupBy("label", "dim", "t", "sig").agg(F.count("*").alias("size")).where("size > 1"))
     keys = ["label", "dim", "t", "sig"]
@@ -79,19 +119,44 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     placed = placed.select("cid", *keys, "block", F.explode(tiles).alias("at")).select(F.col("cid").alias("of"), F.xxhash64(*keys, "at.i", "at.j").alias("part"), *[F.col(k).alias(f"k_{k}") for k in keys], "at.i", "at.j", "block")
     placed = settle(placed)
-    work = placed.join(known.select("cid", "weight", "v", "sigs"), F.col("of") == F.col("cid")).drop("of")
+    names = ["part", *(f"k_{k}" for k in keys), "i", "j"]
+    reach = most_apart(bits * tables, threshold)
+
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        return rows.repartition(F.col("part")).sortWithinPartitions(*names)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a tile that have another within reach on its other side."""
+        for table in by_tile(batches, names):
+            signs, block = matrix(table.column("signs")), table.column("block").to_numpy()
+            same_block = table.column("i")[0] == table.column("j")[0]
+            left, right = sides(block, same_block)
+            near = np.zeros(len(block), bool)
+            for at in range(0, len(left), 512):
+                a = left[at : at + 512]
+                for to in range(at if same_block else 0, len(right), 512):
+                    b = right[to : to + 512]
+                    apart = np.zeros((len(a), len(b)), np.uint16)
+                    for k in range(signs.shape[1]):
+                        apart += np.bitwise_count(signs[a, None, k] ^ signs[None, b, k])
+                    hit = (apart <= reach) & (a[:, None] != b[None])
+                    near[a] |= hit.any(axis=1)
+                    near[b] |= hit.any(axis=0)
+            yield from table.drop_columns(["signs"]).take(pa.array(np.flatnonzero(near))).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    screened = in_tiles(placed.join(known.select("cid", "signs"), F.col("of") == F.col("cid")).select(*placed.columns, "signs"))
+    screened = settle(screened.mapInArrow(screen, ", ".join(f"{c} {kinds[c]}" for c in placed.columns)))
+    work = in_tiles(screened.join(known.select("cid", "weight", "v", "sigs"), F.col("of") == F.col("cid")).drop("of"))
 
     def compare(vectors: np.ndarray, sigs: np.ndarray, weights: np.ndarray, block: np.ndarray, t: int, same_block: bool) -> tuple[np.ndarray, Forest]:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         counts, forest = np.zeros(len(vectors), np.int64), Forest(len(vectors))
-        left = np.arange(len(vectors)) if same_block else np.flatnonzero(block == block.min())
-        right = left if same_block else np.flatnonzero(block != block.min())
+        left, right = sides(block, same_block)
         for at in range(0, len(left), 512):
             a = left[at : at + 512]
-            for to in range(0, len(right), 512):
+            for to in range(at if same_block else 0, len(right), 512):
                 b = right[to : to + 512]
-                if same_block and to < at:
-                    continue
                 hit = (vectors[a] @ vectors[b].T) / (norms[a][:, None] * norms[b][None]) >= threshold
                 i, j = np.nonzero(hit)
                 if same_block:
@@ -104,39 +169,22 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         return counts, forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads rows sorted by tile; a tile has at most about two blocks of rows."""
-        held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for table in by_tile(batches, names):
             if table.num_rows < 2:
-                return
-            cid = table.column("cid").to_numpy()
-            block = table.column("block").to_numpy()
-            width = len(table.column("v")[0])
-            vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            sigs = table.column("sigs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, tables)
-            weights = table.column("weight").to_numpy()
-            counts, forest = compare(vectors, sigs, weights, block, table.column("k_t")[0].as_py(), table.column("i")[0] == table.column("j")[0])
+                continue
+            cid, block = table.column("cid").to_numpy(), table.column("block").to_numpy()
+            same_block = table.column("i")[0] == table.column("j")[0]
+            if not same_block and (block == block.min()).all():
+                continue
+            t = table.column("k_t")[0].as_py()
+            counts, forest = compare(matrix(table.column("v")), matrix(table.column("sigs")), table.column("weight").to_numpy(), block, t, same_block)
             child, root = forest.links()
             near = np.flatnonzero(counts)
             to = np.arange(len(cid))
             to[child] = root
             yield pa.RecordBatch.from_arrays([pa.array(cid[near]), pa.array(cid[to[near]]), pa.array(counts[near])], names=["a", "b", "n"])
 
-        names = ["part", *(f"k_{k}" for k in keys), "i", "j"]
-        for batch in batches:
-            held.append(batch)
-            whole = pa.Table.from_batches(held)
-            key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in names])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from done(whole.slice(a, b - a))
-            held = whole.slice(cuts[-1]).to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
-
-    order = ["part", *(f"k_{k}" for k in keys), "i", "j"]
-    found = settle(work.repartition(F.col("part")).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, n long"))
+    found = settle(work.mapInArrow(run, "a long, b long, n long"))
     sums = settle(found.groupBy(F.col("a").alias("node_")).agg(F.sum("n").alias("n")))
     groups = components(found)
     linked = settle(groups.join(same.select("cid", "rep"), F.col("node") == F.col("cid")).select("node", "component", "rep"))
