@@ -58,8 +58,18 @@ encoded("encode_i32", "nation", NATION, c.i32, "n_nationkey - 3", sql.be("n_nati
 decoded("decode_i32", "nation", NATION, c.i32, "n_nationkey - 3", "n_nationkey - 3")
 encoded("encode_i8", "part", PART, c.i8, "p_size - 25", sql.be("p_size - 25", 1))
 encoded("encode_i16", "part", PART, c.i16, "p_size * 100 - 2500", sql.be("p_size * 100 - 2500", 2))
-encoded("encode_u64", "orders", ORDER, c.u64, "cast(18446744073709551615 as decimal(20,0)) - o_orderkey", "lpad(hex(18446744073709551615::UHUGEINT - o_orderkey::UHUGEINT),16,'0')")
-encoded("encode_i128", "orders", ORDER, c.i128, "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0)) + o_custkey", "lpad(hex(o_orderkey),16,'0') || lpad(hex(o_custkey),16,'0')")
+encoded(
+    "encode_u64", "orders", ORDER,
+    c.u64,
+    "cast(18446744073709551615 as decimal(20,0)) - o_orderkey",
+    "lpad(hex(18446744073709551615::UHUGEINT - o_orderkey::UHUGEINT),16,'0')",
+)
+encoded(
+    "encode_i128", "orders", ORDER,
+    c.i128,
+    "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0)) + o_custkey",
+    "lpad(hex(o_orderkey),16,'0') || lpad(hex(o_custkey),16,'0')",
+)
 encoded("encode_f64", "lineitem", LINE, c.f64, "l_extendedprice", sql.f64("l_extendedprice"))
 decoded("decode_f64", "lineitem", LINE, c.f64, "l_extendedprice", "l_extendedprice")
 encoded("encode_f32", "lineitem", LINE, c.f32, "cast(l_quantity as float)", sql.f32("l_quantity"))
@@ -78,7 +88,11 @@ decoded("decode_char", "part", PART, c.char(), first, first)
 encoded("encode_char_u16", "part", PART, c.char(wide), first, sql.be(f"ascii({first})", 2))
 decoded("decode_char_u16", "part", PART, c.char(wide), first, first)
 encoded("encode_string", "customer", CUSTOMER, c.string, "c_name", sql.string("c_name"))
-add("encode_text", "documents", lambda df: df.select("doc_id", F.md5(F.hex(c.string.enc(F.col("text")))).alias("digest"), c.string.size(F.col("text")).cast("bigint").alias("size")), f"SELECT doc_id, md5({sql.string('text')}) AS digest, {sql.size_of_string('text')}::BIGINT AS size FROM documents")
+add(
+    "encode_text", "documents",
+    lambda df: df.select("doc_id", F.md5(F.hex(c.string.enc(F.col("text")))).alias("digest"), c.string.size(F.col("text")).cast("bigint").alias("size")),
+    f"SELECT doc_id, md5({sql.string('text')}) AS digest, {sql.size_of_string('text')}::BIGINT AS size FROM documents",
+)
 decoded("decode_string", "documents", ["doc_id"], c.string, "text", "text")
 encoded("encode_url", "pages", ["page_id"], c.url, "url", sql.string("url"))
 decoded("decode_url", "pages", ["page_id"], c.url, "url", "url")
@@ -86,16 +100,49 @@ encoded("encode_bytes", "part", PART, c.block, "encode(p_brand, 'utf-8')", sql.b
 decoded("decode_bytes", "part", PART, c.block, "encode(p_brand, 'utf-8')", "p_brand", shown=lambda v: F.decode(v, "utf-8"))
 digest = "md5(o_orderkey::VARCHAR)"
 spark_digest = "md5(cast(o_orderkey as string))"
-encoded("encode_uuid", "orders", ORDER, c.uuid, f"regexp_replace({spark_digest}, '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5')", f"upper({digest})")
-decoded("decode_uuid", "orders", ORDER, c.uuid, spark_digest, "regexp_replace(md5(o_orderkey::VARCHAR), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5')")
-encoded("encode_mac", "orders", ORDER, c.mac, f"rtrim(':', regexp_replace(left({spark_digest}, 12), '(..)', '$1:'))", f"upper(left({digest}, 12))")
+encoded(
+    "encode_uuid", "orders", ORDER,
+    c.uuid,
+    f"regexp_replace({spark_digest}, '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5')",
+    f"upper({digest})",
+)
+decoded(
+    "decode_uuid", "orders", ORDER,
+    c.uuid,
+    spark_digest,
+    "regexp_replace(md5(o_orderkey::VARCHAR), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5')",
+)
+encoded(
+    "encode_mac", "orders", ORDER,
+    c.mac,
+    f"rtrim(':', regexp_replace(left({spark_digest}, 12), '(..)', '$1:'))",
+    f"upper(left({digest}, 12))",
+)
 octets = [f"(o_orderkey // {256**k}) % 256" for k in (2, 1, 0)]
-encoded("encode_ipv4", "orders", ORDER, c.ipv4, "concat_ws('.', 10, (o_orderkey div 65536) % 256, (o_orderkey div 256) % 256, o_orderkey % 256)", "'000A' || " + " || ".join(sql.be(o, 1) for o in octets))
+encoded(
+    "encode_ipv4", "orders", ORDER,
+    c.ipv4,
+    "concat_ws('.', 10, (o_orderkey div 65536) % 256, (o_orderkey div 256) % 256, o_orderkey % 256)",
+    "'000A' || " + " || ".join(sql.be(o, 1) for o in octets),
+)
 v6 = "concat('2001:db8::', lower(hex(o_orderkey % 65536)))"
-add("encode_ipv6", "orders", lambda df: df.select("o_orderkey", F.hex(fallback.ip(F.expr(v6))).alias("bytes")), f"SELECT o_orderkey, '0120010DB8' || repeat('0', 20) || {sql.be('o_orderkey % 65536', 2)} AS bytes FROM orders")
-add("decode_ip", "orders", lambda df: df.select("o_orderkey", fallback.ip_of(fallback.ip(F.expr(f"if(o_orderkey % 2 = 0, '10.1.2.3', {v6})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '10.1.2.3' ELSE '2001:db8::' || lower(hex(o_orderkey % 65536)) END AS value FROM orders")
+add(
+    "encode_ipv6", "orders",
+    lambda df: df.select("o_orderkey", F.hex(fallback.ip(F.expr(v6))).alias("bytes")),
+    f"SELECT o_orderkey, '0120010DB8' || repeat('0', 20) || {sql.be('o_orderkey % 65536', 2)} AS bytes FROM orders",
+)
+add(
+    "decode_ip", "orders",
+    lambda df: df.select("o_orderkey", fallback.ip_of(fallback.ip(F.expr(f"if(o_orderkey % 2 = 0, '10.1.2.3', {v6})"))).alias("value")),
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '10.1.2.3' ELSE '2001:db8::' || lower(hex(o_orderkey % 65536)) END AS value FROM orders",
+)
 bits = [f"(p_partkey >> {k}) & 1" for k in range(8)]
-encoded("encode_bitvec", "part", PART, c.bit_array, "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)", "'01' || " + sql.be(" + ".join(f"(({b}) << {7 - k})" for k, b in enumerate(bits)), 1))
+encoded(
+    "encode_bitvec", "part", PART,
+    c.bit_array,
+    "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)",
+    "'01' || " + sql.be(" + ".join(f"(({b}) << {7 - k})" for k, b in enumerate(bits)), 1),
+)
 
 # options, results, bounds, ranges
 clicked = "nullif(event_type, 'click')"
@@ -104,23 +151,72 @@ decoded("decode_option", "events", EVENT, c.option(c.string), clicked, clicked)
 money = "cast(s_acctbal * 100 as bigint)"
 result = c.result_of(c.i64, c.string)
 value = f"if(s_acctbal >= 0, named_struct('ok', {money}, 'err', cast(null as string)), named_struct('ok', cast(null as bigint), 'err', s_name))"
-encoded("encode_result", "supplier", ["s_suppkey"], result, value, f"CASE WHEN s_acctbal >= 0 THEN '01' || {sql.be('trunc(s_acctbal * 100)', 8)} ELSE '00' || {sql.string('s_name')} END")
-decoded("decode_result", "supplier", ["s_suppkey"], result, value, "coalesce(CASE WHEN s_acctbal >= 0 THEN trunc(s_acctbal * 100)::BIGINT::VARCHAR END, s_name)", shown=lambda v: F.coalesce(v["ok"].cast("string"), v["err"]))
-encoded("encode_bound", "orders", ORDER, c.bound(c.i64), "named_struct('kind', cast(o_orderkey % 3 as tinyint), 'value', o_custkey)", f"CASE o_orderkey % 3 WHEN 0 THEN '00' WHEN 1 THEN '01' || {sql.be('o_custkey', 8)} ELSE '02' || {sql.be('o_custkey', 8)} END")
-encoded("encode_range", "orders", ORDER, c.range_of(c.i64), "named_struct('start', o_custkey, 'end', o_custkey + o_orderkey)", f"{sql.be('o_custkey', 8)} || {sql.be('o_custkey + o_orderkey', 8)}")
+encoded(
+    "encode_result", "supplier", ["s_suppkey"],
+    result,
+    value,
+    f"CASE WHEN s_acctbal >= 0 THEN '01' || {sql.be('trunc(s_acctbal * 100)', 8)} ELSE '00' || {sql.string('s_name')} END",
+)
+decoded(
+    "decode_result", "supplier", ["s_suppkey"],
+    result,
+    value,
+    "coalesce(CASE WHEN s_acctbal >= 0 THEN trunc(s_acctbal * 100)::BIGINT::VARCHAR END, s_name)",
+    shown=lambda v: F.coalesce(v["ok"].cast("string"), v["err"]),
+)
+encoded(
+    "encode_bound", "orders", ORDER,
+    c.bound(c.i64),
+    "named_struct('kind', cast(o_orderkey % 3 as tinyint), 'value', o_custkey)",
+    f"CASE o_orderkey % 3 WHEN 0 THEN '00' WHEN 1 THEN '01' || {sql.be('o_custkey', 8)} ELSE '02' || {sql.be('o_custkey', 8)} END",
+)
+encoded(
+    "encode_range", "orders", ORDER,
+    c.range_of(c.i64),
+    "named_struct('start', o_custkey, 'end', o_custkey + o_orderkey)",
+    f"{sql.be('o_custkey', 8)} || {sql.be('o_custkey + o_orderkey', 8)}",
+)
 
 # time
-encoded("encode_duration", "events", EVENT, c.duration, "named_struct('secs', cast(event_id as decimal(20,0)), 'nanos', event_id % 1000)", f"{sql.be('event_id', 8)} || {sql.be('event_id % 1000', 4)}")
-encoded("encode_timestamp", "events", EVENT, c.timestamp, "ts", f"{sql.be('epoch_us(ts) // 1000000', 8)} || {sql.be('(epoch_us(ts) % 1000000) * 1000', 4)}")
+encoded(
+    "encode_duration", "events", EVENT,
+    c.duration,
+    "named_struct('secs', cast(event_id as decimal(20,0)), 'nanos', event_id % 1000)",
+    f"{sql.be('event_id', 8)} || {sql.be('event_id % 1000', 4)}",
+)
+encoded(
+    "encode_timestamp", "events", EVENT,
+    c.timestamp,
+    "ts",
+    f"{sql.be('epoch_us(ts) // 1000000', 8)} || {sql.be('(epoch_us(ts) % 1000000) * 1000', 4)}",
+)
 decoded("decode_timestamp", "events", EVENT, c.timestamp, "ts", "epoch_us(ts)", shown=F.unix_micros)
 encoded("encode_date", "orders", ORDER, c.date, "to_date(o_orderdate)", sql.date("o_orderdate"))
 decoded("decode_date", "orders", ORDER, c.date, "to_date(o_orderdate)", "o_orderdate::DATE::VARCHAR", shown=lambda v: v.cast("string"))
 encoded("encode_time", "events", EVENT, c.time_of_day, lambda: c.day_nanos(F.col("ts")), sql.time("ts"))
 encoded("encode_datetime_naive", "events", EVENT, c.datetime_naive, "ts", f"{sql.date('ts')} || {sql.time('ts')}")
-encoded("encode_datetime_offset", "events", EVENT, c.datetime_offset, "named_struct('local', ts + interval 2 hours, 'offset', 7200)", f"{sql.date('(ts + INTERVAL 2 HOUR)')} || {sql.time('(ts + INTERVAL 2 HOUR)')} || '00' || {sql.var_i32('7200')}")
-encoded("encode_datetime_zone", "events", EVENT, c.datetime_zone, "named_struct('utc', ts, 'tz', 'Europe/Paris')", f"{sql.date('ts')} || {sql.time('ts')} || '01' || {sql.string(chr(39) + 'Europe/Paris' + chr(39))}")
-add("encode_weekday_month", "orders", lambda df: df.select("o_orderkey", F.hex(F.concat(c.weekday.enc(F.weekday("o_orderdate") + 1), c.month.enc(F.month("o_orderdate")))).alias("bytes")), f"SELECT o_orderkey, {sql.be('isodow(o_orderdate)', 1)} || {sql.be('month(o_orderdate)', 1)} AS bytes FROM orders")
-add("encode_offset_tz", "nation", lambda df: df.select("n_nationkey", F.hex(F.concat(c.offset.enc((F.col("n_nationkey") - 12) * 3600), c.zone.enc(F.col("n_name")))).alias("bytes")), f"SELECT n_nationkey, '00' || {sql.var_i32('(n_nationkey - 12) * 3600')} || '01' || {sql.string('n_name')} AS bytes FROM nation")
+encoded(
+    "encode_datetime_offset", "events", EVENT,
+    c.datetime_offset,
+    "named_struct('local', ts + interval 2 hours, 'offset', 7200)",
+    f"{sql.date('(ts + INTERVAL 2 HOUR)')} || {sql.time('(ts + INTERVAL 2 HOUR)')} || '00' || {sql.var_i32('7200')}",
+)
+encoded(
+    "encode_datetime_zone", "events", EVENT,
+    c.datetime_zone,
+    "named_struct('utc', ts, 'tz', 'Europe/Paris')",
+    f"{sql.date('ts')} || {sql.time('ts')} || '01' || {sql.string(chr(39) + 'Europe/Paris' + chr(39))}",
+)
+add(
+    "encode_weekday_month", "orders",
+    lambda df: df.select("o_orderkey", F.hex(F.concat(c.weekday.enc(F.weekday("o_orderdate") + 1), c.month.enc(F.month("o_orderdate")))).alias("bytes")),
+    f"SELECT o_orderkey, {sql.be('isodow(o_orderdate)', 1)} || {sql.be('month(o_orderdate)', 1)} AS bytes FROM orders",
+)
+add(
+    "encode_offset_tz", "nation",
+    lambda df: df.select("n_nationkey", F.hex(F.concat(c.offset.enc((F.col("n_nationkey") - 12) * 3600), c.zone.enc(F.col("n_name")))).alias("bytes")),
+    f"SELECT n_nationkey, '00' || {sql.var_i32('(n_nationkey - 12) * 3600')} || '01' || {sql.string('n_name')} AS bytes FROM nation",
+)
 
 # decimals and JSON
 price = "cast(o_totalprice as decimal(12,2))"
@@ -128,11 +224,20 @@ encoded("encode_decimal_text", "orders", ORDER, c.decimal(12, 2), price, sql.str
 decoded("decode_decimal_text", "orders", ORDER, c.decimal(12, 2), price, f"{price}::VARCHAR", shown=lambda v: v.cast("string"))
 cents = "((cast(o_totalprice as decimal(12,2)) * 100)::BIGINT)"
 minimal = f"(CASE WHEN {cents} BETWEEN -128 AND 127 THEN '01' || {sql.be(cents, 1)} WHEN {cents} BETWEEN -32768 AND 32767 THEN '02' || {sql.be(cents, 2)} WHEN {cents} BETWEEN -8388608 AND 8388607 THEN '03' || {sql.be(cents, 3)} WHEN {cents} BETWEEN -2147483648 AND 2147483647 THEN '04' || {sql.be(cents, 4)} ELSE '05' || {sql.be(cents, 5)} END)"
-encoded("encode_decimal_binary", "orders", ORDER, c.decimal(12, 2, c.Options(binary_decimals=True)), price, f"'0000000000000002' || {minimal}")
+encoded(
+    "encode_decimal_binary", "orders", ORDER,
+    c.decimal(12, 2, c.Options(binary_decimals=True)),
+    price,
+    f"'0000000000000002' || {minimal}",
+)
 encoded("encode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bigint)", minimal)
 decoded("decode_bigint", "orders", ORDER, c.bigint64, f"cast({price} * 100 as bigint)", cents)
 ten = "concat(o_orderkey, repeat('0', 40))"
-add("bigint_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.bigint_of(fallback.bigint(F.expr(f"concat('-', {ten})"))).alias("value")), "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey || repeat('0', 40) END AS value FROM orders")
+add(
+    "bigint_wide_roundtrip", "orders",
+    lambda df: df.select("o_orderkey", fallback.bigint_of(fallback.bigint(F.expr(f"concat('-', {ten})"))).alias("value")),
+    "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey || repeat('0', 40) END AS value FROM orders",
+)
 two = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0))"
 # of a key: its width as two's complement, and its bytes
 WIDTHS = [(n, 1 << (8 * n - 1)) for n in range(1, 8)]
@@ -147,12 +252,32 @@ add(
     lambda df: df.select("o_orderkey", F.hex(fallback.big_decimal(F.expr(f"concat(cast({two} as string), 'E-50')"))).alias("bytes")),
     f"SELECT o_orderkey, '0000000000000032' || {least_key} AS bytes FROM orders",
 )
-add("decimal_wide_roundtrip", "orders", lambda df: df.select("o_orderkey", fallback.big_decimal_of(fallback.big_decimal(F.expr("concat('0.', repeat('7', 60), o_orderkey)"))).alias("value")), "SELECT o_orderkey, '0.' || repeat('7', 60) || o_orderkey AS value FROM orders")
+add(
+    "decimal_wide_roundtrip", "orders",
+    lambda df: df.select("o_orderkey", fallback.big_decimal_of(fallback.big_decimal(F.expr("concat('0.', repeat('7', 60), o_orderkey)"))).alias("value")),
+    "SELECT o_orderkey, '0.' || repeat('7', 60) || o_orderkey AS value FROM orders",
+)
 json_rows = lambda df: df.select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("j"))
-add("encode_json_text", "events", lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")), """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events")
-add("encode_json_binary", "events", lambda df: json_rows(df).select("event_id", F.hex(fallback.json_binary(F.col("j"))).alias("bytes")), f"SELECT event_id, '0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')} AS bytes FROM events")
-add("encode_json_by_option", "events", lambda df: json_rows(df).select("event_id", *[F.md5(F.hex(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)))).alias(name) for x, name in ((False, "text"), (True, "tree"))], *[(fallback.json_decoded(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)), c.Options(binary_json=x)) == F.col("j")).alias(f"same_{name}") for x, name in ((False, "text"), (True, "tree"))]), "SELECT event_id, md5(" + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + f") AS text, md5('0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')}) AS tree, true AS same_text, true AS same_tree FROM events")
-add("json_binary_roundtrip", "events", lambda df: df.select("event_id", (fallback.json_of_binary(fallback.json_binary(F.col("props"))) == F.to_json(F.parse_json("props"))).alias("same")), "SELECT event_id, true AS same FROM events")
+add(
+    "encode_json_text", "events",
+    lambda df: json_rows(df).select("event_id", F.hex(c.json_text.enc(F.col("j"))).alias("bytes")),
+    """SELECT event_id, """ + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + " AS bytes FROM events",
+)
+add(
+    "encode_json_binary", "events",
+    lambda df: json_rows(df).select("event_id", F.hex(fallback.json_binary(F.col("j"))).alias("bytes")),
+    f"SELECT event_id, '0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')} AS bytes FROM events",
+)
+add(
+    "encode_json_by_option", "events",
+    lambda df: json_rows(df).select("event_id", *[F.md5(F.hex(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)))).alias(name) for x, name in ((False, "text"), (True, "tree"))], *[(fallback.json_decoded(fallback.json_encoded(F.col("j"), c.Options(binary_json=x)), c.Options(binary_json=x)) == F.col("j")).alias(f"same_{name}") for x, name in ((False, "text"), (True, "tree"))]),
+    "SELECT event_id, md5(" + sql.block("encode('{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}')") + f") AS text, md5('0904' || {sql.string(chr(39) + 'a' + chr(39))} || '03' || {sql.be('event_id', 8)} || {sql.string(chr(39) + 'b' + chr(39))} || '07' || {sql.string('event_type')}) AS tree, true AS same_text, true AS same_tree FROM events",
+)
+add(
+    "json_binary_roundtrip", "events",
+    lambda df: df.select("event_id", (fallback.json_of_binary(fallback.json_binary(F.col("props"))) == F.to_json(F.parse_json("props"))).alias("same")),
+    "SELECT event_id, true AS same FROM events",
+)
 
 # nested
 words = "split(p_name, ' ')"
@@ -161,27 +286,77 @@ count = f"{sql.var_u32(f'2*len({items})')}"
 of_x = sql.string("x")
 encoded("encode_array_string", "part", PART, c.sequence(c.string), words, f"{count} || {sql.joined(items, of_x)}")
 decoded("decode_array_string", "part", PART, c.sequence(c.string), words, "p_name", shown=lambda v: F.array_join(v, " "))
-encoded("encode_array_f32", "embeddings", ["vec_id"], c.sequence(c.f32), "embedding", f"{sql.var_u32('2*len(embedding)')} || {sql.joined('embedding', sql.f32('x'))}")
-decoded("decode_array_i64", "orders", ORDER, c.sequence(c.i64), "array(o_orderkey, o_custkey)", "o_orderkey || ',' || o_custkey", shown=lambda v: F.array_join(v.cast("array<string>"), ","))
-encoded("encode_iter_unknown", "part", PART, c.sequence(c.string, False), words, "'01' || " + sql.joined(items, f"'01' || {of_x}") + " || '00'")
-decoded("decode_iter_unknown", "nation", NATION, c.sequence(c.string, False), "split(n_name, '')", "n_name", shown=lambda v: F.array_join(v, ""))
+encoded(
+    "encode_array_f32", "embeddings", ["vec_id"],
+    c.sequence(c.f32),
+    "embedding",
+    f"{sql.var_u32('2*len(embedding)')} || {sql.joined('embedding', sql.f32('x'))}",
+)
+decoded(
+    "decode_array_i64", "orders", ORDER,
+    c.sequence(c.i64),
+    "array(o_orderkey, o_custkey)",
+    "o_orderkey || ',' || o_custkey",
+    shown=lambda v: F.array_join(v.cast("array<string>"), ","),
+)
+encoded(
+    "encode_iter_unknown", "part", PART,
+    c.sequence(c.string, False),
+    words,
+    "'01' || " + sql.joined(items, f"'01' || {of_x}") + " || '00'",
+)
+decoded(
+    "decode_iter_unknown", "nation", NATION,
+    c.sequence(c.string, False),
+    "split(n_name, '')",
+    "n_name",
+    shown=lambda v: F.array_join(v, ""),
+)
 distinct = f"list_sort(list_distinct({items}))"
 encoded("encode_set", "part", PART, c.set_of(c.string), words, f"{sql.var_u32(f'2*len({distinct})')} || {sql.joined(distinct, of_x)}")
-decoded("list_to_set", "part", PART, c.sequence(c.string), f"concat({words}, {words})", f"array_to_string({distinct}, ' ')", read=c.set_of(c.string), shown=lambda v: F.array_join(F.array_sort(v), " "))
+decoded(
+    "list_to_set", "part", PART,
+    c.sequence(c.string),
+    f"concat({words}, {words})",
+    f"array_to_string({distinct}, ' ')",
+    read=c.set_of(c.string),
+    shown=lambda v: F.array_join(F.array_sort(v), " "),
+)
 encoded("encode_nonempty", "part", PART, c.nonempty(c.string), words, f"{count} || {sql.joined(items, of_x)}")
 add(
     "encode_map", "lineitem",
     lambda df: df.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")).groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int"))))).alias("m")).select("l_orderkey", F.hex(c.map_of(c.i32, c.i32).enc(F.col("m"))).alias("bytes")),
     f"SELECT l_orderkey, {sql.var_u32('2*count(*)')} || string_agg('00' || {sql.be('l_linenumber', 4)} || {sql.be('l_quantity', 4)}, '' ORDER BY l_linenumber) AS bytes FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY l_orderkey",
 )
-add("decode_map", "orders", lambda df: df.select("o_orderkey", c.map_of(c.string, c.i64).enc(F.create_map(F.lit("b"), F.col("o_custkey"), F.lit("a"), F.col("o_orderkey"))).alias("b")).select("o_orderkey", c.map_of(c.string, c.i64).decode(F.col("b"))["b"].alias("value")), "SELECT o_orderkey, o_custkey AS value FROM orders")
+add(
+    "decode_map", "orders",
+    lambda df: df.select("o_orderkey", c.map_of(c.string, c.i64).enc(F.create_map(F.lit("b"), F.col("o_custkey"), F.lit("a"), F.col("o_orderkey"))).alias("b")).select("o_orderkey", c.map_of(c.string, c.i64).decode(F.col("b"))["b"].alias("value")),
+    "SELECT o_orderkey, o_custkey AS value FROM orders",
+)
 pair = c.tuple_of(c.i64, c.string)
-encoded("encode_tuple2", "lineitem", LINE, pair, "named_struct('_0', l_orderkey, '_1', l_returnflag)", f"'00' || {sql.be('l_orderkey', 8)} || {sql.string('l_returnflag')}")
+encoded(
+    "encode_tuple2", "lineitem", LINE,
+    pair,
+    "named_struct('_0', l_orderkey, '_1', l_returnflag)",
+    f"'00' || {sql.be('l_orderkey', 8)} || {sql.string('l_returnflag')}",
+)
 eight = c.tuple_of(c.i64, c.i64, c.i64, c.i32, c.f64, c.f64, c.string, c.string)
-encoded("encode_tuple8", "lineitem", LINE, eight, "named_struct('_0', l_orderkey, '_1', l_partkey, '_2', l_suppkey, '_3', l_linenumber, '_4', l_quantity, '_5', l_extendedprice, '_6', l_returnflag, '_7', l_linestatus)", f"'00' || {sql.be('l_orderkey', 8)} || {sql.be('l_partkey', 8)} || {sql.be('l_suppkey', 8)} || {sql.be('l_linenumber', 4)} || {sql.f64('l_quantity')} || {sql.f64('l_extendedprice')} || {sql.string('l_returnflag')} || {sql.string('l_linestatus')}")
+encoded(
+    "encode_tuple8", "lineitem", LINE,
+    eight,
+    "named_struct('_0', l_orderkey, '_1', l_partkey, '_2', l_suppkey, '_3', l_linenumber, '_4', l_quantity, '_5', l_extendedprice, '_6', l_returnflag, '_7', l_linestatus)",
+    f"'00' || {sql.be('l_orderkey', 8)} || {sql.be('l_partkey', 8)} || {sql.be('l_suppkey', 8)} || {sql.be('l_linenumber', 4)} || {sql.f64('l_quantity')} || {sql.f64('l_extendedprice')} || {sql.string('l_returnflag')} || {sql.string('l_linestatus')}",
+)
 encoded("encode_tuple1", "orders", ORDER, c.tuple_of(c.i64), "named_struct('_0', o_custkey)", f"'00' || {sql.be('o_custkey', 8)}")
 as_record = Record((Field("key", c.i64), Field("flag", c.string)))
-decoded("tuple_to_record", "lineitem", LINE, pair, "named_struct('_0', l_orderkey, '_1', l_returnflag)", "l_orderkey || l_returnflag", read=as_record.codec(), shown=lambda v: F.concat(v["key"].cast("string"), v["flag"]))
+decoded(
+    "tuple_to_record", "lineitem", LINE,
+    pair,
+    "named_struct('_0', l_orderkey, '_1', l_returnflag)",
+    "l_orderkey || l_returnflag",
+    read=as_record.codec(),
+    shown=lambda v: F.concat(v["key"].cast("string"), v["flag"]),
+)
 encoded("encode_transparent", "orders", ORDER, c.i64, "o_custkey", sql.be("o_custkey", 8))
 encoded("encode_unit", "orders", ORDER, c.unit, "o_custkey", "''")
 
@@ -200,9 +375,21 @@ def roundtrip_by_segment(df: DataFrame) -> DataFrame:
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("b")).alias("bytes"), F.sum(wrong.cast("int")).alias("mismatches"))
 
 
-add("encode_record_v0", "customer", roundtrip_by_segment, f"SELECT c_mktsegment, count(*) AS n_rows, sum(13 + {sql.size_of_string('c_name')})::BIGINT AS bytes, 0::BIGINT AS mismatches FROM customer GROUP BY c_mktsegment")
-add("encode_record_bytes", "customer", lambda df: customer_bytes(df).select("c_custkey", F.hex("b").alias("bytes")), f"SELECT c_custkey, {record_hex} AS bytes FROM customer")
-add("decode_record_v0", "customer", lambda df: decode_record(customer_bytes(df).select("c_custkey", "b"), "b", CUSTOMERS, 0).select("c_custkey", "decoded.c_name", "decoded.c_nationkey"), "SELECT c_custkey, c_name, c_nationkey FROM customer")
+add(
+    "encode_record_v0", "customer",
+    roundtrip_by_segment,
+    f"SELECT c_mktsegment, count(*) AS n_rows, sum(13 + {sql.size_of_string('c_name')})::BIGINT AS bytes, 0::BIGINT AS mismatches FROM customer GROUP BY c_mktsegment",
+)
+add(
+    "encode_record_bytes", "customer",
+    lambda df: customer_bytes(df).select("c_custkey", F.hex("b").alias("bytes")),
+    f"SELECT c_custkey, {record_hex} AS bytes FROM customer",
+)
+add(
+    "decode_record_v0", "customer",
+    lambda df: decode_record(customer_bytes(df).select("c_custkey", "b"), "b", CUSTOMERS, 0).select("c_custkey", "decoded.c_name", "decoded.c_nationkey"),
+    "SELECT c_custkey, c_name, c_nationkey FROM customer",
+)
 
 PRODUCT = Record(
     (Field("field_a", c.string), Field("new_field_1", c.boolean), Field("field_b", c.i32)),
@@ -234,7 +421,11 @@ for version, name in enumerate(("encode_product_v0", "encode_record_v1_added", "
     add(name, "customer", lambda df, v=version: products(df, v).select("c_custkey", F.hex("b").alias("bytes")), f"SELECT c_custkey, {PRODUCT_HEX[version]} AS bytes FROM customer")
 
 header_of = lambda df: products(df, 3).select("c_custkey", read_header(F.col("b"), F.lit(1)).alias("h"))
-add("decode_header", "customer", lambda df: header_of(df).select("c_custkey", F.col("h.version").alias("version"), F.get("h.sizes", F.lit(0)).alias("first_chunk"), F.array_join("h.removed", ",").alias("removed")), f"SELECT c_custkey, 3 AS version, {sql.size_of_string('c_name')}::INTEGER AS first_chunk, 'field_b,field_b' AS removed FROM customer")
+add(
+    "decode_header", "customer",
+    lambda df: header_of(df).select("c_custkey", F.col("h.version").alias("version"), F.get("h.sizes", F.lit(0)).alias("first_chunk"), F.array_join("h.removed", ",").alias("removed")),
+    f"SELECT c_custkey, 3 AS version, {sql.size_of_string('c_name')}::INTEGER AS first_chunk, 'field_b,field_b' AS removed FROM customer",
+)
 
 
 def evolve(name: str, writer: int, reader: int) -> None:
@@ -292,12 +483,28 @@ def read_events(df: DataFrame, union: Union) -> DataFrame:
     return df.select("event_id", EVENTS.enc(event_value()).alias("b")).select("event_id", union.codec().try_decode(F.col("b")).alias("d"))
 
 
-add("decode_union", "events", lambda df: read_events(df, EVENTS).select("event_id", "d.value.case", F.col("d.value.purchase.value").alias("value"), F.col("d.value.signup").alias("user_id")), "SELECT event_id, event_type AS \"case\", CASE WHEN event_type = 'purchase' THEN value END AS value, CASE WHEN event_type = 'signup' THEN user_id END AS user_id FROM events")
-add("union_case_counts", "events", lambda df: df.select(EVENTS.enc(event_value()).alias("b")).groupBy(w.read_var_u32(F.col("b"), F.lit(2))["v"].alias("id")).agg(F.count("*").alias("n"), F.sum(F.octet_length("b")).alias("bytes")), "SELECT id, count(*) AS n, sum(length(h) // 2)::BIGINT AS bytes FROM (SELECT (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)::BIGINT AS id, " + union_hex(EVENTS.ids()) + " AS h FROM events) GROUP BY id")
+add(
+    "decode_union", "events",
+    lambda df: read_events(df, EVENTS).select("event_id", "d.value.case", F.col("d.value.purchase.value").alias("value"), F.col("d.value.signup").alias("user_id")),
+    "SELECT event_id, event_type AS \"case\", CASE WHEN event_type = 'purchase' THEN value END AS value, CASE WHEN event_type = 'signup' THEN user_id END AS user_id FROM events",
+)
+add(
+    "union_case_counts", "events",
+    lambda df: df.select(EVENTS.enc(event_value()).alias("b")).groupBy(w.read_var_u32(F.col("b"), F.lit(2))["v"].alias("id")).agg(F.count("*").alias("n"), F.sum(F.octet_length("b")).alias("bytes")),
+    "SELECT id, count(*) AS n, sum(length(h) // 2)::BIGINT AS bytes FROM (SELECT (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)::BIGINT AS id, " + union_hex(EVENTS.ids()) + " AS h FROM events) GROUP BY id",
+)
 OLDER = Union(EVENTS.cases[:4])
-add("evolve_union_added_case", "events", lambda df: read_events(df, OLDER).select("event_id", "d.value.case", F.col("d._error").alias("error")), f"SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS \"case\", CASE WHEN event_type = 'error' THEN '{w.BAD_CONSTRUCTOR}' END AS error FROM events")
+add(
+    "evolve_union_added_case", "events",
+    lambda df: read_events(df, OLDER).select("event_id", "d.value.case", F.col("d._error").alias("error")),
+    f"SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS \"case\", CASE WHEN event_type = 'error' THEN '{w.BAD_CONSTRUCTOR}' END AS error FROM events",
+)
 HIDDEN = Union((Case("view"), Case("draft", c.string, transient=True), Case("click"), *EVENTS.cases[2:]))
-add("union_transient_guard", "events", lambda df: read_events(df, HIDDEN).select("event_id", "d.value.case"), "SELECT event_id, event_type AS \"case\" FROM events")
+add(
+    "union_transient_guard", "events",
+    lambda df: read_events(df, HIDDEN).select("event_id", "d.value.case"),
+    "SELECT event_id, event_type AS \"case\" FROM events",
+)
 PAID = Record((Field("value", c.f64), Field("currency", c.string)), (Added("currency", "EUR"),))
 PAID_EVENTS = Union((*EVENTS.cases[:2], Case("purchase", PAID), *EVENTS.cases[3:]))
 UNPAID_EVENTS = Union((*EVENTS.cases[:2], Case("purchase", PAID.at(0)), *EVENTS.cases[3:]))
@@ -310,7 +517,11 @@ def paid_events(df: DataFrame, newer: Column) -> DataFrame:
     return df.select("event_id", both.alias("b")).select("event_id", PAID_EVENTS.codec().try_decode(F.col("b")).alias("d"))
 
 
-add("evolve_union_case", "events", lambda df: paid_events(df, F.lit(False)).where("d.value.case = 'purchase'").select("event_id", "d.value.purchase.value", "d.value.purchase.currency"), "SELECT event_id, value, 'EUR' AS currency FROM events WHERE event_type = 'purchase'")
+add(
+    "evolve_union_case", "events",
+    lambda df: paid_events(df, F.lit(False)).where("d.value.case = 'purchase'").select("event_id", "d.value.purchase.value", "d.value.purchase.currency"),
+    "SELECT event_id, value, 'EUR' AS currency FROM events WHERE event_type = 'purchase'",
+)
 add(
     "evolve_union_case_all", "events",
     lambda df: paid_events(df, F.col("event_id") % 2 == 1).select("event_id", "d.value.case", "d.value.purchase.value", "d.value.purchase.currency", F.col("d.value.signup").alias("user_id"), F.col("d.value.error").alias("props"), F.col("d._error").alias("error")),
@@ -319,8 +530,16 @@ add(
 
 # sizes
 total = f"13 + {sql.size_of_string('c_name')}"
-add("serialized_size_row", "customer", lambda df: df.select("c_custkey", CUSTOMERS.codec().size(F.struct("c_custkey", "c_name", "c_nationkey")).cast("bigint").alias("size")), f"SELECT c_custkey, ({total})::BIGINT AS size FROM customer")
-add("serialized_size_by_group", "documents", lambda df: df.groupBy("lang").agg(F.sum(c.string.size(F.col("text")).cast("bigint")).alias("bytes"), F.count("*").alias("n")), f"SELECT lang, sum({sql.size_of_string('text')})::BIGINT AS bytes, count(*) AS n FROM documents GROUP BY lang")
+add(
+    "serialized_size_row", "customer",
+    lambda df: df.select("c_custkey", CUSTOMERS.codec().size(F.struct("c_custkey", "c_name", "c_nationkey")).cast("bigint").alias("size")),
+    f"SELECT c_custkey, ({total})::BIGINT AS size FROM customer",
+)
+add(
+    "serialized_size_by_group", "documents",
+    lambda df: df.groupBy("lang").agg(F.sum(c.string.size(F.col("text")).cast("bigint")).alias("bytes"), F.count("*").alias("n")),
+    f"SELECT lang, sum({sql.size_of_string('text')})::BIGINT AS bytes, count(*) AS n FROM documents GROUP BY lang",
+)
 add(
     "format_size_comparison", "customer",
     lambda df: df.select(F.octet_length(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey"))).alias("json"), CUSTOMERS.codec().size(F.struct("c_custkey", "c_name", "c_nationkey")).alias("codec"), F.octet_length(F.concat_ws(",", "c_custkey", "c_name", "c_nationkey")).alias("csv")).agg(*[F.sum(x).alias(x) for x in ("json", "codec", "csv")]),
@@ -330,16 +549,40 @@ add(
 # state over ordered rows
 ids = "WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS is_new FROM events), g AS (SELECT *, sum(is_new::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM f), h AS (SELECT *, (first(n) OVER (PARTITION BY user_id, event_type ORDER BY event_id))::BIGINT AS string_id FROM g) "
 word = f"CASE WHEN is_new THEN {sql.string('event_type')} ELSE {sql.var_i32('-string_id')} END"
-add("dedup_ids", "events", lambda df: streams.dedup_ids(df, "user_id", "event_id", "event_type").select("event_id", "string_id", "is_new"), ids + "SELECT event_id, string_id, is_new FROM h")
-add("dedup_encode", "events", lambda df: streams.dedup_encode(df, "user_id", "event_id", "event_type").select("event_id", F.hex("bytes").alias("bytes")), ids + f"SELECT event_id, {word} AS bytes FROM h")
-add("dedup_decode", "events", lambda df: streams.dedup_decode(streams.dedup_encode(df, "user_id", "event_id", "event_type").select("user_id", "event_id", "bytes"), "user_id", "event_id", "bytes").select("event_id", "text"), "SELECT event_id, event_type AS text FROM events")
-add("dedup_savings", "events", lambda df: streams.dedup_encode(df, "user_id", "event_id", "event_type").groupBy("event_type").agg(F.sum(F.octet_length("bytes")).alias("deduplicated"), F.sum(c.string.size(F.col("event_type"))).alias("plain")), ids + f"SELECT event_type, sum(length({word}) // 2)::BIGINT AS deduplicated, sum({sql.size_of_string('event_type')})::BIGINT AS plain FROM h GROUP BY event_type")
-add("ref_backrefs", "conversations", lambda df: streams.back_references(df, "conv_id", "turn", F.col("role")).select("conv_id", "turn", "ref"), "WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS fresh FROM conversations), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) SELECT conv_id, turn, CASE WHEN fresh THEN 0 ELSE first(n) OVER (PARTITION BY conv_id, role ORDER BY turn) END::BIGINT AS ref FROM g")
+add(
+    "dedup_ids", "events",
+    lambda df: streams.dedup_ids(df, "user_id", "event_id", "event_type").select("event_id", "string_id", "is_new"),
+    ids + "SELECT event_id, string_id, is_new FROM h",
+)
+add(
+    "dedup_encode", "events",
+    lambda df: streams.dedup_encode(df, "user_id", "event_id", "event_type").select("event_id", F.hex("bytes").alias("bytes")),
+    ids + f"SELECT event_id, {word} AS bytes FROM h",
+)
+add(
+    "dedup_decode", "events",
+    lambda df: streams.dedup_decode(streams.dedup_encode(df, "user_id", "event_id", "event_type").select("user_id", "event_id", "bytes"), "user_id", "event_id", "bytes").select("event_id", "text"),
+    "SELECT event_id, event_type AS text FROM events",
+)
+add(
+    "dedup_savings", "events",
+    lambda df: streams.dedup_encode(df, "user_id", "event_id", "event_type").groupBy("event_type").agg(F.sum(F.octet_length("bytes")).alias("deduplicated"), F.sum(c.string.size(F.col("event_type"))).alias("plain")),
+    ids + f"SELECT event_type, sum(length({word}) // 2)::BIGINT AS deduplicated, sum({sql.size_of_string('event_type')})::BIGINT AS plain FROM h GROUP BY event_type",
+)
+add(
+    "ref_backrefs", "conversations",
+    lambda df: streams.back_references(df, "conv_id", "turn", F.col("role")).select("conv_id", "turn", "ref"),
+    "WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS fresh FROM conversations), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) SELECT conv_id, turn, CASE WHEN fresh THEN 0 ELSE first(n) OVER (PARTITION BY conv_id, role ORDER BY turn) END::BIGINT AS ref FROM g",
+)
 
 # layout and envelopes
 PARTS = lambda: CUSTOMERS.parts(F.struct("c_custkey", "c_name", "c_nationkey"))
 named = f"size_of AS (SELECT c_custkey, {sql.size_of_string('c_name')} AS s FROM customer)"
-add("layout_segments", "customer", lambda df: layout.segments(df, "c_custkey", PARTS()), f"WITH {named} SELECT c_custkey, pos, label, start::BIGINT AS start, len::BIGINT AS len FROM (SELECT c_custkey, 0 AS pos, 'version' AS label, 0 AS start, 1 AS len FROM size_of UNION ALL SELECT c_custkey, 1, 'c_custkey', 1, 8 FROM size_of UNION ALL SELECT c_custkey, 2, 'c_name', 9, s FROM size_of UNION ALL SELECT c_custkey, 3, 'c_nationkey', 9 + s, 4 FROM size_of)")
+add(
+    "layout_segments", "customer",
+    lambda df: layout.segments(df, "c_custkey", PARTS()),
+    f"WITH {named} SELECT c_custkey, pos, label, start::BIGINT AS start, len::BIGINT AS len FROM (SELECT c_custkey, 0 AS pos, 'version' AS label, 0 AS start, 1 AS len FROM size_of UNION ALL SELECT c_custkey, 1, 'c_custkey', 1, 8 FROM size_of UNION ALL SELECT c_custkey, 2, 'c_name', 9, s FROM size_of UNION ALL SELECT c_custkey, 3, 'c_nationkey', 9 + s, 4 FROM size_of)",
+)
 add(
     "layout_coverage", "customer",
     lambda df: layout.coverage(df, "c_custkey", PARTS(), CUSTOMERS.enc(F.struct("c_custkey", "c_name", "c_nationkey"))),
@@ -354,9 +597,21 @@ add(
     UNION ALL SELECT c_custkey, (k + 1)::INTEGER, (9 + 16 * k)::BIGINT, (CASE WHEN is_last AND n < 8 THEN n + 4 ELSE n END)::BIGINT, CASE WHEN is_last AND n < 8 THEN 'c_name,c_nationkey' ELSE 'c_name' END FROM name_rows
     UNION ALL SELECT c_custkey, (k + 2)::INTEGER, (9 + s)::BIGINT, 4::BIGINT, 'c_nationkey' FROM name_rows WHERE is_last AND n >= 8""",
 )
-add("hex_dump", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.hex_dump(F.col("b")).alias("dump")), "SELECT c_custkey, rtrim(regexp_replace(regexp_replace(lower(" + record_hex + "), '(..)', '\\1 ', 'g'), '((?:.. ){15}..) ', E'\\\\1\\n', 'g'), E' \\n') AS dump FROM customer")
-add("envelope_roundtrip", "customer", lambda df: customer_bytes(df).select("c_custkey", layout.envelope(F.col("b")).alias("e")).select("c_custkey", F.hex("e").alias("bytes"), F.hex(layout.open_envelope(F.col("e"))).alias("inner_bytes")), f"SELECT c_custkey, '03' || {record_hex} AS bytes, {record_hex} AS inner_bytes FROM customer")
-add("payload_indirection", "documents", lambda df: df.select("doc_id", F.md5(F.hex(layout.payload(F.encode("text", "utf-8"), 1024))).alias("digest")), "SELECT doc_id, md5(CASE WHEN strlen(text) > 1024 THEN '01' || upper(md5(text)) || '10' || upper(md5(text)) ELSE '00' || " + sql.block("encode(text)") + " END) AS digest FROM documents")
+add(
+    "hex_dump", "customer",
+    lambda df: customer_bytes(df).select("c_custkey", layout.hex_dump(F.col("b")).alias("dump")),
+    "SELECT c_custkey, rtrim(regexp_replace(regexp_replace(lower(" + record_hex + "), '(..)', '\\1 ', 'g'), '((?:.. ){15}..) ', E'\\\\1\\n', 'g'), E' \\n') AS dump FROM customer",
+)
+add(
+    "envelope_roundtrip", "customer",
+    lambda df: customer_bytes(df).select("c_custkey", layout.envelope(F.col("b")).alias("e")).select("c_custkey", F.hex("e").alias("bytes"), F.hex(layout.open_envelope(F.col("e"))).alias("inner_bytes")),
+    f"SELECT c_custkey, '03' || {record_hex} AS bytes, {record_hex} AS inner_bytes FROM customer",
+)
+add(
+    "payload_indirection", "documents",
+    lambda df: df.select("doc_id", F.md5(F.hex(layout.payload(F.encode("text", "utf-8"), 1024))).alias("digest")),
+    "SELECT doc_id, md5(CASE WHEN strlen(text) > 1024 THEN '01' || upper(md5(text)) || '10' || upper(md5(text)) ELSE '00' || " + sql.block("encode(text)") + " END) AS digest FROM documents",
+)
 
 
 def payload_roundtrip(df: DataFrame) -> DataFrame:
@@ -368,10 +623,26 @@ def payload_roundtrip(df: DataFrame) -> DataFrame:
 add("payload_roundtrip", "documents", payload_roundtrip, "SELECT doc_id, md5(text) AS digest FROM documents")
 chunks = lambda df: layout.pack_chunks(df.select("event_id", c.string.enc(F.col("event_type")).alias("b")), F.floor(F.col("event_id") / 64), "event_id", "b")
 one = sql.string("event_type")
-add("chunk_pack", "events", lambda df: chunks(df).select("bucket", "first", "n", F.hex("chunk").alias("bytes")), f"SELECT event_id // 64 AS bucket, min(event_id) AS first, count(*)::INTEGER AS n, string_agg({sql.var_u32(f'length({one}) // 2')} || {one}, '' ORDER BY event_id) AS bytes FROM events GROUP BY 1")
-add("chunk_unpack", "events", lambda df: layout.unpack_chunks(chunks(df)).select("bucket", "place", c.string.decode(F.col("data")).alias("text")), "SELECT event_id // 64 AS bucket, (row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1)::INTEGER AS place, event_type AS text FROM events")
-add("compress_roundtrip", "documents", lambda df: df.select("doc_id", F.md5(fallback.inflated(fallback.compressed(F.encode("text", "utf-8")))).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
-add("compress_ratio", "documents", lambda df: df.groupBy("lang").agg(F.avg(F.octet_length(fallback.compressed(F.encode("text", "utf-8"))) / F.greatest(F.octet_length("text"), F.lit(1))).alias("ratio")), None)
+add(
+    "chunk_pack", "events",
+    lambda df: chunks(df).select("bucket", "first", "n", F.hex("chunk").alias("bytes")),
+    f"SELECT event_id // 64 AS bucket, min(event_id) AS first, count(*)::INTEGER AS n, string_agg({sql.var_u32(f'length({one}) // 2')} || {one}, '' ORDER BY event_id) AS bytes FROM events GROUP BY 1",
+)
+add(
+    "chunk_unpack", "events",
+    lambda df: layout.unpack_chunks(chunks(df)).select("bucket", "place", c.string.decode(F.col("data")).alias("text")),
+    "SELECT event_id // 64 AS bucket, (row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1)::INTEGER AS place, event_type AS text FROM events",
+)
+add(
+    "compress_roundtrip", "documents",
+    lambda df: df.select("doc_id", F.md5(fallback.inflated(fallback.compressed(F.encode("text", "utf-8")))).alias("digest")),
+    "SELECT doc_id, md5(text) AS digest FROM documents",
+)
+add(
+    "compress_ratio", "documents",
+    lambda df: df.groupBy("lang").agg(F.avg(F.octet_length(fallback.compressed(F.encode("text", "utf-8"))) / F.greatest(F.octet_length("text"), F.lit(1))).alias("ratio")),
+    None,
+)
 
 # decoding of the codecs above
 decoded("decode_i8", "part", PART, c.i8, "p_size - 25", "(p_size - 25)::TINYINT")
@@ -379,36 +650,127 @@ decoded("decode_i16", "part", PART, c.i16, "p_size * 100 - 2500", "(p_size * 100
 decoded("decode_u8", "part", PART, c.u8, "p_size + 200", "(p_size + 200)::SMALLINT")
 decoded("decode_u16", "part", PART, c.u16, "p_size + 65000", "p_size + 65000")
 decoded("decode_u32", "orders", ORDER, c.u32, "4294967295 - o_orderkey", "4294967295 - o_orderkey")
-decoded("decode_u64", "orders", ORDER, c.u64, "cast(18446744073709551615 as decimal(20,0)) - o_orderkey", "(18446744073709551615::UHUGEINT - o_orderkey::UHUGEINT)::VARCHAR", shown=lambda v: v.cast("string"))
+decoded(
+    "decode_u64", "orders", ORDER,
+    c.u64,
+    "cast(18446744073709551615 as decimal(20,0)) - o_orderkey",
+    "(18446744073709551615::UHUGEINT - o_orderkey::UHUGEINT)::VARCHAR",
+    shown=lambda v: v.cast("string"),
+)
 decoded("decode_isize", "orders", ORDER, c.isize, "-o_orderkey", "-o_orderkey")
 i128 = "cast(o_orderkey as decimal(38,0)) * cast(18446744073709551616 as decimal(38,0)) + o_custkey"
-decoded("decode_i128", "orders", ORDER, c.i128, f"-({i128})", "(-(o_orderkey::HUGEINT * 18446744073709551616::HUGEINT + o_custkey::HUGEINT))::VARCHAR", shown=lambda v: v.cast("string"))
+decoded(
+    "decode_i128", "orders", ORDER,
+    c.i128,
+    f"-({i128})",
+    "(-(o_orderkey::HUGEINT * 18446744073709551616::HUGEINT + o_custkey::HUGEINT))::VARCHAR",
+    shown=lambda v: v.cast("string"),
+)
 decoded("decode_f32", "lineitem", LINE, c.f32, "cast(l_quantity as float)", "l_quantity", shown=lambda v: v.cast("double"))
 decoded("decode_bool", "lineitem", LINE, c.boolean, "l_returnflag = 'R'", "l_returnflag = 'R'")
-decoded("decode_mac", "orders", ORDER, c.mac, f"left({spark_digest}, 12)", f"rtrim(regexp_replace(left({digest}, 12), '(..)', '\\1:', 'g'), ':')")
-decoded("decode_bitvec", "part", PART, c.bit_array, "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)", "(" + " || ".join(f"({b})" for b in bits) + ")", shown=lambda v: F.array_join(v.cast("array<int>").cast("array<string>"), ""))
-decoded("decode_duration", "events", EVENT, c.duration, "named_struct('secs', cast(event_id as decimal(20,0)), 'nanos', event_id % 1000)", "event_id || '.' || (event_id % 1000)", shown=lambda v: F.concat_ws(".", v["secs"].cast("string"), v["nanos"].cast("string")))
+decoded(
+    "decode_mac", "orders", ORDER,
+    c.mac,
+    f"left({spark_digest}, 12)",
+    f"rtrim(regexp_replace(left({digest}, 12), '(..)', '\\1:', 'g'), ':')",
+)
+decoded(
+    "decode_bitvec", "part", PART,
+    c.bit_array,
+    "transform(sequence(0, 7), k -> (shiftright(p_partkey, k) & 1) = 1)",
+    "(" + " || ".join(f"({b})" for b in bits) + ")",
+    shown=lambda v: F.array_join(v.cast("array<int>").cast("array<string>"), ""),
+)
+decoded(
+    "decode_duration", "events", EVENT,
+    c.duration,
+    "named_struct('secs', cast(event_id as decimal(20,0)), 'nanos', event_id % 1000)",
+    "event_id || '.' || (event_id % 1000)",
+    shown=lambda v: F.concat_ws(".", v["secs"].cast("string"), v["nanos"].cast("string")),
+)
 of_day = "(epoch_us(ts) % 86400000000) * 1000"
-add("decode_time", "events", lambda df: df.select("event_id", c.time_of_day.enc(c.day_nanos(F.col("ts"))).alias("b")).select("event_id", c.time_of_day.decode(F.col("b")).alias("value")), f"SELECT event_id, {of_day} AS value FROM events")
+add(
+    "decode_time", "events",
+    lambda df: df.select("event_id", c.time_of_day.enc(c.day_nanos(F.col("ts"))).alias("b")).select("event_id", c.time_of_day.decode(F.col("b")).alias("value")),
+    f"SELECT event_id, {of_day} AS value FROM events",
+)
 shown_time = lambda v: F.date_format(v, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 as_shown = lambda ts: f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')"
 decoded("decode_datetime_naive", "events", EVENT, c.datetime_naive, "ts", as_shown("ts"), shown=shown_time)
-decoded("decode_datetime_offset", "events", EVENT, c.datetime_offset, "named_struct('local', ts + interval 2 hours, 'offset', 7200)", as_shown("(ts + INTERVAL 2 HOUR)") + " || ' 7200'", shown=lambda v: F.concat_ws(" ", shown_time(v["local"]), v["offset"].cast("string")))
-decoded("decode_datetime_zone", "events", EVENT, c.datetime_zone, "named_struct('utc', ts, 'tz', 'Europe/Paris')", as_shown("ts") + " || ' Europe/Paris'", shown=lambda v: F.concat_ws(" ", shown_time(v["utc"]), v["tz"]))
+decoded(
+    "decode_datetime_offset", "events", EVENT,
+    c.datetime_offset,
+    "named_struct('local', ts + interval 2 hours, 'offset', 7200)",
+    as_shown("(ts + INTERVAL 2 HOUR)") + " || ' 7200'",
+    shown=lambda v: F.concat_ws(" ", shown_time(v["local"]), v["offset"].cast("string")),
+)
+decoded(
+    "decode_datetime_zone", "events", EVENT,
+    c.datetime_zone,
+    "named_struct('utc', ts, 'tz', 'Europe/Paris')",
+    as_shown("ts") + " || ' Europe/Paris'",
+    shown=lambda v: F.concat_ws(" ", shown_time(v["utc"]), v["tz"]),
+)
 decoded("decode_weekday", "orders", ORDER, c.weekday, "weekday(o_orderdate) + 1", "isodow(o_orderdate)::TINYINT")
 decoded("decode_month", "orders", ORDER, c.month, "month(o_orderdate)", "month(o_orderdate)::TINYINT")
 decoded("decode_offset", "nation", NATION, c.offset, "(n_nationkey - 12) * 3600", "(n_nationkey - 12) * 3600")
 decoded("decode_tz", "nation", NATION, c.zone, "n_name", "n_name")
-decoded("decode_decimal_binary", "orders", ORDER, c.decimal(12, 2, c.Options(binary_decimals=True)), f"-{price}", f"(-{price})::VARCHAR", shown=lambda v: v.cast("string"))
-decoded("decode_decimal_binary_long", "orders", ORDER, c.decimal_binary(18, 12), "cast(o_orderkey as decimal(18,12)) / 100000 + 0.000000000001", "(o_orderkey::DECIMAL(18,12) / 100000 + 0.000000000001::DECIMAL(18,12))::DECIMAL(18,12)::VARCHAR", shown=lambda v: v.cast("string"))
-add("decode_json_text", "events", lambda df: json_rows(df).select("event_id", c.json_text.decode(c.json_text.enc(F.col("j"))).alias("value")), """SELECT event_id, '{"a":' || event_id || ',"b":"' || event_type || '"}' AS value FROM events""")
-decoded("decode_bound", "orders", ORDER, c.bound(c.i64), "named_struct('kind', cast(o_orderkey % 3 as tinyint), 'value', o_custkey)", "(o_orderkey % 3) || CASE WHEN o_orderkey % 3 > 0 THEN ' ' || o_custkey ELSE '' END", shown=lambda v: F.concat_ws(" ", v["kind"].cast("string"), v["value"].cast("string")))
-decoded("decode_range", "orders", ORDER, c.range_of(c.i64), "named_struct('start', o_custkey, 'end', o_custkey + o_orderkey)", "o_custkey || ' ' || (o_custkey + o_orderkey)", shown=lambda v: F.concat_ws(" ", v["start"].cast("string"), v["end"].cast("string")))
-decoded("decode_tuple2", "lineitem", LINE, pair, "named_struct('_0', l_orderkey, '_1', l_returnflag)", "l_orderkey || ' ' || l_returnflag", shown=lambda v: F.concat_ws(" ", v["_0"].cast("string"), v["_1"]))
+decoded(
+    "decode_decimal_binary", "orders", ORDER,
+    c.decimal(12, 2, c.Options(binary_decimals=True)),
+    f"-{price}",
+    f"(-{price})::VARCHAR",
+    shown=lambda v: v.cast("string"),
+)
+decoded(
+    "decode_decimal_binary_long", "orders", ORDER,
+    c.decimal_binary(18, 12),
+    "cast(o_orderkey as decimal(18,12)) / 100000 + 0.000000000001",
+    "(o_orderkey::DECIMAL(18,12) / 100000 + 0.000000000001::DECIMAL(18,12))::DECIMAL(18,12)::VARCHAR",
+    shown=lambda v: v.cast("string"),
+)
+add(
+    "decode_json_text", "events",
+    lambda df: json_rows(df).select("event_id", c.json_text.decode(c.json_text.enc(F.col("j"))).alias("value")),
+    """SELECT event_id, '{"a":' || event_id || ',"b":"' || event_type || '"}' AS value FROM events""",
+)
+decoded(
+    "decode_bound", "orders", ORDER,
+    c.bound(c.i64),
+    "named_struct('kind', cast(o_orderkey % 3 as tinyint), 'value', o_custkey)",
+    "(o_orderkey % 3) || CASE WHEN o_orderkey % 3 > 0 THEN ' ' || o_custkey ELSE '' END",
+    shown=lambda v: F.concat_ws(" ", v["kind"].cast("string"), v["value"].cast("string")),
+)
+decoded(
+    "decode_range", "orders", ORDER,
+    c.range_of(c.i64),
+    "named_struct('start', o_custkey, 'end', o_custkey + o_orderkey)",
+    "o_custkey || ' ' || (o_custkey + o_orderkey)",
+    shown=lambda v: F.concat_ws(" ", v["start"].cast("string"), v["end"].cast("string")),
+)
+decoded(
+    "decode_tuple2", "lineitem", LINE,
+    pair,
+    "named_struct('_0', l_orderkey, '_1', l_returnflag)",
+    "l_orderkey || ' ' || l_returnflag",
+    shown=lambda v: F.concat_ws(" ", v["_0"].cast("string"), v["_1"]),
+)
 decoded("decode_tuple1", "orders", ORDER, c.tuple_of(c.i64), "named_struct('_0', o_custkey)", "o_custkey", shown=lambda v: v["_0"])
 decoded("decode_nonempty", "part", PART, c.nonempty(c.string), words, "p_name", shown=lambda v: F.array_join(v, " "))
-decoded("decode_array_f32", "embeddings", ["vec_id"], c.sequence(c.f32), "embedding", f"md5({sql.joined('embedding', sql.f32('x'))})", shown=lambda v: F.md5(F.hex(c.joined(v, c.f32.enc))))
-decoded("decode_empty_arrays", "part", PART, c.sequence(c.bit_array), "array(cast(array() as array<boolean>), array(p_size > 25))", "CASE WHEN p_size > 25 THEN '0 8 true' ELSE '0 8 false' END", shown=lambda v: F.concat_ws(" ", F.size(v[0]).cast("string"), F.size(v[1]).cast("string"), v[1][0].cast("string")))
+decoded(
+    "decode_array_f32", "embeddings", ["vec_id"],
+    c.sequence(c.f32),
+    "embedding",
+    f"md5({sql.joined('embedding', sql.f32('x'))})",
+    shown=lambda v: F.md5(F.hex(c.joined(v, c.f32.enc))),
+)
+decoded(
+    "decode_empty_arrays", "part", PART,
+    c.sequence(c.bit_array),
+    "array(cast(array() as array<boolean>), array(p_size > 25))",
+    "CASE WHEN p_size > 25 THEN '0 8 true' ELSE '0 8 false' END",
+    shown=lambda v: F.concat_ws(" ", F.size(v[0]).cast("string"), F.size(v[1]).cast("string"), v[1][0].cast("string")),
+)
 decoded("decode_units", "part", PART, c.sequence(c.unit), "array_repeat(cast(null as string), p_size)", "p_size", shown=F.size)
 
 # newer writers: bytes with steps that the reader has never heard of
@@ -423,7 +785,11 @@ def from_later(df: DataFrame) -> DataFrame:
 
 
 even_only = lambda x: f"CASE WHEN c_custkey % 2 = 0 THEN {x} END"
-add("evolve_unknown_writer", "customer", from_later, f"SELECT c_custkey, {even_only('c_name')} AS c_name, {even_only('c_nationkey')} AS c_nationkey, CASE WHEN c_custkey % 2 = 1 THEN '{w.NONE_FOUND}' END AS error FROM customer")
+add(
+    "evolve_unknown_writer", "customer",
+    from_later,
+    f"SELECT c_custkey, {even_only('c_name')} AS c_name, {even_only('c_nationkey')} AS c_nationkey, CASE WHEN c_custkey % 2 = 1 THEN '{w.NONE_FOUND}' END AS error FROM customer",
+)
 OUTER = Record((Field("id", c.i64), Field("rows", c.sequence(PRODUCT.codec())), Field("last", c.option(PRODUCT.at(1).codec()))), (Added("last"),))
 
 
@@ -437,8 +803,16 @@ def nested_records(df: DataFrame) -> DataFrame:
 
 
 unset = f"'unset ' || ({even})::VARCHAR"
-add("evolve_nested", "customer", nested_records, f"SELECT c_custkey, {unset} || ',' || {unset} AS rows, CASE WHEN {even} THEN c_nationkey END AS field_b, CASE WHEN {even} THEN c_name END AS field_a, NULL::VARCHAR AS error FROM customer")
-add("evolve_nested_older_reader", "customer", lambda df: decode_record(nested_bytes(df), "b", OUTER, 0).select("c_custkey", F.size("decoded.rows").alias("n"), F.col("decoded._error").alias("error")), "SELECT c_custkey, 2 AS n, NULL::VARCHAR AS error FROM customer")
+add(
+    "evolve_nested", "customer",
+    nested_records,
+    f"SELECT c_custkey, {unset} || ',' || {unset} AS rows, CASE WHEN {even} THEN c_nationkey END AS field_b, CASE WHEN {even} THEN c_name END AS field_a, NULL::VARCHAR AS error FROM customer",
+)
+add(
+    "evolve_nested_older_reader", "customer",
+    lambda df: decode_record(nested_bytes(df), "b", OUTER, 0).select("c_custkey", F.size("decoded.rows").alias("n"), F.col("decoded._error").alias("error")),
+    "SELECT c_custkey, 2 AS n, NULL::VARCHAR AS error FROM customer",
+)
 
 
 def nested_bytes(df: DataFrame) -> DataFrame:
@@ -455,7 +829,11 @@ def guarded(df: DataFrame) -> DataFrame:
     return df.select("event_id", F.hex(written).alias("bytes"), refused.alias("error"))
 
 
-add("union_transient_refused", "events", guarded, f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {union_hex(EVENTS.ids())} END AS bytes, CASE WHEN event_type = 'error' THEN '{w.TRANSIENT_CASE}' END AS error FROM events")
+add(
+    "union_transient_refused", "events",
+    guarded,
+    f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {union_hex(EVENTS.ids())} END AS bytes, CASE WHEN event_type = 'error' THEN '{w.TRANSIENT_CASE}' END AS error FROM events",
+)
 
 # values of recursive types
 DYNAMIC, DYNAMIC_BYTES = values.dynamic_value(), values.dynamic_value(byte_lists=True)
@@ -472,12 +850,28 @@ def dynamic(df: DataFrame) -> Column:
 
 variant = f"'0010' || '00' || '00000003' || '01' || '000D' || '04' || '0001' || {sql.be('event_id % 256', 1)} || '0000' || '01'"
 dynamic_hex = f"'000F' || '08' || '000C' || {sql.string('event_type')} || '0008' || {sql.be('user_id', 8)} || CASE WHEN event_type = 'purchase' THEN '0013' || '01' || '000A' || {sql.f64('value')} ELSE '001300' END || {variant}"
-add("encode_dynamic_value", "events", lambda df: df.select("event_id", F.hex(DYNAMIC.enc(dynamic(df))).alias("bytes")), f"SELECT event_id, {dynamic_hex} AS bytes FROM events")
-add("dynamic_value_roundtrip", "events", lambda df: df.select("event_id", (F.parse_json(DYNAMIC.decode(DYNAMIC.enc(dynamic(df)))).cast("string") == F.parse_json(dynamic(df)).cast("string")).alias("same")), "SELECT event_id, true AS same FROM events")
+add(
+    "encode_dynamic_value", "events",
+    lambda df: df.select("event_id", F.hex(DYNAMIC.enc(dynamic(df))).alias("bytes")),
+    f"SELECT event_id, {dynamic_hex} AS bytes FROM events",
+)
+add(
+    "dynamic_value_roundtrip", "events",
+    lambda df: df.select("event_id", (F.parse_json(DYNAMIC.decode(DYNAMIC.enc(dynamic(df)))).cast("string") == F.parse_json(dynamic(df)).cast("string")).alias("same")),
+    "SELECT event_id, true AS same FROM events",
+)
 byte_list = lambda: F.concat(F.lit('{"List":['), F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size")), lambda k: F.concat(F.lit('{"U8":'), k.cast("string"), F.lit("}"))), ","), F.when(F.col("p_size") % 2 == 0, ',{"Bool":false}').otherwise(""), F.lit("]}"))
 hexes = "range(0, p_size + 1)"
-add("encode_byte_list", "part", lambda df: df.select("p_partkey", F.hex(DYNAMIC_BYTES.enc(byte_list())).alias("bytes")), f"SELECT p_partkey, '000D' || CASE WHEN p_size % 2 = 1 THEN '01' || {sql.var_u32('p_size + 1')} || {sql.joined(hexes, sql.be('x', 1))} ELSE '00' || {sql.var_u32('2 * (p_size + 2)')} || {sql.joined(hexes, chr(39) + '0001' + chr(39) + ' || ' + sql.be('x', 1))} || '000000' END AS bytes FROM part")
-add("byte_list_roundtrip", "part", lambda df: df.select("p_partkey", (DYNAMIC_BYTES.decode(DYNAMIC_BYTES.enc(byte_list())) == byte_list()).alias("same")), "SELECT p_partkey, true AS same FROM part")
+add(
+    "encode_byte_list", "part",
+    lambda df: df.select("p_partkey", F.hex(DYNAMIC_BYTES.enc(byte_list())).alias("bytes")),
+    f"SELECT p_partkey, '000D' || CASE WHEN p_size % 2 = 1 THEN '01' || {sql.var_u32('p_size + 1')} || {sql.joined(hexes, sql.be('x', 1))} ELSE '00' || {sql.var_u32('2 * (p_size + 2)')} || {sql.joined(hexes, chr(39) + '0001' + chr(39) + ' || ' + sql.be('x', 1))} || '000000' END AS bytes FROM part",
+)
+add(
+    "byte_list_roundtrip", "part",
+    lambda df: df.select("p_partkey", (DYNAMIC_BYTES.decode(DYNAMIC_BYTES.enc(byte_list())) == byte_list()).alias("same")),
+    "SELECT p_partkey, true AS same FROM part",
+)
 
 
 def error_text() -> Column:
@@ -496,11 +890,27 @@ place_hex = f"'00' || '01' || {sql.string('o_orderpriority')} || '00' || '01' ||
 level_hex = lambda depth, cause: f"'00' || {sql.string(chr(39) + f'E{depth}' + chr(39))} || {sql.string('o_orderstatus')} || '02' || {place_hex} || {cause}"
 second = f"CASE WHEN o_orderkey % 3 >= 2 THEN '01' || {level_hex(2, chr(39) + '00' + chr(39))} ELSE '00' END"
 first_cause = f"CASE WHEN o_orderkey % 3 >= 1 THEN '01' || {level_hex(1, second)} ELSE '00' END"
-add("encode_exception", "orders", lambda df: df.select("o_orderkey", F.hex(values.EXCEPTION.enc(error_text())).alias("bytes")), f"SELECT o_orderkey, {level_hex(0, first_cause)} AS bytes FROM orders")
-add("exception_roundtrip", "orders", lambda df: df.select("o_orderkey", (F.parse_json(values.EXCEPTION.decode(values.EXCEPTION.enc(error_text()))).cast("string") == F.parse_json(error_text()).cast("string")).alias("same")), "SELECT o_orderkey, true AS same FROM orders")
+add(
+    "encode_exception", "orders",
+    lambda df: df.select("o_orderkey", F.hex(values.EXCEPTION.enc(error_text())).alias("bytes")),
+    f"SELECT o_orderkey, {level_hex(0, first_cause)} AS bytes FROM orders",
+)
+add(
+    "exception_roundtrip", "orders",
+    lambda df: df.select("o_orderkey", (F.parse_json(values.EXCEPTION.decode(values.EXCEPTION.enc(error_text()))).cast("string") == F.parse_json(error_text()).cast("string")).alias("same")),
+    "SELECT o_orderkey, true AS same FROM orders",
+)
 twice = lambda: F.to_json(F.array("event_type", F.lit("x"), "event_type", F.lit("x"), "props"))
-add("dedup_in_value", "events", lambda df: df.select("event_id", F.hex(values.WORDS.enc(twice())).alias("bytes")), f"SELECT event_id, '0A' || {sql.string('event_type')} || '0278' || '01' || '03' || {sql.string('props')} AS bytes FROM events")
-add("dedup_in_value_roundtrip", "events", lambda df: df.select("event_id", (values.WORDS.decode(values.WORDS.enc(twice())) == twice()).alias("same")), "SELECT event_id, true AS same FROM events")
+add(
+    "dedup_in_value", "events",
+    lambda df: df.select("event_id", F.hex(values.WORDS.enc(twice())).alias("bytes")),
+    f"SELECT event_id, '0A' || {sql.string('event_type')} || '0278' || '01' || '03' || {sql.string('props')} AS bytes FROM events",
+)
+add(
+    "dedup_in_value_roundtrip", "events",
+    lambda df: df.select("event_id", (values.WORDS.decode(values.WORDS.enc(twice())) == twice()).alias("same")),
+    "SELECT event_id, true AS same FROM events",
+)
 
 
 def ring() -> Column:
@@ -511,8 +921,16 @@ def ring() -> Column:
     return F.concat(F.lit('{"value":0,"objects":['), F.concat_ws(",", of(F.col("event_type"), F.lit("1")), of(F.lit("b"), F.lit("2")), of(F.col("user_id").cast("string"), back)), F.lit("]}"))
 
 
-add("encode_ref_cycle", "events", lambda df: df.select("event_id", F.hex(values.NODES.enc(ring())).alias("bytes")), f"SELECT event_id, '00' || {sql.string('event_type')} || '0100' || '0262' || '0100' || {sql.string('user_id::VARCHAR')} || CASE WHEN event_id % 2 = 1 THEN '0101' ELSE '00' END AS bytes FROM events")
-add("ref_cycle_roundtrip", "events", lambda df: df.select("event_id", (F.parse_json(values.NODES.decode(values.NODES.enc(ring()))).cast("string") == F.parse_json(ring()).cast("string")).alias("same")), "SELECT event_id, true AS same FROM events")
+add(
+    "encode_ref_cycle", "events",
+    lambda df: df.select("event_id", F.hex(values.NODES.enc(ring())).alias("bytes")),
+    f"SELECT event_id, '00' || {sql.string('event_type')} || '0100' || '0262' || '0100' || {sql.string('user_id::VARCHAR')} || CASE WHEN event_id % 2 = 1 THEN '0101' ELSE '00' END AS bytes FROM events",
+)
+add(
+    "ref_cycle_roundtrip", "events",
+    lambda df: df.select("event_id", (F.parse_json(values.NODES.decode(values.NODES.enc(ring()))).cast("string") == F.parse_json(ring()).cast("string")).alias("same")),
+    "SELECT event_id, true AS same FROM events",
+)
 QUERIES["generate_typed_values"] = lambda spark, sf_dir: generators.typed_values(spark).select("name", F.octet_length(DYNAMIC_BYTES.enc(F.col("value"))).alias("size"))
 ORACLE["generate_typed_values"] = "SELECT * FROM (VALUES ('simple', 6), ('medium', 61), ('complex', 172), ('list', 6005), ('binary', 65542)) AS t(name, size)"
 
