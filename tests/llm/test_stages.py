@@ -84,3 +84,72 @@ def test_rows_without_an_id_of_their_own_lose_only_their_repeats(spark):
     assert sum(copies) == 1
     without = lambda found: sorted(repr((i, t.replace(f"\n{known}", ""))) for i, t in found if t != known)
     assert without(left) == without(expected)
+
+
+def test_run_against_a_plain_version(spark, tmp_path):
+    """All stages on planted texts: what stays, its text, and its places, worked out without the operators."""
+    import numpy as np
+    from quillpack.llm import fast_ids
+
+    dice = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nrst"]
+    sentence = lambda n: " ".join(["the", "and", "of", *(dice.choice(vocabulary) for _ in range(n))])
+    base = [[sentence(60) for _ in range(4)] for _ in range(6)]
+    footer = "a footer line that is found in many documents here"
+    texts = {
+        1: "\n".join(base[0]),
+        2: "\n".join(base[1] + [footer]),
+        3: "\n".join(base[2] + [footer.replace("many", "mamy")]),  # the footer, one edit away
+        4: "\n".join(x.rsplit(" ", 1)[0] + " altered" for x in base[0]),  # near the first, but no line is
+        5: "too short to keep",
+        6: "\n".join(base[3]),
+        7: "\n".join(base[3]),  # an exact copy: all its lines go
+        8: "\n".join(base[4] + ["password = hunter2secretvalue"]),
+        9: None,
+        10: " ".join(base[5] * 40),
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    kept, seen = {}, []
+    for i, text in texts.items():
+        w = (text or "").split()
+        grams = {}
+        for k in range(len(w) - 2):
+            grams.setdefault(tuple(w[k : k + 3]), []).append(k)
+        covered = {k + d for at in grams.values() if len(at) > 1 for k in at for d in range(3)}
+        if len(w) >= 50 and 2 * len(covered) <= len(w):
+            kept[i] = text
+    for i in list(kept):
+        left = []
+        for line in kept[i].split("\n"):
+            if not any(line == x or min(len(line), len(x)) >= 30 and abs(len(line) - len(x)) <= 2 and distance(line, x) <= 2 for x in seen):
+                left.append(line)
+                seen.append(line)
+        if left:
+            kept[i] = "\n".join(left)
+        else:
+            del kept[i]
+    for i in sorted(kept):
+        if any(j < i and near(kept[j], kept[i]) for j in kept):
+            del kept[i]
+    assert set(kept) == {1, 2, 3, 6, 8}
+    kept[8] = "\n".join([*base[4], "[SECRET]"])
+    tokens = {i: len(fast_ids.encoder()(t)) + 1 for i, t in kept.items()}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found, places = {}, {}
+    for r in rows:
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert found == tokens
+    for parts in places.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(places) == -(-sum(tokens.values()) // 2048)
