@@ -309,6 +309,160 @@ class Fields(Type):
         return found
 
 
+@dataclass(frozen=True)
+class Evolved(Type):
+    """A record with a history: steps (kind, name, default) of the kinds below. Other versions, newer ones too, are read by their header.
+
+    A field that was made optional is a Maybe; removed fields are not listed, transient ones are and get their default.
+    """
+
+    fields: tuple[tuple[str, Type], ...]
+    steps: tuple[tuple, ...]
+
+    def step_of(self, kind: str, name: str) -> int:
+        return next((k for k, step in enumerate(self.steps, 1) if step[:2] == (kind, name)), 0)
+
+    def default_of(self, name: str) -> tuple | None:
+        return next((step[2:] for step in reversed(self.steps) if step[0] in ("added", "transient") and step[1] == name and len(step) > 2), None)
+
+    def put(self, x, out, names):
+        whole, chunks, places = out.data, [bytearray() for _ in range(len(self.steps) + 1)], {}
+        for name, of in self.fields:
+            if self.step_of("transient", name):
+                continue
+            g = self.step_of("added", name)
+            out.data = chunks[g]
+            places[name] = g or -sum(place <= 0 for place in places.values())
+            yield of.put(x.get(name), out, names)
+        out.data = whole
+        whole.append(len(self.steps))
+        for k in range(len(self.steps) + 1):
+            kind, name = self.steps[k - 1][:2] if k else ("added", "")
+            if kind == "added":
+                whole += var_i32(len(chunks[k])) if self.steps else b""
+            elif kind == "optional" and name in places:
+                whole += var_i32(-1) + struct.pack(">b", places[name])
+            else:
+                whole += var_i32(-2)
+                yield Text(once=True).put(name, out, names)
+        for chunk in chunks:
+            whole += chunk
+
+    def header(self, data: In, version: int) -> Step:
+        """Start and end of each chunk, places made optional and names removed."""
+        sizes, optional, removed = [], set(), set()
+        for _ in range(version + 1 if version else 0):
+            code = data.var_i32()
+            sizes.append(max(code, 0))
+            if code == -1:
+                optional.add(struct.unpack(">b", data.take(1))[0])
+            elif code == -2:
+                removed.add((yield Text(once=True).get(data, {})))
+            elif code < 0:
+                raise Wrong(w.FAILED)
+        ends = [data.at, *(data.at + sum(sizes[: k + 1]) for k in range(len(sizes)))]
+        if ends[-1] > len(data.data):
+            raise Wrong(w.ENDED)
+        return ends, optional, removed
+
+    def get(self, data, names):
+        version = data.take(1)[0]
+        ends, optional, removed = yield self.header(data, version)
+        at, seen, found = list(ends[:-1] or ends), {}, {}
+        for name, of in self.fields:
+            g, maybe = self.step_of("added", name), isinstance(of, Maybe)
+            default = self.default_of(name)
+            if self.step_of("transient", name):
+                found[name] = default[0] if default else None
+                continue
+            if name in removed:
+                if not maybe:
+                    raise Wrong(w.REMOVED)
+                found[name] = None
+                continue
+            place = g or -seen.get(0, 0)
+            seen[g] = seen.get(g, 0) + 1
+            if version < g:
+                if default is None:
+                    raise Wrong(w.FAILED if maybe else w.NO_DEFAULT)
+                found[name] = default[0]
+                continue
+            if version:
+                data.at = at[g]
+            if maybe:
+                since = self.step_of("optional", name) or g
+                found[name] = yield (of.of if version < since else of).get(data, names)
+            elif place in optional:
+                found[name] = yield Maybe(of).get(data, names)
+                if found[name] is None:
+                    raise Wrong(w.NONE_FOUND)
+            else:
+                found[name] = yield of.get(data, names)
+            if version:
+                if data.at > ends[g + 1]:
+                    raise Wrong(w.ENDED)
+                at[g] = data.at
+        if version:
+            data.at = ends[-1]
+        return found
+
+
+@dataclass(frozen=True)
+class Unit(Type):
+    """No bytes."""
+
+    def put(self, x, out, names):
+        return
+        yield
+
+    def get(self, data, names):
+        return None
+        yield
+
+
+@dataclass(frozen=True)
+class Uuid(Type):
+    def put(self, x, out, names):
+        data = bytes.fromhex(x.replace("-", ""))
+        if len(data) != 16:
+            raise Wrong(w.FAILED)
+        out.data += data
+        return
+        yield
+
+    def get(self, data, names):
+        h = data.take(16).hex()
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+        yield
+
+
+@dataclass(frozen=True)
+class Set(Many):
+    """Distinct items in order."""
+
+    def put(self, x, out, names):
+        yield Many.put(self, sorted(set(x)), out, names)
+
+    def get(self, data, names):
+        return sorted(set((yield Many.get(self, data, names))))
+
+
+@dataclass(frozen=True)
+class Map(Type):
+    """Entries of an object in order of their keys, each a record; of repeated keys the last is read."""
+
+    of: Type
+
+    def entries(self) -> Many:
+        return Many(Fields((("key", Text()), ("value", self.of))))
+
+    def put(self, x, out, names):
+        yield self.entries().put([{"key": k, "value": x[k]} for k in sorted(x)], out, names)
+
+    def get(self, data, names):
+        return {entry["key"]: entry["value"] for entry in (yield self.entries().get(data, names))}
+
+
 @dataclass(frozen=True)
 class Choice(Type):
     """A union by the order of its cases; a case of no type is a unit, written as an empty record."""
@@ -454,3 +608,18 @@ EXCEPTION = Schema(Named("exception"), (
 NODES = Schema(Shared(Named("node")), (("node", Fields((("label", Text()), ("next", Maybe(Shared(Named("node"))))), head=False)),), shared=True)
 #: texts that are written once for each value
 WORDS = Schema(Many(Text(once=True)))
+#: a record of many kinds of fields, with a history of its own and inside a case of a union
+ELEMENT = Fields((("id", Text()),))
+CASES = Choice((("First", Fields((("elem", ELEMENT),))), ("Second", Evolved((("uuid", Uuid()), ("desc", Maybe(Text()))), (("transient", "cached"),)))))
+WIDE = Schema(
+    Evolved(
+        (
+            ("byte", Number("b")), ("short", Number("h")), ("int", Number("i")), ("long", Number("q")), ("float", Number("f")), ("double", Number("d")),
+            ("boolean", Flag()), ("unit", Unit()), ("string", Text()), ("uuid", Uuid()), ("exception", Named("exception")),
+            ("list", Many(ELEMENT)), ("array", Many(Number("q"))), ("vector", Many(ELEMENT)), ("set", Set(Text())),
+            ("either", Either(Flag(), Text())), ("tried", Either(CASES, Named("exception"))), ("option", Maybe(Map(CASES))),
+        ),
+        (("optional", "option"), ("added", "string", "default string"), ("added", "set", [])),
+    ),
+    EXCEPTION.names,
+)

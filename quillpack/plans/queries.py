@@ -931,6 +931,50 @@ add(
     lambda df: df.select("event_id", (F.parse_json(values.NODES.decode(values.NODES.enc(ring()))).cast("string") == F.parse_json(ring()).cast("string")).alias("same")),
     "SELECT event_id, true AS same FROM events",
 )
+
+
+def wide_text() -> Column:
+    """A part as the JSON of a record with fields of many kinds."""
+    x = F.col
+    no_places = F.array().cast("array<struct<class:string,method:string,file:string,line:int>>")
+    failure = F.struct(x("p_brand").alias("class_name"), x("p_type").alias("message"), no_places.alias("stack_trace"), F.lit(None).cast("string").alias("cause"))
+    element = lambda name: F.struct(x(name).alias("id"))
+    identity = F.expr("regexp_replace(md5(cast(p_partkey as string)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5')")
+    either = F.when(x("p_size") % 2 == 0, F.struct(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("err"))).otherwise(F.struct(F.lit(None).cast("boolean").alias("ok"), x("p_name").alias("err")))
+    first = F.struct(F.struct(F.struct(element("p_name").alias("elem")).alias("First")).alias("ok"))
+    second = F.struct(F.struct(identity.alias("uuid"), x("p_type").alias("desc")).alias("Second"))
+    fields = {
+        "byte": x("p_size") - 25, "short": x("p_size") * 100, "int": x("p_partkey"), "long": x("p_partkey") * 1_000_000_000, "float": x("p_size") / 2, "double": x("p_retailprice"),
+        "boolean": x("p_size") % 2 == 0, "string": x("p_name"), "uuid": identity, "exception": failure, "list": F.array(element("p_brand"), element("p_name")),
+        "array": F.array(x("p_partkey"), x("p_size").cast("bigint")), "vector": F.array(element("p_type")), "set": F.array("p_brand", "p_brand"),
+        "either": either, "tried": first, "option": F.when(x("p_size") % 3 > 0, F.create_map(x("p_brand"), second)),
+    }
+    return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+
+of_part = lambda name: sql.string(name)
+element_hex = lambda name: f"'00' || {of_part(name)}"
+identity_hex = "upper(md5(p_partkey::VARCHAR))"
+failure_hex = f"'00' || {of_part('p_brand')} || {of_part('p_type')} || '00' || '00'"
+cached_hex = "0C" + b"cached".hex().upper()
+second_size = f"(17 + {sql.size_of_string('p_type')})"
+second_hex = f"'0001' || '01' || {sql.var_u32(f'2 * {second_size}')} || '03{cached_hex}' || {identity_hex} || '01' || {of_part('p_type')}"
+first_chunk = " || ".join((
+    sql.be("p_size - 25", 1), sql.be("p_size * 100", 2), sql.be("p_partkey", 4), sql.be("p_partkey * 1000000000", 8), sql.f32("p_size / 2.0"), sql.f64("p_retailprice"),
+    "CASE WHEN p_size % 2 = 0 THEN '01' ELSE '00' END", identity_hex, failure_hex, "'04'", element_hex("p_brand"), element_hex("p_name"),
+    "'04'", sql.be("p_partkey", 8), sql.be("p_size", 8), "'02'", element_hex("p_type"), f"CASE WHEN p_size % 2 = 0 THEN '0101' ELSE '00' || {of_part('p_name')} END",
+    f"'01' || '0000' || '00' || {element_hex('p_name')}", f"CASE WHEN p_size % 3 > 0 THEN '01' || '02' || '00' || {of_part('p_brand')} || {second_hex} ELSE '00' END",
+))
+add(
+    "encode_wide_record", "part",
+    lambda df: df.select("p_partkey", F.hex(values.WIDE.enc(wide_text())).alias("bytes")),
+    f"SELECT p_partkey, '03' || {sql.var_u32('length(c)')} || '01F1' || {sql.var_u32(f'2 * {sql.size_of_string("p_name")}')} || {sql.var_u32('2 * (1 + ' + sql.size_of_string('p_brand') + ')')} || c || {of_part('p_name')} || '02' || {of_part('p_brand')} AS bytes FROM (SELECT *, {first_chunk} AS c FROM part)",
+)
+add(
+    "wide_record_roundtrip", "part",
+    lambda df: df.select("p_partkey", values.WIDE.decode(values.WIDE.enc(wide_text())).alias("j")).select("p_partkey", F.get_json_object("j", "$.string").alias("string"), F.get_json_object("j", "$.double").cast("double").alias("price")),
+    "SELECT p_partkey, p_name AS string, p_retailprice AS price FROM part",
+)
 QUERIES["generate_typed_values"] = lambda spark, sf_dir: generators.typed_values(spark).select("name", F.octet_length(DYNAMIC_BYTES.enc(F.col("value"))).alias("size"))
 ORACLE["generate_typed_values"] = "SELECT * FROM (VALUES ('simple', 6), ('medium', 61), ('complex', 172), ('list', 6005), ('binary', 65542)) AS t(name, size)"
 

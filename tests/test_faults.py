@@ -198,3 +198,36 @@ def test_streams_of_batches(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.s, r.i): (r.string_id, r.bytes and bytes(r.bytes).hex()) for r in spark.sql("select * from dedup_out").collect()}
     assert got == {("x", 1): (1, "0261"), ("x", 2): (2, "0262"), ("x", 3): (1, "01"), ("x", 4): (3, "0263"), ("y", 1): (1, "0261"), ("y", 2): (None, None)}
+
+
+def versions():
+    a, new, b = ("field_a", values.Text()), ("new_field_1", values.Flag()), ("field_b", values.Number("i"))
+    steps = (("added", "new_field_1", True), ("optional", "field_b"), ("removed", "field_b"), ("transient", "field_a", "unset"))
+    maybe = ("field_b", values.Maybe(b[1]))
+    fields = ((a, b), (a, new, b), (a, new, maybe), (a, new), (a, new))
+    return [values.Schema(values.Evolved(f, steps[:k])) for k, f in enumerate(fields)]
+
+
+@pytest.mark.parametrize("reader", range(5))
+def test_histories_among_recursive_values(reader):
+    from tests.test_records import BYTES
+
+    family = versions()
+    whole = {"field_a": "hello", "new_field_1": True, "field_b": 42}
+    assert family[reader].bytes_of(whole).hex() == BYTES[reader]
+    for writer, h in enumerate(BYTES):
+        data = bytes.fromhex(h)
+        if reader < 4 and (writer == 4 or writer == 3 and reader < 2):
+            with pytest.raises(values.Wrong, match=w.REMOVED):
+                family[reader].value_of(data)
+            continue
+        expected = {k: v for k, v in whole.items() if k in dict(family[reader].root.fields)}
+        expected |= {"field_b": None} if reader == 2 and writer == 3 else {}
+        expected |= {"field_a": "unset"} if reader == 4 else {}
+        assert family[reader].value_of(data) == expected
+        for cut in range(len(data) if writer else 0):
+            with pytest.raises(values.Wrong):
+                family[reader].value_of(data[:cut])
+    none = family[2].bytes_of(whole | {"field_b": None})
+    with pytest.raises(values.Wrong, match=w.NONE_FOUND):
+        family[1].value_of(none)
