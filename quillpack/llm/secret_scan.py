@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpack.llm.store import ship_code
+from quillpack.llm.store import settle, ship_code
 
 # fixed values: the base patterns and the order of their kinds
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -208,8 +208,15 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def frequent_words(df: DataFrame, text_col: str = "text", size: int = 20_000) -> list[str]:
     """The ``size`` most frequent words of three or more letters a-z in any case, by number and then in order; counted over all rows."""
     found = F.regexp_extract_all(F.lower(df[text_col]), F.lit("[a-z]{3,20}"), F.lit(0))
-    counts = df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = settle(df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    # the best of each partition would all go to the driver: first the range of numbers that holds enough words is found
+    band = F.floor(F.log2("n") * 8)
+    least = enough = 0
+    for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
+        least, enough = r.band, enough + r.words
+        if enough >= size:
+            break
+    return [r.word for r in counts.where(band >= least).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", strong: float = 9.0, dictionary: int = 20_000, words: list[str] | None = None) -> DataFrame:
