@@ -725,7 +725,7 @@ decoded(
 decoded(
     "decode_decimal_binary_long", "orders", ORDER,
     c.decimal_binary(18, 12),
-    "cast(o_orderkey as decimal(18,12)) / 100000 + 0.000000000001",
+    "cast(o_orderkey as decimal(31,12)) / 100000 + 0.000000000001",
     "(o_orderkey::DECIMAL(18,12) / 100000 + 0.000000000001::DECIMAL(18,12))::DECIMAL(18,12)::VARCHAR",
     shown=lambda v: v.cast("string"),
 )

@@ -24,6 +24,13 @@ def test_wide_numbers_of_all_widths(spark, tmp_path, name, head):
     assert got == {k: head + shortest(k << 64) for k in keys}
 
 
+def test_decimals_of_keys_beyond_six_digits(spark, tmp_path):
+    keys = [0, 149_999, 999_999, 1_000_000, 8_999_999, 99_999_999_999]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.value for r in QUERIES["decode_decimal_binary_long"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"{k // 100_000}.{k % 100_000:05d}0000001" for k in keys}
+
+
 @pytest.mark.parametrize("name", ["evolve_union_case", "evolve_union_case_all"])
 def test_union_with_a_history_inside(spark, name):
     data = "/root/testdata/sf0.001"
