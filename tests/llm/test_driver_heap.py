@@ -1,8 +1,10 @@
-"""Queries of many steps give the driver's grown heap back between them."""
+"""Queries of many steps give the driver's grown heap back between them, and what was freed outside it."""
 
+import sys
 from types import SimpleNamespace as Fake
 
 import pytest
+from py4j.protocol import Py4JError
 
 from quillpack.llm import store
 
@@ -23,3 +25,22 @@ def test_every_step_looks_at_the_heap(spark, monkeypatch):
     with store.Scratch(spark) as scratch:
         assert scratch.save(spark.range(4), "four").count() == 4
     assert len(seen) == 2
+
+
+def test_every_step_gives_back_what_was_freed_outside_the_heap(spark, monkeypatch):
+    version = spark.sparkContext._jvm.java.lang.Runtime.version()
+    if sys.platform != "linux" or (version.feature(), version.interim(), version.update()) < (17, 0, 9):
+        pytest.skip("this JVM has no command for it")
+    seen, trim = [], store.trim
+    monkeypatch.setattr(store, "trim", lambda s: seen.append(trim(s)))
+    assert store.settle(spark.range(3)).count() == 3
+    with store.Scratch(spark) as scratch:
+        assert scratch.save(spark.range(4), "four").count() == 4
+    assert seen == [True, True]
+
+
+def test_a_jvm_without_the_command_goes_on():
+    def refused(name):
+        raise Py4JError(name)
+
+    assert store.trim(Fake(sparkContext=Fake(_gateway=None, _jvm=Fake(java=Fake(lang=Fake(Class=Fake(forName=refused))))))) is False
